@@ -17,9 +17,10 @@ UNBOUNDED = "BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
 def _r(expr: str, name: str | None = None) -> str:
-    """Rounded double; adding zero turns a negative zero into a plain one."""
+    """Rounded double. The small shift keeps exact halves off the rounding boundary; adding zero turns a
+    negative zero into a plain one."""
     name = name or expr.strip('"')
-    return f'ROUND(CAST({expr} AS DOUBLE), 6) + 0.0 AS "{name}"'
+    return f'ROUND(CAST({expr} AS DOUBLE) + 3e-9, 6) + 0.0 AS "{name}"'
 
 
 def _rs(names: list[str]) -> str:

@@ -22,6 +22,9 @@ from shelfpace.sources import retail
 Query = Callable[[SparkSession, str], DataFrame]
 
 DIGITS = 6
+# Averages of whole numbers often end exactly halfway between two rounded values, where the last bit of a
+# sum decides. Both sides of the comparison shift by this much first.
+OFF_HALF = 3e-9
 SPLIT = s.SPLIT_AT
 ROLLING = [f"rolling_{c}_{n}" for c in s.CURVES for n in s.LOOKBACKS]
 # Categories of the given tables, in sorted order; proportions of other values would get no column.
@@ -37,7 +40,7 @@ DELTA_INF = 0.5
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round doubles, because the order of summation differs between engines."""
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.round(c, digits) for c in doubles}) if doubles else df
+    return df.withColumns({c: F.round(F.col(c) + OFF_HALF, digits) for c in doubles}) if doubles else df
 
 
 # --- shared inputs -------------------------------------------------------------------------------
