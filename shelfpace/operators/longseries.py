@@ -20,16 +20,6 @@ from shelfpace.operators.series import CURVES, LOOKBACKS, SPLIT_AT, per_split
 BLOCK_ROWS = 100_000
 
 
-def _add_from_chunks(rows: DataFrame, key: str, totals: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
-    """Aggregate each chunk, run window expressions over a key's chunks, and join the outcome to the rows.
-
-    Both steps keep to (key, chunk), so rows already laid out that way are not shuffled again.
-    """
-    chunks = rows.groupBy(key, "_chunk").agg(*[expr.alias(name) for name, expr in totals.items()])
-    values = chunks.select(key, "_chunk", *[expr.alias(name) for name, expr in carried.items()])
-    return rows.join(values, [key, "_chunk"])
-
-
 def _sum_known(left: Column, right: Column) -> Column:
     """Sum of two values where null means nothing there."""
     return F.coalesce(left + right, left, right)
@@ -41,12 +31,10 @@ def number_rows(
     """Split and day numbers as in ``series.number_days``. ``ties`` settles the order among equal times;
     ``chunk`` must not decrease with time."""
     before = series_window(key, "_chunk", rows=(Window.unboundedPreceding, -1))
-    counted = _add_from_chunks(
-        rows.withColumn("_chunk", chunk),
-        key,
-        {"_rows": F.count(F.lit(1))},
-        {"_before": F.coalesce(F.sum("_rows").over(before), F.lit(0))},
-    )
+    chunked = rows.withColumn("_chunk", chunk)
+    sizes = chunked.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    counted = chunked.join(starts, [key, "_chunk"])
     position = F.col("_before") + F.row_number().over(series_window([key, "_chunk"], [time, *ties]))
     early = F.col("_position") <= split_at
     return (
@@ -64,36 +52,37 @@ def number_rows(
 def running_stock(
     numbered: DataFrame, time: str, running_max: bool = False, key: str = "sku", quantity: str = "sold_quantity"
 ) -> DataFrame:
-    """Running sum, maximum plus one and quotient; input from :func:`number_rows`."""
+    """Running sum, maximum plus one and quotient; input from :func:`number_rows`.
+
+    Sums run inside each chunk first. A chunk's total and highest point then say, for every chunk of the
+    key, where its sum starts and how high the key has been or will be.
+    """
     early, late = F.col("is_train") == 1, F.col("is_train") == 0
     earlier_chunks = series_window(key, "_chunk", rows=(Window.unboundedPreceding, -1))
-    inside = series_window([key, "_chunk"], time, values=(Window.unboundedPreceding, Window.currentRow))
-
-    def by_side(left: str, right: str) -> Column:
-        return F.when(early, F.col(left)).otherwise(F.col(right))
-
-    summed = _add_from_chunks(
-        numbered,
-        key,
-        {"_s1": F.sum(F.when(early, F.col(quantity))), "_s0": F.sum(F.when(late, F.col(quantity)))},
-        {"_before1": F.sum("_s1").over(earlier_chunks), "_before0": F.sum("_s0").over(earlier_chunks)},
-    )
-    cumsum = _sum_known(by_side("_before1", "_before0"), per_split(F.sum, F.col(quantity), inside))
-    summed = summed.withColumn("cumsum", cumsum).drop("_before1", "_before0")
-
     reach = earlier_chunks if running_max else series_window(key)
-    topped = _add_from_chunks(
-        summed,
-        key,
-        {"_m1": F.max(F.when(early, F.col("cumsum"))), "_m0": F.max(F.when(late, F.col("cumsum")))},
-        {"_top1": F.max("_m1").over(reach), "_top0": F.max("_m0").over(reach)},
-    )
-    top = by_side("_top1", "_top0")
+    inside = series_window([key, "_chunk"], time, values=(Window.unboundedPreceding, Window.currentRow))
+    local = numbered.withColumn("_local", per_split(F.sum, F.col(quantity), inside))
+
+    totals, starts, tops = {}, {}, {}
+    for side, here in ((1, early), (0, late)):
+        totals[f"_sum{side}"] = F.sum(F.when(here, F.col(quantity)))
+        totals[f"_high{side}"] = F.max(F.when(here, F.col("_local")))
+        starts[f"_start{side}"] = F.sum(f"_sum{side}").over(earlier_chunks)
+        tops[f"_top{side}"] = F.max(_sum_known(F.col(f"_start{side}"), F.col(f"_high{side}"))).over(reach)
+    chunks = local.groupBy(key, "_chunk").agg(*[expr.alias(name) for name, expr in totals.items()])
+    known = chunks.withColumns(starts).withColumns(tops).select(key, "_chunk", *starts, *tops)
+    joined = local.join(known, [key, "_chunk"])
+
+    def by_side(name: str) -> Column:
+        return F.when(early, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+
+    curve = joined.withColumn("cumsum", _sum_known(by_side("_start"), F.col("_local")))
+    top = by_side("_top")
     if running_max:
         top = F.greatest(top, per_split(F.max, F.col("cumsum"), inside))
     return (
-        topped.withColumn("max", top + 1)
-        .drop("_top1", "_top0", "_chunk")
+        curve.withColumn("max", top + 1)
+        .drop(*starts, *tops, "_local", "_chunk")
         .withColumn("cumsum_pc", ratio(F.col("cumsum"), F.col("max")))
     )
 

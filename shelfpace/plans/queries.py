@@ -46,20 +46,28 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 # --- shared inputs -------------------------------------------------------------------------------
 
 
-def _curve(spark: SparkSession, sf: str, active: bool = False, compat: bool = False, full: bool = False) -> DataFrame:
-    panel = retail.sku_daily(spark, sf, logistics=full)
+def _curve(
+    spark: SparkSession, sf: str, active: bool = False, compat: bool = False, categories: tuple[str, ...] = ()
+) -> DataFrame:
+    panel = retail.sku_daily(spark, sf, categories)
     return s.labelled_series(s.active_only(panel) if active else panel, running_max=compat)
 
 
-def _side(spark: SparkSession, sf: str, train: bool, logistics: bool = False, active: bool = False) -> DataFrame:
+def _side(spark: SparkSession, sf: str, train: bool, categories: tuple[str, ...] = ()) -> DataFrame:
     """One side of the split with day numbers, without curves."""
-    panel = s.add_activity(retail.sku_daily(spark, sf, logistics))
-    days = s.number_days(s.active_only(panel) if active else panel)
+    days = s.number_days(s.add_activity(retail.sku_daily(spark, sf, categories)))
     return days.filter(F.col("is_train") == (1 if train else 0))
 
 
-def _dense(spark: SparkSession, sf: str, train: bool, active: bool, carry: tuple[str, ...] = ()) -> DataFrame:
-    frame = _curve(spark, sf, active).filter(F.col("is_train") == (1 if train else 0)).drop("date", "is_train")
+def _dense(
+    spark: SparkSession,
+    sf: str,
+    train: bool,
+    active: bool,
+    categories: tuple[str, ...] = (),
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    frame = _curve(spark, sf, active, categories=categories).filter(F.col("is_train") == (1 if train else 0)).drop("date", "is_train")
     own_keys = train and not active
     return grid.densify(frame, None if own_keys else retail.sku_keys(spark, sf), carry=carry)
 
@@ -158,12 +166,12 @@ def event_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def category_share(spark: SparkSession, sf: str, column: str, rule: str) -> DataFrame:
-    frame = _side(spark, sf, True, logistics=column == "shipping_logistic_type")
+    frame = _side(spark, sf, True, (column,))
     return features.category_share(frame, column, CATEGORIES[column], rule)
 
 
 def sku_features(spark: SparkSession, sf: str, rule: str = features.SHARE) -> DataFrame:
-    return features.sku_features(_side(spark, sf, True, logistics=True), CATEGORIES, rule)
+    return features.sku_features(_side(spark, sf, True, tuple(CATEGORIES)), CATEGORIES, rule)
 
 
 def weekday_profile(spark: SparkSession, sf: str, compat: bool = False) -> DataFrame:
@@ -180,7 +188,7 @@ def day_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 def dense_panel(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["sku", "id", "sold_quantity", "currency", "cumsum", "cumsum_pc", "rolling_cumsum_1"]
-    return _dense(spark, sf, train=False, active=True).select(*columns)
+    return _dense(spark, sf, train=False, active=True, categories=("currency",)).select(*columns)
 
 
 def meta_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,12 +201,12 @@ def panel_with_meta(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forward_filled(spark: SparkSession, sf: str) -> DataFrame:
-    dense = _dense(spark, sf, train=False, active=False)
+    dense = _dense(spark, sf, train=False, active=False, categories=("currency",))
     return grid.carry_forward(dense, ["currency", "max"]).select("sku", "id", "cumsum", "currency", "max")
 
 
 def sentinel_filled(spark: SparkSession, sf: str) -> DataFrame:
-    dense = _dense(spark, sf, train=True, active=True, carry=("currency", "max"))
+    dense = _dense(spark, sf, True, True, categories=("currency",), carry=("currency", "max"))
     columns = ["sku", "id", "currency", "max", "cumsum_pc", *grid.SENTINEL_COLUMNS]
     return grid.mark_missing(dense).select(*columns)
 
@@ -340,9 +348,8 @@ def _output(name: str) -> Query:
     """One table of the whole feature job, in its historical form."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        inputs = tables.Inputs(
-            retail.sku_daily(spark, sf, logistics=True), retail.item_meta(spark, sf), retail.score_items(spark, sf)
-        )
+        panel = retail.sku_daily(spark, sf, tuple(retail.CATEGORY_SOURCES))
+        inputs = tables.Inputs(panel, retail.item_meta(spark, sf), retail.score_items(spark, sf))
         made = tables.feature_tables(inputs, CATEGORIES, compat=True, keys=retail.sku_keys(spark, sf))[name]()
         return made.drop("monid")
 

@@ -10,28 +10,50 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sku_daily(spark: SparkSession, sf_dir: str, logistics: bool = False) -> DataFrame:
-    """One row per item and day.
-
-    The grouping on (sku, date) combines on the map side, so an item that owns a large part of all order
-    lines shrinks before it is shuffled, and no item keeps more rows than the calendar has days. That is
-    the bound the per-item windows downstream rely on. The join to ``orders`` is made only when the one
-    column that needs it is asked for.
+# Category columns of the panel and where they come from.
+CATEGORY_SOURCES = {
+    "currency": "l_linestatus",
+    "listing_type": "l_returnflag",
+    "shipping_payment": "l_linestatus",
+    "shipping_logistic_type": "o_orderpriority",
+}
+
+
+def sku_daily(spark: SparkSession, sf_dir: str, categories: tuple[str, ...] = ()) -> DataFrame:
+    """One row per item and day, with the category columns asked for.
+
+    The grouping combines on the map side, so an item that owns a large part of all order lines shrinks
+    before it is shuffled, and no item keeps more rows than the calendar has days. That is the bound the
+    per-item windows downstream rely on.
+
+    The least text of a group cannot be kept in a hash table, and sorting all order lines for it would be
+    wasteful. So lines are first grouped by day and category values with hashing; only the few rows left
+    are laid out by item and sorted by day, a layout and order the windows then find ready. The join to
+    ``orders`` is made only when the one column that needs it is asked for.
     """
     lines = _read(spark, sf_dir, "lineitem")
-    measures = [
-        F.sum("l_quantity").alias("sold_quantity"),
-        ((F.min("l_linenumber") - 1) * 240).cast("double").alias("minutes_active"),
-        F.min("l_extendedprice").alias("current_price"),
-        F.min("l_linestatus").alias("currency"),
-        F.min("l_returnflag").alias("listing_type"),
-        F.min("l_linestatus").alias("shipping_payment"),
-    ]
-    if logistics:
+    if "shipping_logistic_type" in categories:
         orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
         lines = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        measures.append(F.min("o_orderpriority").alias("shipping_logistic_type"))
-    return lines.groupBy(F.col("l_partkey").alias("sku"), F.to_date("l_shipdate").alias("date")).agg(*measures)
+    texts = sorted({CATEGORY_SOURCES[c] for c in categories})
+    by_day = lines.groupBy(F.col("l_partkey").alias("sku"), F.to_date("l_shipdate").alias("date"), *texts).agg(
+        F.sum("l_quantity").alias("sold_quantity"),
+        F.min("l_linenumber").alias("first_line"),
+        F.min("l_extendedprice").alias("current_price"),
+    )
+    if categories:
+        by_day = (
+            by_day.repartition("sku")
+            .groupBy("sku", "date")
+            .agg(
+                F.sum("sold_quantity").alias("sold_quantity"),
+                F.min("first_line").alias("first_line"),
+                F.min("current_price").alias("current_price"),
+                *[F.min(CATEGORY_SOURCES[c]).alias(c) for c in categories],
+            )
+        )
+    minutes = ((F.col("first_line") - 1) * 240).cast("double").alias("minutes_active")
+    return by_day.select("sku", "date", "sold_quantity", minutes, "current_price", *categories)
 
 
 def sku_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
