@@ -20,6 +20,13 @@ from shelfpace.operators.series import CURVES, LOOKBACKS, SPLIT_AT, per_split
 BLOCK_ROWS = 100_000
 
 
+def _join_chunks(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Add per-chunk values to the rows. Null keys and null times are series and chunks like any other."""
+    renamed = known.withColumnsRenamed({key: "_key", "_chunk": "_part"})
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_chunk").eqNullSafe(F.col("_part"))
+    return rows.join(renamed, same).drop("_key", "_part")
+
+
 def _sum_known(left: Column, right: Column) -> Column:
     """Sum of two values where null means nothing there."""
     return F.coalesce(left + right, left, right)
@@ -34,7 +41,7 @@ def number_rows(
     chunked = rows.withColumn("_chunk", chunk)
     sizes = chunked.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    counted = chunked.join(starts, [key, "_chunk"])
+    counted = _join_chunks(chunked, starts, key)
     position = F.col("_before") + F.row_number().over(series_window([key, "_chunk"], [time, *ties]))
     early = F.col("_position") <= split_at
     return (
@@ -71,7 +78,7 @@ def running_stock(
         tops[f"_top{side}"] = F.max(_sum_known(F.col(f"_start{side}"), F.col(f"_high{side}"))).over(reach)
     chunks = local.groupBy(key, "_chunk").agg(*[expr.alias(name) for name, expr in totals.items()])
     known = chunks.withColumns(starts).withColumns(tops).select(key, "_chunk", *starts, *tops)
-    joined = local.join(known, [key, "_chunk"])
+    joined = _join_chunks(local, known, key)
 
     def by_side(name: str) -> Column:
         return F.when(early, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))

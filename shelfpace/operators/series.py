@@ -112,13 +112,3 @@ def labelled_series(
     """Activity, split, running stock and rolling means in one pass over the panel."""
     days = number_days(add_activity(panel), split_at, key, time)
     return rolling_means(running_stock(days, running_max, key, time), CURVES, lookbacks, key, time)
-
-
-def four_frames(labelled: DataFrame, labelled_active: DataFrame) -> dict[str, DataFrame]:
-    """Both sides of the split, for all days and for active days."""
-    return {
-        "train": labelled.filter("is_train = 1"),
-        "validation": labelled.filter("is_train = 0"),
-        "train_active": labelled_active.filter("is_train = 1"),
-        "validation_active": labelled_active.filter("is_train = 0"),
-    }

@@ -38,9 +38,12 @@ DELTA_INF = 0.5
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round doubles, because the order of summation differs between engines."""
+    """Round doubles, because the order of summation differs between engines. Scaling and ``rint`` stay
+    on primitive doubles, where ``round`` would go through decimals; adding zero drops negative zeros."""
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.round(F.col(c) + OFF_HALF, digits) for c in doubles}) if doubles else df
+    scale = F.lit(float(10**digits))
+    rounds = {c: F.rint((F.col(c) + OFF_HALF) * scale) / scale + F.lit(0.0) for c in doubles}
+    return df.withColumns(rounds) if rounds else df
 
 
 # --- shared inputs -------------------------------------------------------------------------------
@@ -108,26 +111,24 @@ def _encoded(spark: SparkSession, sf: str, train: bool) -> DataFrame:
 
 def _chances(rows: DataFrame) -> DataFrame:
     """A day distribution computed from each row itself: weight 1 / (1 + distance) around a day that
-    depends on the item, scaled to sum to 1."""
+    depends on the item, scaled to sum to 1. The scale depends on that day only: one of 30 constants."""
     centre = F.pmod(F.col("sku") * 7 + 3, F.lit(30)) + 1
-    raw = F.transform(
-        F.sequence(F.lit(1), F.lit(30)), lambda k: F.lit(1.0) / (F.lit(1.0) + F.abs(k - centre).cast("double"))
+    totals = F.array(*[F.lit(sum(1.0 / (1.0 + abs(k - c)) for k in range(1, 31))) for c in range(1, 31)])
+    placed = rows.withColumn("centre", centre.cast("int")).withColumn("total", F.element_at(totals, F.col("centre")))
+    chance = F.transform(
+        F.sequence(F.lit(1), F.lit(30)),
+        lambda k: F.lit(1.0) / (F.lit(1.0) + F.abs(k - F.col("centre")).cast("double")) / F.col("total"),
     )
-    scaled = F.transform(
-        F.col("raw"), lambda p: p / F.aggregate(F.col("raw"), F.lit(0.0), lambda acc, v: acc + v)
-    )
-    return rows.withColumn("raw", raw).withColumn("probabilities", scaled).drop("raw")
-
-
-def _maxima(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-item maxima, written once: the quantile and the weights both read them."""
-    return cut_lineage(t.sku_max(_target(spark, sf, True)))
+    return placed.withColumn("probabilities", chance).drop("centre", "total")
 
 
 def _weighted(spark: SparkSession, sf: str, train: bool) -> DataFrame:
-    maxima = _maxima(spark, sf)
+    """Weights of one side. The early side is written once: the maxima, the quantile and (for the early
+    side itself) the weighted rows come from it."""
+    early = cut_lineage(_target(spark, sf, True))
+    maxima = cut_lineage(t.sku_max(early))
     bound = t.outlier_bound(maxima, DELTA_INF).first()["bound"]
-    return t.sample_weights(_target(spark, sf, train), maxima, bound, **WEIGHTS)
+    return t.sample_weights(early if train else _target(spark, sf, False), maxima, bound, **WEIGHTS)
 
 
 # --- queries -------------------------------------------------------------------------------------
@@ -282,7 +283,7 @@ def sku_max(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def outlier_bound(spark: SparkSession, sf: str) -> DataFrame:
-    return t.outlier_bound(_maxima(spark, sf), DELTA_INF)
+    return t.outlier_bound(cut_lineage(t.sku_max(_target(spark, sf, True))), DELTA_INF)
 
 
 def sample_weights(spark: SparkSession, sf: str, train: bool = True) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,16 +46,13 @@ class Inputs:
     score_items: DataFrame
 
 
-def label(panel: DataFrame, compat: bool = False, long: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Labelled panel for all days and for active days."""
-
-    def one(frame: DataFrame) -> DataFrame:
-        if long:
-            chunk = F.date_trunc("month", F.col("date"))
-            return longseries.labelled_curve(s.add_activity(frame), "date", chunk, running_max=compat)
-        return s.labelled_series(frame, running_max=compat)
-
-    return one(panel), one(s.active_only(panel))
+def label(panel: DataFrame, active: bool, compat: bool = False, long: bool = False) -> DataFrame:
+    """Labelled panel for all days or for active days."""
+    frame = s.active_only(panel) if active else panel
+    if long:
+        chunk = F.date_trunc("month", F.col("date"))
+        return longseries.labelled_curve(s.add_activity(frame), "date", chunk, running_max=compat)
+    return s.labelled_series(frame, running_max=compat)
 
 
 def dense_frame(frame: DataFrame, keys: DataFrame, meta: DataFrame, compat: bool, active: bool) -> DataFrame:
@@ -69,29 +65,32 @@ def dense_frame(frame: DataFrame, keys: DataFrame, meta: DataFrame, compat: bool
 
 
 def tables_from_labelled(
-    labelled: DataFrame,
-    labelled_active: DataFrame,
+    labelled: Callable[[bool], DataFrame],
     meta: DataFrame,
     score_items: DataFrame,
     keys: DataFrame,
     categories: dict[str, Sequence[str]],
     compat: bool,
 ) -> dict[str, Callable[[], DataFrame]]:
-    """One function per table, so that asking for one does not plan the others."""
-    frames = s.four_frames(labelled, labelled_active)
+    """One function per table, so that asking for one does not plan the others. ``labelled`` gives the
+    labelled panel for all days (false) or for active days (true)."""
     clean = metadata.clean_meta(meta)
     rule = features.CHARACTER_RULE if compat else features.SHARE
 
+    def frame(name: str) -> DataFrame:
+        side = 1 if name.startswith("train") else 0
+        return labelled(name.endswith("_active")).filter(F.col("is_train") == side)
+
     def dense(name: str) -> DataFrame:
-        return dense_frame(frames[name], keys, clean, compat, active=name.endswith("_active"))
+        return dense_frame(frame(name), keys, clean, compat, active=name.endswith("_active"))
 
     made: dict[str, Callable[[], DataFrame]] = {"test": lambda: metadata.score_list(score_items, meta)}
-    for name, frame in frames.items():
-        made[name] = partial(dense, name)
-        made[f"features_{name}"] = partial(features.sku_features, frame, categories, rule)
-        made[f"dof_{name}"] = partial(features.weekday_profile, frame, add_key=compat)
-        made[f"days_activity_{name}"] = partial(features.active_share, frame)
+    for name in FRAMES:
+        made[name] = lambda n=name: dense(n)
         made[f"{name}_min"] = lambda n=name: grid.minimal_table(dense(n))
+        made[f"features_{name}"] = lambda n=name: features.sku_features(frame(n), categories, rule)
+        made[f"dof_{name}"] = lambda n=name: features.weekday_profile(frame(n), add_key=compat)
+        made[f"days_activity_{name}"] = lambda n=name: features.active_share(frame(n))
     return {name: made[name] for name in TABLE_NAMES}
 
 
@@ -105,8 +104,7 @@ def feature_tables(
     if categories is None:
         categories = {c: features.category_values(inputs.panel, c) for c in features.CATEGORY_COLUMNS}
     keys = inputs.panel.select("sku").distinct() if keys is None else keys
-    labelled, active = label(inputs.panel, compat)
-    return tables_from_labelled(labelled, active, inputs.meta, inputs.score_items, keys, categories, compat)
+    return tables_from_labelled(lambda active: label(inputs.panel, active, compat), inputs.meta, inputs.score_items, keys, categories, compat)
 
 
 def build_tables(
@@ -134,15 +132,14 @@ def build_tables(
     stage = f"shelfpace_{uuid.uuid4().hex}"
     spark.sql(f"CREATE DATABASE {stage} LOCATION '{shared_folder(spark)}/{stage}'")
     try:
-        staged = []
-        for name, frame in zip(("labelled", "labelled_active"), label(panel, compat, long)):
-            writer = frame.write.format("parquet")
+        for name, active in (("labelled", False), ("labelled_active", True)):
+            writer = label(panel, active, compat, long).write.format("parquet")
             if not long:
                 writer = writer.bucketBy(buckets, "sku").sortBy("sku", "id")
             writer.saveAsTable(f"{stage}.{name}")
-            staged.append(spark.table(f"{stage}.{name}"))
-        keys = staged[0].select("sku").distinct()
-        made = tables_from_labelled(*staged, inputs.meta, inputs.score_items, keys, categories, compat)
+        staged = {False: spark.table(f"{stage}.labelled"), True: spark.table(f"{stage}.labelled_active")}
+        keys = staged[False].select("sku").distinct()
+        made = tables_from_labelled(staged.get, inputs.meta, inputs.score_items, keys, categories, compat)
         return {name: write_table(make(), out, name) for name, make in made.items()}
     finally:
         spark.sql(f"DROP DATABASE {stage} CASCADE")
