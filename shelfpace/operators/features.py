@@ -19,12 +19,20 @@ MAX_CATEGORIES = 2000
 SHARE, ODDS, CHARACTER_RULE = "share", "odds", "character_rule"
 
 
-def category_values(panel: DataFrame, column: str) -> list[str]:
-    """Distinct non-null values in sorted order. They become columns, so too many of them is an error."""
-    rows = panel.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} values; they cannot all become columns")
-    return sorted(r[0] for r in rows)
+def category_values(panel: DataFrame, columns: Sequence[str] = CATEGORY_COLUMNS) -> dict[str, list[str]]:
+    """Distinct non-null values of each column in sorted order, found in one pass.
+
+    The values become columns, so too many of them is an error; nothing is cut off silently.
+    """
+    pairs = [expr for c in columns for expr in (F.lit(c), F.col(c).cast("string"))]
+    found = panel.select(F.stack(F.lit(len(columns)), *pairs).alias("name", "value"))
+    limit = MAX_CATEGORIES * len(columns)
+    rows = found.filter(F.col("value").isNotNull()).distinct().limit(limit + 1).collect()
+    values = {c: sorted(r["value"] for r in rows if r["name"] == c) for c in columns}
+    for column, seen in values.items():
+        if len(seen) > MAX_CATEGORIES or len(rows) > limit:
+            raise ValueError(f"more than {MAX_CATEGORIES} categories ({column}); they cannot all become columns")
+    return values
 
 
 def category_proportions(
@@ -72,7 +80,7 @@ def category_share(
 ) -> DataFrame:
     """Proportions of one categorical column per item; categories are looked up when not given."""
     if values is None:
-        values = category_values(panel, column)
+        values = category_values(panel, [column])[column]
     return panel.groupBy(key).agg(*category_proportions(column, values, rule, drop_first, null_bucket))
 
 
@@ -84,7 +92,7 @@ def sku_features(
 ) -> DataFrame:
     """Category proportions and means per item, in one aggregation."""
     if categories is None:
-        categories = {c: category_values(panel, c) for c in CATEGORY_COLUMNS}
+        categories = category_values(panel)
     proportions = [p for c, values in categories.items() for p in category_proportions(c, values, rule)]
     means = [F.avg(source).alias(name) for name, source in MEANS.items()]
     return panel.groupBy(key).agg(*proportions, *means)

@@ -18,6 +18,8 @@ from shelfpace.functions.windows import series_window
 from shelfpace.operators.series import CURVES, LOOKBACKS, SPLIT_AT, per_split
 
 BLOCK_ROWS = 100_000
+CHUNK_ROWS = 1_000_000
+UNITS = ("year", "month", "day", "hour", "minute", "second")
 
 
 def _join_chunks(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -32,6 +34,18 @@ def _sum_known(left: Column, right: Column) -> Column:
     return F.coalesce(left + right, left, right)
 
 
+def chunk_unit(rows: DataFrame, time: str, key: str = "sku", limit: int = CHUNK_ROWS) -> str:
+    """Coarsest calendar unit whose chunks all stay within ``limit`` rows (the finest one if none does).
+
+    Each try is one count that combines on the map side; one number reaches the driver.
+    """
+    for unit in UNITS:
+        sizes = rows.groupBy(key, F.date_trunc(unit, F.col(time)).alias("_chunk")).count()
+        if (sizes.agg(F.max("count")).first()[0] or 0) <= limit:
+            return unit
+    return UNITS[-1]
+
+
 def number_rows(
     rows: DataFrame, time: str, ties: Sequence[str], chunk: Column, split_at: int = SPLIT_AT, key: str = "sku"
 ) -> DataFrame:

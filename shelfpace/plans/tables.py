@@ -50,7 +50,7 @@ def label(panel: DataFrame, active: bool, compat: bool = False, long: bool = Fal
     """Labelled panel for all days or for active days."""
     frame = s.active_only(panel) if active else panel
     if long:
-        chunk = F.date_trunc("month", F.col("date"))
+        chunk = F.date_trunc(longseries.chunk_unit(frame, "date"), F.col("date"))
         return longseries.labelled_curve(s.add_activity(frame), "date", chunk, running_max=compat)
     return s.labelled_series(frame, running_max=compat)
 
@@ -102,7 +102,7 @@ def feature_tables(
 ) -> dict[str, Callable[[], DataFrame]]:
     """All tables as functions that return lazy plans. ``keys`` are the items of the grid (default: those of the panel)."""
     if categories is None:
-        categories = {c: features.category_values(inputs.panel, c) for c in features.CATEGORY_COLUMNS}
+        categories = features.category_values(inputs.panel)
     keys = inputs.panel.select("sku").distinct() if keys is None else keys
     return tables_from_labelled(lambda active: label(inputs.panel, active, compat), inputs.meta, inputs.score_items, keys, categories, compat)
 
@@ -126,7 +126,7 @@ def build_tables(
     longest = quality.longest_series(inputs.panel)
     long = longest > series_limit
     if categories is None:
-        categories = {c: features.category_values(inputs.panel, c) for c in features.CATEGORY_COLUMNS}
+        categories = features.category_values(inputs.panel)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     panel = inputs.panel if long else inputs.panel.repartition(buckets, "sku")
     stage = f"shelfpace_{uuid.uuid4().hex}"

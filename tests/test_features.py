@@ -67,7 +67,8 @@ def test_features_are_one_aggregation(spark):
     rows = series.add_activity(panel(spark, [row(1, 0, 4.0, 2.0, 10.0), row(1, 1, 4.0, 0.0, 20.0), row(2, 0)]))
     got = by(features.sku_features(rows), "sku")
     assert (got[1]["minutes_active_avg"], got[1]["selling_rate_avg"], got[1]["price_avg"]) == (1.0, 1.0, 15.0)
-    cats = {c: features.category_values(rows, c) for c in features.CATEGORY_COLUMNS}
+    cats = features.category_values(rows)
+    assert cats == {"listing_type": ["A"], "shipping_payment": ["F"], "shipping_logistic_type": ["long"]}
     plan = features.sku_features(rows, cats)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
@@ -95,3 +96,9 @@ def test_active_share(spark):
     rows = series.add_activity(panel(spark, [row(1, 0), row(1, 1, minutes=0.0), row(2, 0, minutes=None)]))
     got = by(features.active_share(rows), "sku")
     assert (got[1]["proportion_active"], got[2]["proportion_active"]) == (0.5, 0.0)
+
+
+def test_too_many_categories_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(features, "MAX_CATEGORIES", 2)
+    with pytest.raises(ValueError, match="categories"):
+        features.category_values(_cats(spark, ["A", "B", "C"]), ["listing_type"])

@@ -113,6 +113,14 @@ def test_chunked_curves_keep_rows_with_null_key_or_time(spark):
     assert sorted((r["sku"] or 0, r["cumsum"]) for r in got.collect()) == [(0, 2.0), (0, 5.0), (1, 1.0), (1, 2.0)]
 
 
+def test_chunk_unit_follows_the_largest_chunk(spark):
+    rows = panel(spark, [row(1, n) for n in range(120)] + [row(2, 0)])
+    assert longseries.chunk_unit(rows, "date", limit=120) == "year"
+    assert longseries.chunk_unit(rows, "date", limit=31) == "month"
+    assert longseries.chunk_unit(rows, "date", limit=1) == "day"
+    assert longseries.chunk_unit(rows, "date", limit=0) == "second"
+
+
 def test_no_chunk_window_holds_a_whole_hot_series(spark):
     rows = _long_input(spark)
     plan = longseries.labelled_curve(rows, "date", F.date_trunc("month", "date"))
