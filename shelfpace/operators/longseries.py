@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfpace.functions.columns import ratio
 from shelfpace.functions.windows import series_window
@@ -19,7 +20,15 @@ from shelfpace.operators.series import CURVES, LOOKBACKS, SPLIT_AT, per_split
 
 BLOCK_ROWS = 100_000
 CHUNK_ROWS = 1_000_000
-UNITS = ("year", "month", "day", "hour", "minute", "second")
+# Seconds per chunk, and length of the same unit in text form (yyyy-MM-dd HH:mm:ss).
+UNITS = {
+    "year": (366 * 86_400, 4),
+    "month": (31 * 86_400, 7),
+    "day": (86_400, 10),
+    "hour": (3_600, 13),
+    "minute": (60, 16),
+    "second": (1, 19),
+}
 
 
 def _join_chunks(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -34,16 +43,25 @@ def _sum_known(left: Column, right: Column) -> Column:
     return F.coalesce(left + right, left, right)
 
 
+def chunk_of(rows: DataFrame, time: str, unit: str) -> Column:
+    """Chunk of each row's time, never decreasing with it. Points in time are counted in fixed steps from
+    the epoch, so that clock changes cannot reorder them; dates and local times are cut as text."""
+    width, length = UNITS[unit]
+    if isinstance(rows.schema[time].dataType, T.TimestampType):
+        return F.floor(F.unix_seconds(F.col(time)) / F.lit(width))
+    return F.substring(F.col(time).cast("string"), 1, length)
+
+
 def chunk_unit(rows: DataFrame, time: str, key: str = "sku", limit: int = CHUNK_ROWS) -> str:
-    """Coarsest calendar unit whose chunks all stay within ``limit`` rows (the finest one if none does).
+    """Coarsest unit whose chunks all stay within ``limit`` rows (the finest one if none does).
 
     Each try is one count that combines on the map side; one number reaches the driver.
     """
     for unit in UNITS:
-        sizes = rows.groupBy(key, F.date_trunc(unit, F.col(time)).alias("_chunk")).count()
+        sizes = rows.groupBy(key, chunk_of(rows, time, unit).alias("_chunk")).count()
         if (sizes.agg(F.max("count")).first()[0] or 0) <= limit:
-            return unit
-    return UNITS[-1]
+            break
+    return unit
 
 
 def number_rows(

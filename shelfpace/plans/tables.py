@@ -50,7 +50,7 @@ def label(panel: DataFrame, active: bool, compat: bool = False, long: bool = Fal
     """Labelled panel for all days or for active days."""
     frame = s.active_only(panel) if active else panel
     if long:
-        chunk = F.date_trunc(longseries.chunk_unit(frame, "date"), F.col("date"))
+        chunk = longseries.chunk_of(frame, "date", longseries.chunk_unit(frame, "date"))
         return longseries.labelled_curve(s.add_activity(frame), "date", chunk, running_max=compat)
     return s.labelled_series(frame, running_max=compat)
 

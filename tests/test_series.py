@@ -121,6 +121,22 @@ def test_chunk_unit_follows_the_largest_chunk(spark):
     assert longseries.chunk_unit(rows, "date", limit=0) == "second"
 
 
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz"])
+def test_chunks_never_go_back_in_time(spark, kind):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # Every 10 minutes around both clock changes of one year.
+        times = spark.range(0, 1000).select(F.expr("timestamp_seconds(1615600000 + id * 600)").alias("t"))
+        times = times.union(times.select(F.expr("t + interval 237 days")))
+        rows = times.select(F.lit(1).alias("sku"), F.col("t").cast(kind).alias("t"))
+        for unit in longseries.UNITS:
+            pairs = rows.select("t", longseries.chunk_of(rows, "t", unit).alias("c")).distinct().collect()
+            chunks = [r["c"] for r in sorted(pairs, key=lambda r: r["t"])]
+            assert chunks == sorted(chunks), unit
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_no_chunk_window_holds_a_whole_hot_series(spark):
     rows = _long_input(spark)
     plan = longseries.labelled_curve(rows, "date", F.date_trunc("month", "date"))
