@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from shelfpace.functions.columns import ratio
 from shelfpace.functions.windows import series_window
-from shelfpace.operators.series import CURVES, LOOKBACKS, SPLIT_AT, per_split
+from shelfpace.operators.series import CURVES, LOOKBACKS, SPLIT_AT, lookback_means, per_split
 
 BLOCK_ROWS = 100_000
 CHUNK_ROWS = 1_000_000
@@ -142,11 +142,8 @@ def rolling_means(
     is_tail = F.pmod(F.col("id") - 1, F.lit(block_rows)) >= block_rows - reach
     homes = F.when(is_tail, F.array(own, own + 1)).otherwise(F.array(own))
     spread = curve.withColumn("_block", F.explode(homes))
-    block = [key, "is_train", "_block"]
-    means = {
-        f"rolling_{c}_{n}": F.avg(c).over(series_window(block, "id", rows=(-n, 0))) for c in columns for n in lookbacks
-    }
-    return spread.withColumns(means).filter(F.col("_block") == own).drop("_block")
+    ordered = series_window([key, "is_train", "_block"], "id")
+    return lookback_means(spread, columns, lookbacks, ordered).filter(F.col("_block") == own).drop("_block")
 
 
 def labelled_curve(

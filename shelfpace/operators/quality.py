@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfpace.functions.columns import ratio
-from shelfpace.functions.windows import series_window
 
 
 def consecutive_dates(panel: DataFrame, key: str = "sku", time: str = "date") -> DataFrame:
@@ -68,13 +67,14 @@ def share_over(histogram: DataFrame, length: str, limit: int = 30) -> DataFrame:
 
 
 def leading_zeros(panel: DataFrame, column: str = "minutes_active", key: str = "sku", time: str = "date") -> DataFrame:
-    """Number of zero rows before the first non-zero one, in date order; rows without a value do not count."""
+    """Number of zero rows before the first non-zero one, in date order; rows without a value do not count.
+
+    No series is gathered: the first non-zero date is an aggregate, and only zero rows are joined to it.
+    """
     value = F.col(column)
-    first_nonzero = F.min(F.when(value != 0, F.col(time))).over(series_window(key))
-    leading = value.isNotNull() & (F.col("_first").isNull() | (F.col(time) < F.col("_first")))
-    return (
-        panel.select(key, time, column)
-        .withColumn("_first", first_nonzero)
-        .groupBy(key)
-        .agg(F.count_if(leading).alias("leading_zeros"))
+    first = panel.groupBy(key).agg(F.min(F.when(value != 0, F.col(time))).alias("_first"))
+    zeros = panel.filter(value == 0).select(F.col(key).alias("_key"), F.col(time).alias("_time"), F.lit(1).alias("_zero"))
+    leading = F.col(key).eqNullSafe(F.col("_key")) & (
+        F.col("_first").isNull() | (F.col("_time") < F.col("_first"))
     )
+    return first.join(zeros, leading, "left").groupBy(key).agg(F.count("_zero").alias("leading_zeros"))

@@ -82,6 +82,31 @@ def running_stock(days: DataFrame, running_max: bool = False, key: str = "sku",
     )
 
 
+def lookback_means(
+    curve: DataFrame, columns: Sequence[str], lookbacks: Sequence[int], ordered: WindowSpec
+) -> DataFrame:
+    """Means of the current row and up to n rows before it on the same side, for every lookback n.
+
+    Days of a side are numbered without gaps, so the row k places back is on the same side exactly when
+    ``id`` exceeds k. The means of all lookbacks add up the same few earlier values; that costs a fraction
+    of one moving frame per mean.
+    """
+    steps = range(1, max(lookbacks) + 1)
+    earlier = {
+        f"_{column}_{k}": F.when(F.col("id") > k, F.lag(column, k).over(ordered)) for column in columns for k in steps
+    }
+    means = {}
+    for column in columns:
+        total, known = F.coalesce(F.col(column), F.lit(0.0)), F.col(column).isNotNull().cast("int")
+        for k in steps:
+            value = F.col(f"_{column}_{k}")
+            total = total + F.coalesce(value, F.lit(0.0))
+            known = known + value.isNotNull().cast("int")
+            if k in lookbacks:
+                means[f"rolling_{column}_{k}"] = ratio(total, known)
+    return curve.withColumns(earlier).withColumns(means).drop(*earlier)
+
+
 def rolling_means(
     curve: DataFrame,
     columns: Sequence[str] = CURVES,
@@ -91,14 +116,10 @@ def rolling_means(
 ) -> DataFrame:
     """Mean of the current day and up to ``lookback`` days before it, on the same side of the split.
 
-    A lookback of n averages n + 1 rows; the first rows of a side average what there is.
+    A lookback of n averages n + 1 rows; the first rows of a side average what there is. Missing values do
+    not count.
     """
-    means = {
-        f"rolling_{column}_{n}": per_split(F.avg, F.col(column), series_window(key, time, rows=(-n, 0)))
-        for column in columns
-        for n in lookbacks
-    }
-    return curve.withColumns(means)
+    return lookback_means(curve, columns, lookbacks, series_window(key, time))
 
 
 def labelled_series(

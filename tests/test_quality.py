@@ -41,6 +41,11 @@ def test_leading_zeros_follow_the_dates(spark):
         assert got[sku]["leading_zeros"] == count, sku
 
 
+def test_leading_zeros_of_a_null_key(spark):
+    rows = panel(spark, [row(None, 0, minutes=0.0), row(None, 1, minutes=2.0), row(None, 2, minutes=0.0)])
+    assert [tuple(r) for r in quality.leading_zeros(rows).collect()] == [(None, 1)]
+
+
 def test_histograms_and_shares(spark):
     rows = [row(k, n, minutes=float(n % 2)) for k, size in ((1, 40), (2, 40), (3, 10)) for n in range(size)]
     hist = quality.length_histogram(panel(spark, rows))

@@ -67,6 +67,16 @@ def test_rolling_means_average_lookback_plus_one_rows(spark):
     assert [got[day(n)]["rolling_cumsum_5"] for n in range(4)] == [1.0, 1.5, 2.0, 1.0]
 
 
+def test_rolling_means_equal_moving_frames(spark):
+    rows = series.labelled_series(_long_input(spark, hot=80))
+    for column in series.CURVES:
+        for n in series.LOOKBACKS:
+            frame = series_window(["sku", "is_train"], "id", rows=(-n, 0))
+            gap = F.abs(F.avg(column).over(frame) - F.col(f"rolling_{column}_{n}"))
+            mixed = F.avg(column).over(frame).isNull() != F.col(f"rolling_{column}_{n}").isNull()
+            assert rows.select(gap.alias("gap"), mixed.alias("mixed")).filter("gap > 1e-9 or mixed").count() == 0
+
+
 def test_whole_chain_needs_one_exchange_and_one_sort(spark):
     rows = panel(spark, [row(k, n) for k in range(3) for n in range(3)])
     plan = series.labelled_series(rows)._jdf.queryExecution().executedPlan().toString()
