@@ -8,29 +8,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfpace.functions.windows import series_window
+from shelfpace.session import cut_lineage
 
-PREFIX_CHARACTERS = 3
+# Fixed value: monotonically_increasing_id keeps the row's place in its partition in the lower 33 bits.
+PLACE_BITS = 33
 
 
 def category_codes(frames: list[DataFrame], column: str = "item_domain_id") -> DataFrame:
     """Codes 0, 1, 2, ... for the distinct values of all frames in binary text order.
 
-    Every frame is reduced to its distinct values before the union. Ranks come from two levels: the
-    number of values with a smaller prefix, then the rank among those with the same prefix, so no task
-    has to sort the whole vocabulary.
+    Every frame is reduced to its distinct values before the union. A distributed sort splits the words
+    into ranges of even size, which the checkpoint then fixes; a word's code is its place in its range plus
+    the sizes of the ranges before it. No task sees more than one range.
     """
     distinct = [f.select(column).distinct() for f in frames]
     words = reduce(DataFrame.unionAll, distinct).filter(F.col(column).isNotNull()).distinct()
-    words = words.withColumn("prefix", F.substring(column, 1, PREFIX_CHARACTERS))
-    # One row per prefix goes through the unpartitioned window.
-    before = (
-        words.groupBy("prefix")
-        .count()
-        .withColumn("before", F.sum("count").over(series_window([], "prefix")) - F.col("count"))
-        .drop("count")
+    row = F.monotonically_increasing_id()
+    placed = cut_lineage(words.orderBy(column)).withColumn("_row", row)
+    placed = placed.select(
+        column,
+        F.shiftright("_row", PLACE_BITS).alias("range"),
+        F.col("_row").bitwiseAND(2**PLACE_BITS - 1).alias("place"),
     )
-    rank = F.row_number().over(series_window("prefix", column)) - 1
-    return words.join(before, "prefix").select(column, (F.col("before") + rank).cast("int").alias("code"))
+    # One row per range goes through the unpartitioned window.
+    sizes = placed.groupBy("range").count()
+    starts = sizes.select("range", (F.sum("count").over(series_window([], "range")) - F.col("count")).alias("start"))
+    return placed.join(starts, "range").select(column, (F.col("start") + F.col("place")).cast("int").alias("code"))
 
 
 def encode(frame: DataFrame, codes: DataFrame, column: str = "item_domain_id") -> DataFrame:

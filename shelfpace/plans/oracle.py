@@ -316,6 +316,11 @@ def oracle_sql() -> dict[str, str]:
             plain,
             f"SELECT sku, {', '.join(_shares('listing_type', 'odds'))} FROM b_sided WHERE is_train = 1 GROUP BY sku",
         ),
+        "category_share_drop_first": _with(
+            plain,
+            f"SELECT sku, {', '.join(_shares('listing_type', 'share')[1:])} "
+            "FROM b_sided WHERE is_train = 1 GROUP BY sku",
+        ),
         "sku_features": _with(full, _features("b_sided", 1, "share")),
         "sku_features_compat": _with(full, _features("b_sided", 1, "character_rule")),
         "weekday_profile": _with(plain, _weekdays("b_sided", 1, False)),

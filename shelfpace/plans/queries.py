@@ -167,9 +167,9 @@ def event_curve(spark: SparkSession, sf: str) -> DataFrame:
     return curve.select("sku", "event_id", "id", "is_train", "cumsum", "max", "cumsum_pc", *ROLLING)
 
 
-def category_share(spark: SparkSession, sf: str, column: str, rule: str) -> DataFrame:
+def category_share(spark: SparkSession, sf: str, column: str, rule: str, drop_first: bool = False) -> DataFrame:
     frame = _side(spark, sf, True, (column,))
-    return features.category_share(frame, column, CATEGORIES[column], rule)
+    return features.category_share(frame, column, CATEGORIES[column], rule, drop_first)
 
 
 def sku_features(spark: SparkSession, sf: str, rule: str = features.SHARE) -> DataFrame:
@@ -304,13 +304,18 @@ def group_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.group_sample(retail.sku_daily(spark, sf)).select("sku", "date", "sold_quantity")
 
 
+def _late_chances(spark: SparkSession, sf: str) -> DataFrame:
+    """Distributions for the later days. Day numbers are the classes, so later days than the grid has are
+    no labels; the grid of the tables leaves them out too."""
+    return _chances(_side(spark, sf, False).filter(F.col("id") <= grid.GRID_DAYS).select("sku", "id"))
+
+
 def rps_score(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.ranked_probability_score(_chances(_side(spark, sf, False).filter("id <= 30").select("sku", "id")))
+    return scoring.ranked_probability_score(_late_chances(spark, sf))
 
 
 def rps_residual(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _chances(_side(spark, sf, False).filter("id <= 30").select("sku", "id"))
-    scored = scoring.score_residuals(rows)
+    scored = scoring.score_residuals(_late_chances(spark, sf))
     wide: list[Column] = [F.col("gradient")[k].alias(f"g_{k + 1}") for k in range(30)]
     return scored.select("sku", "id", *wide, F.aggregate("curvature", F.lit(0.0), lambda a, v: a + v).alias("h_sum"))
 
@@ -327,7 +332,7 @@ def probability_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def day_distribution(spark: SparkSession, sf: str) -> DataFrame:
     """Fit on the early days of the scored items, predict the distribution for each stock level to score."""
-    codes = cut_lineage(_codes(spark, sf))
+    codes = _codes(spark, sf)
     train = cut_lineage(encoding.encode(_target(spark, sf, True), codes))
     maxima = cut_lineage(t.sku_max(train))
     rows = model.weighted(train, maxima, model.DEFAULT_CONFIG)
@@ -339,7 +344,7 @@ def day_distribution(spark: SparkSession, sf: str) -> DataFrame:
 
 def config_search(spark: SparkSession, sf: str) -> DataFrame:
     """Trials of a short random search, best first."""
-    codes = cut_lineage(_codes(spark, sf))
+    codes = _codes(spark, sf)
     train, validation = [cut_lineage(encoding.encode(_target(spark, sf, side), codes)) for side in (True, False)]
     maxima = cut_lineage(t.sku_max(train))
     trials, _ = model.search(spark, train, validation, maxima, model.draw_configs(3), trees=5)
@@ -373,6 +378,7 @@ def queries() -> dict[str, Query]:
         "category_share": lambda x, d: category_share(x, d, "shipping_logistic_type", features.SHARE),
         "category_share_compat": lambda x, d: category_share(x, d, "shipping_logistic_type", features.CHARACTER_RULE),
         "category_odds": lambda x, d: category_share(x, d, "listing_type", features.ODDS),
+        "category_share_drop_first": lambda x, d: category_share(x, d, "listing_type", features.SHARE, True),
         "sku_features": sku_features,
         "sku_features_compat": lambda x, d: sku_features(x, d, features.CHARACTER_RULE),
         "weekday_profile": weekday_profile,

@@ -118,9 +118,9 @@ def build_tables(
 ) -> dict[str, str]:
     """Write all tables below ``out`` and return their paths.
 
-    The panel is shuffled once, by item. Both labelled panels are written to the shared folder bucketed by
-    item, so the seventeen tables read them without another shuffle and a lost executor costs no
-    recomputation from the source. Series beyond ``series_limit`` rows take the chunked way and are
+    The panel is shuffled by item once for each of the two labelled panels. These are written to the shared
+    folder bucketed by item, so the seventeen tables read them without another shuffle and a lost executor
+    costs no recomputation from the source. Series beyond ``series_limit`` rows take the chunked way and are
     staged without buckets, because one bucket would then hold one item's whole history.
     """
     longest = quality.longest_series(inputs.panel)

@@ -90,6 +90,17 @@ def test_category_codes_are_dense_and_sorted(spark):
     assert {r["item_domain_id"]: r["code"] for r in got} == {w: i for i, w in enumerate(want)}
 
 
+def test_category_codes_span_several_ranges(spark):
+    words = spark.range(0, 50_000, numPartitions=8).select(F.format_string("w%05d", "id").alias("item_domain_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        codes = encoding.category_codes([words])
+        assert codes.count() == 50_000
+        assert codes.filter(F.col("code") != F.substring("item_domain_id", 2, 5).cast("int")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_encode_keeps_columns_and_rows(spark):
     frame = spark.createDataFrame([(1, "b"), (2, None), (3, "a")], "sku long, item_domain_id string")
     codes = encoding.category_codes([frame, spark.createDataFrame([("",)], "item_domain_id string")])
