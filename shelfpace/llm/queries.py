@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfpace.llm import token_counts, token_files
+from shelfpace.llm import quality_rules, token_counts, token_files
 from shelfpace.llm.staging import new_folder
 
 
@@ -20,6 +20,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts and learned verdict for all documents."""
+    return quality_rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Token files of all documents, read back."""
     path = new_folder(spark, "token-files")
@@ -33,7 +38,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op9_token_files, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
