@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfpace.llm import quality_rules, token_counts, token_files
+from shelfpace.llm import quality_rules, token_counts, token_files, toxicity
 from shelfpace.llm.staging import new_folder
 
 
@@ -25,6 +25,12 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected severity of all documents."""
+    docs = _table(spark, folder, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, _table(spark, folder, "labels")))
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Token files of all documents, read back."""
     path = new_folder(spark, "token-files")
@@ -38,7 +44,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op8_toxicity, op9_token_files, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
