@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfpace.llm import decontaminate, quality_rules, token_counts, token_files, toxicity
+from shelfpace.llm import decontaminate, mixing, quality_rules, token_counts, token_files, toxicity
 from shelfpace.llm.staging import new_folder
 
 
@@ -25,6 +25,11 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents mixed to the target weights, up to two epochs of a leaf."""
+    return mixing.choose(_table(spark, folder, "documents"), epochs=2)
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items found in all documents."""
     return decontaminate.decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -49,8 +54,8 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op6_decontamination, op8_toxicity, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op5_mixing, op6_decontamination, op8_toxicity, op9_token_files, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": mixing.ORACLE}
