@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfpace.llm import chat_format, decontaminate, mixing, quality_rules, token_counts, token_files, toxicity
+from shelfpace.llm import chat_format, decontaminate, mixing, pii, quality_rules, token_counts, token_files, toxicity
 from shelfpace.llm.staging import new_folder
 
 
@@ -43,6 +43,11 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.digest(pii.find_personal_data(_table(spark, folder, "documents")))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Expected severity of all documents."""
     docs = _table(spark, folder, "documents")
@@ -62,7 +67,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_chat_format, op5_mixing, op6_decontamination, op8_toxicity, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_chat_format, op5_mixing, op6_decontamination, op7_pii, op8_toxicity, op9_token_files, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
