@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfpace.llm import chat_format, decontaminate, mixing, pii, quality_rules, token_counts, token_files, toxicity
+from shelfpace.llm import chat_format, decontaminate, jaccard_join, mixing, pii, quality_rules, token_counts, token_files, toxicity
 from shelfpace.llm.staging import new_folder
 
 
@@ -25,6 +25,11 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return jaccard_join.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of all conversations, and of one whose texts hold control strings, read back from their windows."""
     injected = [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
@@ -67,7 +72,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_chat_format, op5_mixing, op6_decontamination, op7_pii, op8_toxicity, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_chat_format, op5_mixing, op6_decontamination, op7_pii, op8_toxicity, op9_token_files, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
