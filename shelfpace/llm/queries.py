@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfpace.llm import chat_format, decontaminate, jaccard_join, mixing, pii, quality_rules, token_counts, token_files, toxicity
+from shelfpace.llm import chat_format, decontaminate, jaccard_join, mixing, pii, quality_rules, suffix_dedup, token_counts, token_files, toxicity
 from shelfpace.llm.staging import new_folder
 
 
@@ -38,6 +38,11 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.digests(chat_format.chat_windows(rows))
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated passages taken out of all documents."""
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, folder, "documents")))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents mixed to the target weights, up to two epochs of a leaf."""
     return mixing.choose(_table(spark, folder, "documents"), epochs=2)
@@ -72,7 +77,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_chat_format, op5_mixing, op6_decontamination, op7_pii, op8_toxicity, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_chat_format, op4_suffix_dedup, op5_mixing, op6_decontamination, op7_pii, op8_toxicity, op9_token_files, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
