@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -31,8 +32,8 @@ from shelfpace.llm.staging import stage
 
 SHINGLE = 5  # words
 PERCENT = 80  # similarity
-CELLS = 1 << 20  # of the sketch of token frequencies
-CHUNK = 1024  # cells per row while the sketch is summed
+CELLS = 1 << 23  # of the sketch of token frequencies, a byte each
+CHUNK = 1 << 15  # cells per row while the sketch is summed
 ROUNDS = 5
 MEMBERS = 64  # about so many nodes in a group of the matrix
 
@@ -77,12 +78,13 @@ def _identities(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
 
 
 def _cells(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CELLS, np.int64)
+    counts = np.zeros(CELLS, np.int32)
     shift = np.uint64(64 - int(math.log2(CELLS)))
     for batch in slices(batches):
         sets = list(shingle_sets(batch.column("text"), size))
-        counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=CELLS)
-    parts = counts.astype(np.int32).reshape(-1, CHUNK)
+        cells, times = np.unique((np.concatenate(sets) >> shift).astype(np.int32), return_counts=True)
+        counts[cells] += times.astype(np.int32)
+    parts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, CHUNK)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "cells"])
 
 
@@ -90,21 +92,21 @@ def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, cells in zip(batch.column("chunk").to_pylist(), batch.column("cells"), strict=True):
-            total[chunk] = total.get(chunk, 0) + np.frombuffer(cells.as_py(), np.int32).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "cells"])
+            total[chunk] = total.get(chunk, 0) + np.frombuffer(cells.as_py(), np.uint8).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([np.ceil(8 * np.log2(v + 1)).astype(np.uint8).tobytes() for v in total.values()], pa.binary())], ["chunk", "cells"])
 
 
 def rarity(rows: DataFrame, size: int = SHINGLE) -> np.ndarray:
-    """Class of frequency (bits of the count) of each cell of hash values, counted over all texts.
+    """Class of frequency (eighths of the bits of the count) of each cell of hash values, counted over all texts.
 
-    A fixed number of cells, so what comes to the driver and goes to the tasks does not grow.
+    A fixed number of cells, so what comes to the driver and goes to the tasks does not grow. Any classes give right results;
+    fine ones keep passages of many texts out of the prefixes.
     """
     parts = rows.select("text").mapInArrow(partial(_cells, size=size), "chunk long, cells binary")
     added = parts.repartition("chunk").mapInArrow(_add_cells, "chunk long, cells binary").toPandas().sort_values("chunk")
     if not len(added):
         return np.zeros(CELLS, np.uint8)
-    counts = np.frombuffer(b"".join(added["cells"]), np.int64)
-    return np.ceil(np.log2(counts + 1)).astype(np.uint8)
+    return np.frombuffer(b"".join(added["cells"]), np.uint8)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -123,8 +125,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, classe
             highs.append(int.from_bytes(digest[8:], "little", signed=True))
         if parts:
             times = [len(p) for p in parts]
-            columns = [np.concatenate(parts).view(np.int64), np.repeat(ns, times), np.repeat(np.array(lows, np.int64), times), np.repeat(np.array(highs, np.int64), times)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "n", "low", "high"])
+            columns = [np.concatenate(parts).view(np.int64), np.repeat(ns, times), np.repeat(np.array(lows, np.int64), times), np.repeat(np.array(highs, np.int64), times), np.concatenate([np.arange(t) for t in times])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "n", "low", "high", "at"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -167,15 +169,29 @@ def _size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent)) + 1e-9)
 
 
+def _can_reach(percent: int) -> Column:
+    """Whether two sets of n and n2 tokens can reach the similarity.
+
+    ``shared`` of their prefix tokens are equal, the last at places i and j. All prefix tokens before these places that are
+    not shared are in one set only, because both prefixes follow one order.
+    """
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100 + percent) - 1e-9)
+    most = F.least(F.col("n") - (F.col("i") + 1 - F.col("shared")), F.col("n2") - (F.col("j") + 1 - F.col("shared")))
+    return (most >= need) & (F.least("n", "n2") >= need)
+
+
 def _merge_rounds(postings: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
     """(node, comp) after the rounds in which each group sends one member to the group it shares most with."""
     labels = stage(postings.select("node").distinct().withColumn("comp", F.col("node")), "labels")
     for r in range(rounds):
-        seen = postings.join(labels, "node").groupBy("token", "comp").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(r))).alias("m"))
+        seen = postings.join(labels, "node").groupBy("token", "comp").agg(F.min_by(F.struct("node", "n", "at"), F.xxhash64("node", F.lit(r))).alias("m"))
         first = F.min(F.struct("comp", "m")).over(Window.partitionBy("token"))
-        pairs = seen.withColumn("p", first).filter("comp <> p.comp").filter(f"100 * least(m.n, p.m.n) >= {percent} * greatest(m.n, p.m.n)")
-        counted = pairs.groupBy("comp", F.col("p.comp").alias("other")).agg(F.count("*").alias("shared"), F.min_by(F.struct(F.col("m.node").alias("l"), F.col("p.m.node").alias("r")), F.xxhash64("token", F.lit(r))).alias("pair"))
-        chosen = counted.groupBy("comp").agg(F.max(F.struct("shared", -F.col("other"), "other", "pair")).alias("best")).select(F.col("comp").alias("a"), F.col("best.other").alias("b"), "best.pair.l", "best.pair.r")
+        pairs = seen.withColumn("p", first).filter("comp <> p.comp").select(
+            "comp", F.col("p.comp").alias("other"), F.col("m.node").alias("l"), F.col("p.m.node").alias("r"), F.col("m.n").alias("n"), F.col("p.m.n").alias("n2"), F.col("m.at").alias("i"), F.col("p.m.at").alias("j")
+        )
+        counted = pairs.groupBy("comp", "other", "l", "r").agg(F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"), F.first("n").alias("n"), F.first("n2").alias("n2"))
+        counted = counted.filter(_can_reach(percent))
+        chosen = counted.groupBy("comp").agg(F.max(F.struct("shared", -F.col("other"), "other", "l", "r")).alias("best")).select(F.col("comp").alias("a"), F.col("best.other").alias("b"), "best.l", "best.r")
         left = sets.select(F.col("node").alias("l"), F.col("tokens").alias("left_tokens"))
         right = sets.select(F.col("node").alias("r"), F.col("tokens").alias("right_tokens"))
         linked = chosen.join(left, "l").join(right, "r").select("a", "b", "left_tokens", "right_tokens").mapInArrow(partial(_check_pairs, percent=percent), "a long, b long")
@@ -200,14 +216,27 @@ def _group_links(postings: DataFrame, labels: DataFrame, sets: DataFrame, percen
     key = ["comp", "size", "part"]
     stored = dealt.join(sets, "node").groupBy(*key).agg(F.collect_list("tokens").alias("members"))
     stored = stored.withColumn("all_tokens", F.sort_array(F.array_distinct(F.flatten("members"))))
-    matrix = seen.select("token", "node").join(dealt, "node").select("token", *key).distinct()
-    asked = seen.select("token", "node", "comp", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"))
+    held = dealt.groupBy(*key).agg(F.count("*").alias("held"))
+    matrix = seen.select("token", "node", "n", "at").join(dealt, "node").groupBy("token", *key).agg(F.max("at").alias("j"), F.max("n").alias("n2"))
     matrix = matrix.withColumnRenamed("comp", "group_comp")
-    opened = asked.join(matrix, ["token", "size"]).filter("comp > group_comp").select("node", "comp", "group_comp", "size", "part").distinct()
+    asked = seen.select("token", "node", "n", F.col("at").alias("i"), "comp", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"))
+    met = asked.join(matrix, ["token", "size"]).filter("comp > group_comp").groupBy("node", "comp", "group_comp", "size", "part")
+    met = met.agg(F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"), F.first("n").alias("n"), F.first("n2").alias("n2"))
+    # For a group of one node the places tell more; larger groups are bounded by their unions alone.
+    opened = met.join(held.withColumnRenamed("comp", "group_comp"), ["group_comp", "size", "part"]).filter((F.col("held") > 1) | _can_reach(percent))
+    opened = opened.select("node", "comp", "group_comp", "size", "part")
     full = opened.join(sets, "node").join(stored.withColumnRenamed("comp", "group_comp"), ["group_comp", "size", "part"])
     return full.select("comp", "group_comp", "tokens", "members", "all_tokens").mapInArrow(partial(_open_groups, percent=percent), "a long, b long").distinct()
 
 
+def _bucketed(sets: DataFrame) -> DataFrame:
+    """The sets as a table bucketed by node, so that no join moves them again."""
+    spark = sets.sparkSession
+    name = f"shelfpace_sets_{uuid.uuid4().hex}"
+    sets.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").sortBy("node").saveAsTable(name)
+    return spark.table(name)
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS, members: int = MEMBERS) -> DataFrame:
     """doc_id, n_shingles, component_id per document; a component is what links of the similarity or more reach.
 
@@ -220,16 +249,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     known = stage(rows.mapInArrow(partial(_identities, size=size), "doc_id long, n long, low long, high long"), "identities")
     nodes = stage(known.filter("n > 0").groupBy("low", "high").agg(F.min("doc_id").alias("node")).filter("node is not null"), "nodes")
     classes = rarity(rows, size)
-    prefixes = rows.mapInArrow(partial(_prefixes, size=size, percent=percent, classes=classes), "token long, n long, low long, high long")
+    prefixes = rows.mapInArrow(partial(_prefixes, size=size, percent=percent, classes=classes), "token long, n long, low long, high long, at long")
     # One exchange by token serves both the distinct postings and the test for a second node.
-    postings = prefixes.repartition("token").groupBy("token", "low", "high").agg(F.first("n").alias("n"))
+    postings = prefixes.repartition("token").groupBy("token", "low", "high").agg(F.first("n").alias("n"), F.first("at").alias("at"))
     several = F.count("*").over(Window.partitionBy("token"))
-    postings = postings.withColumn("k", several).filter("k > 1").drop("k").join(nodes, ["low", "high"]).select("token", "node", "n")
+    postings = postings.withColumn("k", several).filter("k > 1").drop("k").join(nodes, ["low", "high"]).select("token", "node", "n", "at")
     postings = stage(postings, "postings")
     wanted = stage(postings.select("node").distinct(), "wanted")
     texts = rows.join(wanted, rows["doc_id"] == wanted["node"]).select("node", "text")
     sets = texts.mapInArrow(partial(_sets, size=size), "node long, tokens array<long>")
-    sets = stage(sets, "sets")
+    sets = _bucketed(sets)
     labels = _merge_rounds(postings, sets, percent, rounds)
     roots = contract(_group_links(postings, labels, sets, percent, members)).select(F.col("label").alias("comp"), "root")
     labels = labels.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
