@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 16 << 20  # text worked on at once; a longer text forms a slice of its own
+SLICE_BYTES = 4 << 20  # text worked on at once; a longer text forms a slice of its own
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from shelfpace.llm.arrowtext import slices, word_codes
 from shelfpace.llm.components import contract
-from shelfpace.llm.staging import stage
+from shelfpace.llm.staging import small_batches, stage
 
 SHINGLE = 5  # words
 PERCENT = 80  # similarity
@@ -259,8 +259,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     texts = rows.join(wanted, rows["doc_id"] == wanted["node"]).select("node", "text")
     sets = texts.mapInArrow(partial(_sets, size=size), "node long, tokens array<long>")
     sets = _bucketed(sets)
-    labels = _merge_rounds(postings, sets, percent, rounds)
-    roots = contract(_group_links(postings, labels, sets, percent, members)).select(F.col("label").alias("comp"), "root")
+    with small_batches(rows.sparkSession):
+        labels = _merge_rounds(postings, sets, percent, rounds)
+        roots = contract(_group_links(postings, labels, sets, percent, members)).select(F.col("label").alias("comp"), "root")
     labels = labels.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
     found = stage(nodes.join(labels, "node", "left").select("low", "high", F.coalesce("comp", "node").alias("component_id")), "node-components")
     whole = known.join(found, ["low", "high"], "left")
