@@ -45,11 +45,11 @@ PANEL_FULL = """sku_daily AS (
 META_RAW = """meta_raw AS (
   SELECT p_partkey AS sku, CASE WHEN p_type <> 'PROMO'
       THEN 'X-' || p_brand || '-' || p_type || ' ' || p_brand END AS item_domain_id, p_brand AS site_id
-  FROM part WHERE p_brand <> 'Brand#13')"""
+  FROM part)"""
 META = f"""{META_RAW},
 meta AS (SELECT sku, COALESCE(regexp_replace(item_domain_id, '^.*-', ''), '') AS item_domain_id,
   COALESCE(site_id, '') AS site_id FROM meta_raw)"""
-SCORED = "scored AS (SELECT p_partkey AS sku, CAST(p_size AS DOUBLE) AS target_stock FROM part WHERE p_size <= 20)"
+SCORED = "scored AS (SELECT p_partkey AS sku, CAST(p_size * 15 AS DOUBLE) AS target_stock FROM part)"
 
 
 def _chain(prefix: str = "", active: bool = False, running_max: bool = False) -> list[str]:

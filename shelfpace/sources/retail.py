@@ -62,8 +62,8 @@ def sku_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata with prefixed domains, some of them null (promotional parts), and without the items of one brand."""
-    part = _read(spark, sf_dir, "part").filter(F.col("p_brand") != "Brand#13")
+    """Metadata of every part, with prefixed domains, some of them null (promotional parts)."""
+    part = _read(spark, sf_dir, "part")
     domain = F.concat(F.lit("X-"), F.col("p_brand"), F.lit("-"), F.col("p_type"), F.lit(" "), F.col("p_brand"))
     return part.select(
         F.col("p_partkey").alias("sku"),
@@ -73,9 +73,9 @@ def item_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items short of stock (20 units or fewer), with that stock."""
-    part = _read(spark, sf_dir, "part").filter(F.col("p_size") <= 20)
-    return part.select(F.col("p_partkey").alias("sku"), F.col("p_size").cast("double").alias("target_stock"))
+    """Every part with a stock level; the factor spreads the levels over the range of the running stock."""
+    part = _read(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias("sku"), (F.col("p_size") * 15).cast("double").alias("target_stock"))
 
 
 def user_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
