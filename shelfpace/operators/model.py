@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -14,14 +16,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfpace.operators.sampling import group_sample
-from shelfpace.operators.scoring import CLASSES, log_loss
-from shelfpace.operators.target import exact_quantile, sample_weights
+from shelfpace.operators.scoring import CLASSES, log_loss, ranked_probability_score
+from shelfpace.operators.target import exact_quantile, sample_weights, weights_from_cut, with_cut
 
-FEATURES = ("sku", "target_stock", "target_missing", "item_domain_id")
+FEATURES = ("sku", "stock_or_zero", "target_missing", "item_domain_id")
 
-# Ranges of the search. Whole-number ranges exclude their upper end.
+# Share of each prediction spread evenly over the days, because the leaves of a forest give exact zeros.
+SMOOTHING = 0.01
+# Rows of one partition of a fit.
+LAYOUT_ROWS = 100_000
+# Weights that judge trials: rows with a known target count alike, the others (mostly empty grid days) not at all.
+JUDGE_WEIGHTS = {"null_weight": 0.0, "outlier_weight": 1.0, "delta_inf": 0.0}
+
+# Ranges of the search, but for the leaf size, a share of the total weight here. Whole-number ranges exclude their upper end.
 SEARCH_SPACE = {
-    "min_child_weight": (100, 5000, int),
+    "min_leaf_share": (0.0, 0.01, float),
     "max_depth": (2, 7, int),
     "subsample": (0.4, 1.0, float),
     "colsample_bytree": (0.4, 1.0, float),
@@ -30,7 +39,7 @@ SEARCH_SPACE = {
     "delta_inf": (0.0, 6.0, float),
 }
 DEFAULT_CONFIG = {
-    "min_child_weight": 1,
+    "min_leaf_share": 0.0,
     "max_depth": 5,
     "subsample": 1.0,
     "colsample_bytree": 1.0,
@@ -41,11 +50,12 @@ DEFAULT_CONFIG = {
 
 
 def feature_rows(frame: DataFrame) -> DataFrame:
-    """Numeric feature columns; a missing target becomes 0 plus a flag, because trees here cannot take nulls."""
+    """Numeric feature columns; a missing target becomes 0 plus a flag, because trees here cannot take nulls.
+    ``target_stock`` itself stays as it is."""
     return frame.withColumns(
         {
             "target_missing": F.when(F.col("target_stock").isNull(), 1.0).otherwise(0.0),
-            "target_stock": F.coalesce(F.col("target_stock").cast("double"), F.lit(0.0)),
+            "stock_or_zero": F.coalesce(F.col("target_stock").cast("double"), F.lit(0.0)),
         }
     )
 
@@ -67,6 +77,13 @@ def weighted(frame: DataFrame, maxima: DataFrame, config: dict) -> DataFrame:
     return sample_weights(frame, maxima, bound, config["null_weight"], config["outlier_weight"])
 
 
+def fixed_layout(rows: DataFrame, layout_rows: int = LAYOUT_ROWS) -> DataFrame:
+    """Rows in an order and partitions that depend on the rows alone, so that the same seed draws the same trees
+    however the input was laid out. Rows are spread by key and day, so a hot key does not fill one partition."""
+    parts = max(1, math.ceil(rows.count() / layout_rows))
+    return rows.repartition(parts, "sku", "label").sortWithinPartitions("sku", "label", "stock_or_zero", "weight")
+
+
 def fit_days(train: DataFrame, config: dict, trees: int = 20, seed: int = 42, classes: int = CLASSES) -> PipelineModel:
     """Random forest over the weighted rows; the columns of ``train`` are those of ``sample_weights``."""
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
@@ -77,20 +94,50 @@ def fit_days(train: DataFrame, config: dict, trees: int = 20, seed: int = 42, cl
         probabilityCol="probability",
         numTrees=trees,
         maxDepth=int(config["max_depth"]),
-        minInstancesPerNode=int(config["min_child_weight"]),
+        minWeightFractionPerNode=float(config["min_leaf_share"]),
         subsamplingRate=min(float(config["subsample"]), 1.0),
         featureSubsetStrategy=str(min(float(config["colsample_bytree"]), 1.0)),
         seed=seed,
     )
-    rows = assembler.transform(labelled_rows(train, classes)).select("features", "label", "weight")
+    rows = assembler.transform(fixed_layout(labelled_rows(train, classes))).select("features", "label", "weight")
     return PipelineModel(stages=[assembler, forest.fit(rows)])
 
 
-def predict_days(model: PipelineModel, frame: DataFrame) -> DataFrame:
-    """Add ``probabilities``: one entry per day."""
+def predict_days(
+    model: PipelineModel, frame: DataFrame, smoothing: float = SMOOTHING, classes: int = CLASSES
+) -> DataFrame:
+    """Add ``probabilities``: one entry above 0 per day, their sum 1."""
     scored = model.transform(feature_rows(frame))
-    added = ("target_missing", "features", "rawPrediction", "probability", "prediction")
-    return scored.withColumn("probabilities", vector_to_array("probability")).drop(*added)
+    smooth = F.transform(
+        vector_to_array("probability"), lambda p: p * F.lit(1.0 - smoothing) + F.lit(smoothing / classes)
+    )
+    added = ("target_missing", "stock_or_zero", "features", "rawPrediction", "probability", "prediction")
+    return scored.withColumn("probabilities", smooth).drop(*added)
+
+
+def evaluate(model: PipelineModel, train: DataFrame, validation: DataFrame, classes: int = CLASSES) -> DataFrame:
+    """Scores on the later days, one row: the weighted log loss over all rows (``validation`` has ``weight``); the log
+    loss and ranked-probability score over rows with a known target; and for these the losses of a uniform guess and
+    of the training shares of the days."""
+    known = F.col("target_stock").isNotNull()
+    days = train.filter(known & F.col("id").between(1, classes)).groupBy("id").count()
+    counts = {r["id"]: r["count"] for r in days.collect()}  # one row per day of the grid
+    total = sum(counts.values()) + classes
+    prior = F.array(*[F.lit((counts.get(k, 0) + 1) / total) for k in range(1, classes + 1)])
+    judged = predict_days(model, validation, classes=classes).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sure = judged.filter(known)
+        scores = {
+            "weighted_loss": log_loss(judged).first()[0],
+            "known_loss": log_loss(sure, weight=None).first()[0],
+            "ranked_score": ranked_probability_score(sure).first()[0],
+            "uniform_loss": math.log(classes),
+            "prior_loss": log_loss(sure.withColumn("probabilities", prior), weight=None).first()[0],
+        }
+    finally:
+        judged.unpersist()
+    schema = ", ".join(f"{name} double" for name in scores)
+    return train.sparkSession.createDataFrame([tuple(scores.values())], schema)
 
 
 def draw_configs(count: int, seed: int = 42, space: dict | None = None) -> list[dict]:
@@ -114,22 +161,31 @@ def search(
     share: float = 0.2,
     trees: int = 20,
     seed: int = 42,
+    compat: bool = False,
+    parallel: int = 4,
 ) -> tuple[DataFrame, dict]:
-    """Fit every configuration on a sample of the items, judge it by weighted log loss on the later days.
+    """Fit every configuration on a sample of the items, judge it by weighted log loss on all later days.
 
-    Returns the trials, best first, and the best configuration with its ``qq``.
+    All trials are judged with ``JUDGE_WEIGHTS``; ``compat`` judges each with its own weights, as the historical job
+    did. ``parallel`` trials run at a time. Returns the trials, best first, and the best configuration with its ``qq``.
     """
-    x_train = group_sample(train, share, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    x_val = group_sample(validation, share, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    x_train = with_cut(group_sample(train, share, seed), maxima).persist(StorageLevel.MEMORY_AND_DISK)
+    x_val = with_cut(validation, maxima).persist(StorageLevel.MEMORY_AND_DISK)
     qq = exact_quantile(maxima, "target_stock", 0.25).first()[0]
-    trials = []
+
+    def weigh(rows: DataFrame, weights: dict) -> DataFrame:
+        bound = float(qq) - float(weights["delta_inf"])
+        return weights_from_cut(rows, bound, weights["null_weight"], weights["outlier_weight"])
+
+    def run_trial(number: int, drawn: dict) -> dict:
+        config = {**drawn, "qq": qq}
+        model = fit_days(weigh(x_train, config), config, trees, seed)
+        judged = predict_days(model, weigh(x_val, config if compat else JUDGE_WEIGHTS))
+        return {"trial": number, "log_loss": log_loss(judged).first()[0], **config}
+
     try:
-        for number, drawn in enumerate(configs):
-            config = {**drawn, "qq": qq}
-            model = fit_days(weighted(x_train, maxima, config), config, trees, seed)
-            judged = predict_days(model, weighted(x_val, maxima, config))
-            loss = log_loss(judged).first()[0]
-            trials.append({"trial": number, "log_loss": loss, **config})
+        with ThreadPoolExecutor(parallel) as pool:
+            trials = list(pool.map(run_trial, range(len(configs)), configs))
     finally:
         x_train.unpersist()
         x_val.unpersist()

@@ -38,9 +38,9 @@ def log_score_targets(items: DataFrame) -> DataFrame:
     return items.withColumn("target_stock", log_stock(F.col("target_stock")))
 
 
-def narrow_types(frame: DataFrame) -> DataFrame:
+def narrow_types(frame: DataFrame, key_type: str = "int") -> DataFrame:
     """Smallest types the model table needs; a key that does not fit raises instead of wrapping."""
-    types = {"sku": "int", "id": "tinyint", "target_stock": "float", "item_domain_id": "int"}
+    types = {"sku": key_type, "id": "tinyint", "target_stock": "float", "item_domain_id": "int"}
     return frame.withColumns({c: F.col(c).cast(t) for c, t in types.items() if c in frame.columns})
 
 
@@ -97,6 +97,17 @@ def weight_rule(cut: Column, bound: float, target: Column, null_weight: float, o
     )
 
 
+def with_cut(frame: DataFrame, maxima: DataFrame, key: str = "sku") -> DataFrame:
+    """Add ``cut``: the training maximum of each row's item."""
+    return frame.join(maxima.select(F.col(key), F.col("target_stock").alias("cut")), key, "left")
+
+
+def weights_from_cut(frame: DataFrame, bound: float, null_weight: float, outlier_weight: float) -> DataFrame:
+    """Replace ``cut`` by ``weight``."""
+    rule = weight_rule(F.col("cut"), bound, F.col("target_stock"), null_weight, outlier_weight)
+    return frame.withColumn("weight", rule).drop("cut")
+
+
 def sample_weights(
     frame: DataFrame,
     maxima: DataFrame,
@@ -106,6 +117,4 @@ def sample_weights(
     key: str = "sku",
 ) -> DataFrame:
     """Add ``weight`` from the training maximum of each item and the outlier bound."""
-    cuts = maxima.select(F.col(key), F.col("target_stock").alias("cut"))
-    rule = weight_rule(F.col("cut"), bound, F.col("target_stock"), null_weight, outlier_weight)
-    return frame.join(cuts, key, "left").withColumn("weight", rule).drop("cut")
+    return weights_from_cut(with_cut(frame, maxima, key), bound, null_weight, outlier_weight)

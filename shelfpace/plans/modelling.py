@@ -27,10 +27,10 @@ def prepare(spark: SparkSession, folder: str) -> None:
     write_table(encoding.category_codes([*sides.values(), scored]), folder, "category_codes")
     codes = read_table(spark, folder, "category_codes")
     for side, rows in sides.items():
-        write_table(t.narrow_types(encoding.encode(rows, codes)), folder, f"model_{side}")
+        write_table(t.narrow_types(encoding.encode(rows, codes), "bigint"), folder, f"model_{side}")
     items = t.log_score_targets(scored).select("monid", "sku", "target_stock", "item_domain_id")
-    write_table(t.narrow_types(encoding.encode(items, codes)), folder, "model_test")
-    write_table(t.sku_max(read_table(spark, folder, "model_train")), folder, "maxval")
+    write_table(t.narrow_types(encoding.encode(items, codes), "bigint"), folder, "model_test")
+    write_table(t.sku_max(sides["train"]), folder, "maxval")
 
 
 def tune(spark: SparkSession, folder: str, trials: int = TRIALS, trees: int = 20, seed: int = 42) -> dict:
@@ -51,11 +51,14 @@ def tune(spark: SparkSession, folder: str, trials: int = TRIALS, trees: int = 20
 
 
 def fit_and_predict(spark: SparkSession, folder: str, trees: int = 20, seed: int = 42) -> DataFrame:
-    """Fit all scored items' rows with the best configuration, save the model, write the predictions."""
+    """Fit all scored items' rows with the best configuration; save the model, its scores on the later days and the
+    predictions."""
     config = model.load_config(spark, f"{folder}/best_config.json")
-    rows = model.weighted(read_table(spark, folder, "model_train"), read_table(spark, folder, "maxval"), config)
-    fitted: PipelineModel = model.fit_days(rows, config, trees, seed)
+    train, maxima = read_table(spark, folder, "model_train"), read_table(spark, folder, "maxval")
+    fitted: PipelineModel = model.fit_days(model.weighted(train, maxima, config), config, trees, seed)
     fitted.write().overwrite().save(f"{folder}/model")
+    late = model.weighted(read_table(spark, folder, "model_validation"), maxima, config)
+    write_trials(model.evaluate(fitted, train, late), f"{folder}/scores.csv")
     predicted = model.predict_days(fitted, read_table(spark, folder, "model_test"))
     write_predictions(predicted, f"{folder}/out.csv")
     return predicted
@@ -64,12 +67,18 @@ def fit_and_predict(spark: SparkSession, folder: str, trees: int = 20, seed: int
 def run_all(
     spark: SparkSession, panel: str, meta: str, score_items: str, out: str, trials: int = TRIALS, trees: int = 20
 ) -> None:
-    """The whole job from the three input files."""
-    inputs = Inputs(
-        read_panel(spark, panel),
-        read_item_meta(spark, meta),
-        metadata.tag_input_order(read_score_items(spark, score_items)),
-    )
+    """The whole job from the three input files.
+
+    Metadata with a repeated key is an error, because it would add lines to the predictions, which have no key. Items
+    to score without a readable key go to the table ``rejected_items``.
+    """
+    item_meta = read_item_meta(spark, meta)
+    repeated = metadata.duplicate_keys(item_meta).first()
+    if repeated:
+        raise ValueError(f"repeated key in the metadata: {repeated}")
+    items = metadata.tag_input_order(read_score_items(spark, score_items))
+    write_table(items.filter("sku IS NULL"), out, "rejected_items")
+    inputs = Inputs(read_panel(spark, panel), item_meta, items.filter("sku IS NOT NULL"))
     build_tables(spark, inputs, out)
     prepare(spark, out)
     tune(spark, out, trials, trees)

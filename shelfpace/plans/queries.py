@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -330,24 +331,52 @@ def probability_text(spark: SparkSession, sf: str) -> DataFrame:
     return as_text(_chances(_scored(spark, sf).select("sku")))
 
 
-def day_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    """Fit on the early days of the scored items, predict the distribution for each stock level to score."""
-    codes = _codes(spark, sf)
+def _fitted(spark: SparkSession, sf: str) -> tuple[PipelineModel, DataFrame, DataFrame, DataFrame]:
+    """Model of the early days of the scored items, with its rows, its maxima and the codes."""
+    codes = cut_lineage(_codes(spark, sf))
     train = cut_lineage(encoding.encode(_target(spark, sf, True), codes))
     maxima = cut_lineage(t.sku_max(train))
     rows = model.weighted(train, maxima, model.DEFAULT_CONFIG)
-    fitted = model.fit_days(rows, model.DEFAULT_CONFIG, trees=10)
+    return model.fit_days(rows, model.DEFAULT_CONFIG), train, maxima, codes
+
+
+def _predicted(spark: SparkSession, sf: str) -> DataFrame:
+    """The distribution for each stock level to score."""
+    fitted, _, _, codes = _fitted(spark, sf)
     items = metadata.with_meta(t.log_score_targets(_scored(spark, sf)), _meta(spark, sf), "left")
-    predicted = model.predict_days(fitted, encoding.encode(items.drop("site_id"), codes))
-    return predicted.select("sku", *[F.col("probabilities")[k].alias(f"p_{k + 1}") for k in range(30)])
+    return model.predict_days(fitted, encoding.encode(items.drop("site_id"), codes))
+
+
+def day_distribution_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of every item's distribution."""
+    chances = F.col("probabilities")
+    total = F.aggregate(chances, F.lit(0.0), lambda a, p: a + p)
+    return _predicted(spark, sf).select(
+        "sku",
+        F.size(chances).alias("days"),
+        (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        (F.array_min(chances) > 0).alias("all_positive"),
+    )
+
+
+def model_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The fitted model judged on the later days, next to a uniform guess and the training shares."""
+    fitted, train, maxima, codes = _fitted(spark, sf)
+    late = model.weighted(encoding.encode(_target(spark, sf, False), codes), maxima, model.DEFAULT_CONFIG)
+    return model.evaluate(fitted, train, late)
+
+
+def day_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit on the early days of the scored items, predict the distribution for each stock level to score."""
+    return _predicted(spark, sf).select("sku", *[F.col("probabilities")[k].alias(f"p_{k + 1}") for k in range(30)])
 
 
 def config_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Trials of a short random search, best first."""
+    """All trials of the random search, best first."""
     codes = _codes(spark, sf)
     train, validation = [cut_lineage(encoding.encode(_target(spark, sf, side), codes)) for side in (True, False)]
     maxima = cut_lineage(t.sku_max(train))
-    trials, _ = model.search(spark, train, validation, maxima, model.draw_configs(3), trees=5)
+    trials, _ = model.search(spark, train, validation, maxima, model.draw_configs(20))
     return trials
 
 
@@ -421,6 +450,8 @@ def queries() -> dict[str, Query]:
         "log_loss": log_loss,
         "probability_text": probability_text,
         "day_distribution": day_distribution,
+        "day_distribution_check": day_distribution_check,
+        "model_scores": model_scores,
         "config_search": config_search,
     }
     plain.update({f"table_{name}": _output(name) for name in tables.TABLE_NAMES})

@@ -68,14 +68,39 @@ def test_model_gives_thirty_probabilities_even_when_late_days_are_absent(spark):
     got = model.predict_days(fitted, frame.drop("id")).collect()
     assert len(got) == 600
     assert all(len(r["probabilities"]) == 30 and abs(sum(r["probabilities"]) - 1) < 1e-9 for r in got)
+    assert all(min(r["probabilities"]) > 0 for r in got)
+    assert sum(r["target_stock"] is None for r in got) == 120
+
+
+def test_fit_does_not_depend_on_the_partitions(spark):
+    frame, maxima = _model_rows(spark)
+    found = []
+    for parts in (4, 7):
+        rows = model.weighted(frame.repartition(parts), maxima, model.DEFAULT_CONFIG)
+        fitted = model.fit_days(rows, model.DEFAULT_CONFIG, trees=3)
+        found.append([r["probabilities"] for r in model.predict_days(fitted, frame).orderBy("sku", "id").collect()])
+    assert np.allclose(*found, atol=1e-12)
+
+
+def test_evaluation_beats_the_uniform_guess_and_the_shares(spark):
+    frame, maxima = _model_rows(spark)
+    rows = model.weighted(frame, maxima, model.DEFAULT_CONFIG)
+    fitted = model.fit_days(rows, model.DEFAULT_CONFIG, trees=5)
+    got = model.evaluate(fitted, frame, rows).first()
+    assert got["uniform_loss"] == pytest.approx(np.log(30))
+    assert got["known_loss"] < got["prior_loss"] < got["uniform_loss"]
+    assert got["ranked_score"] > 0 and got["weighted_loss"] > 0
 
 
 def test_search_is_repeatable_and_sorted(spark):
     frame, maxima = _model_rows(spark)
-    configs = [{**c, "min_child_weight": 1} for c in model.draw_configs(2, seed=5)]
+    configs = [{**c, "min_leaf_share": 0.0} for c in model.draw_configs(2, seed=5)]
     assert model.draw_configs(2, seed=5) == model.draw_configs(2, seed=5) != model.draw_configs(2, seed=6)
     results, best = model.search(spark, frame, frame, maxima, configs, share=0.9, trees=2)
     losses = [r["log_loss"] for r in results.collect()]
+    again, _ = model.search(spark, frame.repartition(5), frame, maxima, configs, share=0.9, trees=2)
+    assert [r["trial"] for r in again.collect()] == [r["trial"] for r in results.collect()]
+    assert np.allclose([r["log_loss"] for r in again.collect()], losses)
     assert losses == sorted(losses) and len(losses) == 2
     assert best["qq"] is not None and "log_loss" not in best
 
@@ -84,4 +109,4 @@ def test_draws_stay_in_their_ranges():
     for config in model.draw_configs(200):
         for name, (low, high, kind) in model.SEARCH_SPACE.items():
             assert isinstance(config[name], kind) and low <= config[name] <= high
-        assert config["max_depth"] < 7 and config["min_child_weight"] < 5000
+        assert config["max_depth"] < 7 and config["min_leaf_share"] <= 0.01

@@ -122,9 +122,11 @@ def test_whole_job_from_files(spark, inputs, tmp_path):
     first = predicted.first()
     assert all(len(v.split(".")[1]) == 4 for v in first)
     assert spark.read.csv(f"{out}/results.csv", header=True).count() == 2
+    assert "known_loss" in spark.read.csv(f"{out}/scores.csv", header=True).columns
+    assert spark.read.parquet(f"{out}/rejected_items.parquet").count() == 0
     assert spark.read.parquet(f"{out}/maxval.parquet").columns == ["sku", "target_stock"]
     assert dict(readers.read_table(spark, out, "model_train").dtypes) == {
-        "sku": "int",
+        "sku": "bigint",
         "id": "tinyint",
         "target_stock": "float",
         "item_domain_id": "int",
