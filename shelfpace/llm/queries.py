@@ -1,12 +1,13 @@
-"""Registered queries of the ten operators, with production parameters, over whole tables."""
+"""Registered queries of the operators, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfpace.llm import chat_format, decontaminate, jaccard_join, mixing, pii, quality_rules, suffix_dedup, token_counts, token_files, toxicity
+from shelfpace.llm import chat_format, decontaminate, fill_middle, jaccard_join, mixing, periodic_runs, pii, pitman_yor, quality_rules, suffix_dedup, token_counts, token_files, toxicity
 from shelfpace.llm.staging import new_folder
 
 
@@ -76,8 +77,25 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op11_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents reordered for filling in the middle, and rebuilt."""
+    return fill_middle.digest(fill_middle.fill_in_middle(_table(spark, folder, "documents")))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of which are made to repeat."""
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.with_planted_runs(_table(spark, folder, "documents"))))
+
+
+def op13_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents by a model of four fifths of them."""
+    held_out = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 5 == 1
+    scored = pitman_yor.score_texts(_table(spark, folder, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_chat_format, op4_suffix_dedup, op5_mixing, op6_decontamination, op7_pii, op8_toxicity, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_chat_format, op4_suffix_dedup, op5_mixing, op6_decontamination, op7_pii, op8_toxicity, op9_token_files, op10_token_counts, op11_fill_middle, op12_periodic_runs, op13_pitman_yor)}
 
 
 def oracle_sql() -> dict[str, str]:
