@@ -31,8 +31,8 @@ from shelfpace.llm.arrowtext import slices, sums, word_codes
 from shelfpace.llm.packing import edges, mix, pack, pack_sorted, small, unpack, unpack_sorted
 from shelfpace.llm.staging import small_batches, stage
 
-PIECE_BYTES = 12 << 20  # text of a piece
-RANGE_KEYS = 1 << 21  # keys a range receives, on average
+PIECE_BYTES = 6 << 20  # text of a piece
+RANGE_KEYS = 1 << 20  # keys a range receives, on average
 SWEEPS, BURN_IN = 3, 1
 STRENGTH = 1.0  # of every restaurant
 SINGLY = 64  # customers seated one by one; later ones come in blocks of a sixteenth of those seated
