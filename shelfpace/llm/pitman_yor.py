@@ -117,7 +117,6 @@ class Pairs:
         self.context = np.cumsum(unpack(row["context"]), dtype=np.int64)
         self.word = unpack(row["word"]).astype(np.int64)
         self.keys = pair_keys(self.vocabulary[self.context], self.vocabulary[self.word])
-        self.order = np.argsort(self.keys)
 
 
 MESSAGE = "part long, piece long, keys binary, a binary, b binary, c binary"
@@ -133,8 +132,9 @@ def _messages(piece: int, keys: np.ndarray, parts: int, *columns: np.ndarray) ->
 
 def _ask_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        pairs = Pairs(row)
-        yield from _messages(row["piece"], pairs.keys[pairs.order], parts, unpack(row["pair_n"])[pairs.order])
+        keys = Pairs(row).keys
+        order = np.argsort(keys)
+        yield from _messages(row["piece"], keys[order], parts, unpack(row["pair_n"])[order])
 
 
 def _gather(frame: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -189,14 +189,19 @@ def _answers(got: list[dict], names: tuple[str, ...]) -> list[np.ndarray]:
     return [np.concatenate([unpack(r[n]).astype(np.int64) for r in got]) for n in names]
 
 
-def _counts(row: dict, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
-    """(customers of each pair of the piece in the whole corpus, whether the piece reports it)."""
-    got = sorted(row["pair_answers"], key=lambda r: r["part"])
-    totals = [unpack(r["total"]) for r in got]
-    customers, owner = np.zeros(len(pairs.order), np.int64), np.zeros(len(pairs.order), bool)
-    customers[pairs.order] = np.concatenate(totals)
-    owner[pairs.order] = np.concatenate([np.unpackbits(unpack(r["owner"]), count=len(t)) for r, t in zip(got, totals, strict=True)]).astype(bool)
-    return customers, owner
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The answers for pairs in the piece's own order: customers in the whole corpus, and whether the piece reports them."""
+    for row in _rows(batches):
+        order = np.argsort(Pairs(row).keys)
+        got = sorted(row["got"], key=lambda r: r["part"])
+        totals = [unpack(r["total"]) for r in got]
+        customers, owner = np.zeros(len(order), np.int64), np.zeros(len(order), np.uint8)
+        customers[order] = np.concatenate(totals)
+        owner[order] = np.concatenate([np.unpackbits(unpack(r["owner"]), count=len(t)) for r, t in zip(got, totals, strict=True)])
+        yield pa.RecordBatch.from_pydict({"piece": [row["piece"]], "customers": [pack(small(customers))], "owner": [pack(owner)]}, schema=SETTLED)
+
+
+SETTLED = pa.schema([("piece", pa.int64()), ("customers", pa.binary()), ("owner", pa.binary())])
 
 
 def _reseat(pairs: Pairs, customers: np.ndarray, last: list[dict], world: Restaurants, sweep: int) -> np.ndarray:
@@ -210,10 +215,9 @@ def _reseat(pairs: Pairs, customers: np.ndarray, last: list[dict], world: Restau
 def _report(batches: Iterator[pa.RecordBatch], parts: int, sweep: int, world: Restaurants | None) -> Iterator[pa.RecordBatch]:
     """Tables by word and by context of the pairs each piece owns; the first time every pair has one table."""
     for row in _rows(batches):
-        pairs = Pairs(row)
-        customers, owner = _counts(row, pairs)
+        pairs, customers = Pairs(row), unpack(row["customers"]).astype(np.int64)
         tables = _reseat(pairs, customers, row["last"], world, sweep) if sweep else np.minimum(customers, 1)
-        tables = np.where(owner, tables, 0)
+        tables = tables * unpack(row["owner"])
         n = len(pairs.vocabulary)
         sent = np.bincount(pairs.word, tables, n).astype(np.int64)
         below = np.bincount(pairs.context, tables, n).astype(np.int64)
@@ -251,8 +255,7 @@ def _word_answers(sweep: int, world: Restaurants | None) -> Callable[[pd.DataFra
 
 def _score(batches: Iterator[pa.RecordBatch], world: Restaurants, sweeps: int, burn_in: int) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        pairs = Pairs(row)
-        customers, _ = _counts(row, pairs)
+        pairs, customers = Pairs(row), unpack(row["customers"]).astype(np.int64)
         (n,) = _answers(row["answers_0"], ("n",))
         base = np.log10((n + 0.5) / (world.tokens + 0.5 * (world.words + 1)))
         mean = np.zeros(len(customers))
@@ -304,8 +307,9 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = SWEEPS, burn_in: i
         asked = pieces.select("piece", "vocabulary", "context", "word", "pair_n").mapInArrow(partial(_ask_pairs, parts=pair_parts), MESSAGE)
         totals = stage(asked.groupBy("part").applyInPandas(_answer_pairs, PAIR_REPLY), "pair-totals")
         ones, twos = totals.agg(F.sum("ones"), F.sum("twos")).first()
-        told = totals.groupBy("piece").agg(F.collect_list(F.struct("part", "total", "owner")).alias("pair_answers"))
-        told.write.bucketBy(buckets, "piece").option("compression", "none").saveAsTable(f"{table}_pairs")
+        told = totals.groupBy("piece").agg(F.collect_list(F.struct("part", "total", "owner")).alias("got"))
+        settled = pieces.select("piece", "vocabulary", "context", "word").join(told, "piece").mapInArrow(_settle, "piece long, customers binary, owner binary")
+        settled.write.bucketBy(buckets, "piece").option("compression", "none").saveAsTable(f"{table}_pairs")
         counted = pieces.select("piece", "vocabulary", "context", "word", "word_n").join(spark.table(f"{table}_pairs"), "piece")
         answers: list[DataFrame] = []
         world = None
