@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 from shelfpace.llm.arrowtext import ragged, slices, sums, word_codes
 from shelfpace.llm.vocabulary import word_ids
 
+SLICE = 16 << 20  # text encoded at once
+FILE_BYTES = 64 << 20  # text of a file
 SHARD_TOKENS = 1 << 19  # ids after which a shard is closed; a document is never cut
 BLOCK = 512  # bits between two stored ranks
 END = 1  # id behind each document
@@ -116,21 +117,23 @@ class WaveletMatrix:
         return now.astype("<u4")
 
 
-def _shard(seq: int, ids: list[np.ndarray], docs: list, lengths: list[np.ndarray]) -> pd.DataFrame:
+_FIELDS = [("part", pa.int64()), ("seq", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n", pa.int64()),
+           ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary())), ("zeros", pa.list_(pa.int64()))]
+
+
+def _shard(seq: int, ids: list[np.ndarray], docs: list, lengths: list[np.ndarray]) -> pa.RecordBatch:
     m = WaveletMatrix.build(np.concatenate(ids))
     row = {
-        "part": TaskContext.get().partitionId(), "seq": seq, "doc_ids": docs, "lengths": np.concatenate(lengths), "n": m.n,
+        "part": TaskContext.get().partitionId(), "seq": seq, "doc_ids": docs, "lengths": np.concatenate(lengths).tolist(), "n": m.n,
         "planes": [p.tobytes() for p in m.planes], "ranks": [r.tobytes() for r in m.ranks], "zeros": m.zeros,
     }
-    return pd.DataFrame([row])
+    return pa.RecordBatch.from_pylist([row], schema=pa.schema(_FIELDS))
 
 
-def _to_shards(batches: Iterator[pa.RecordBatch], path: str, ends: str, shard_tokens: int) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, ends: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(doc_ids, ids, number of ids per document) of each slice of texts, ends included."""
     words_of = word_ids(path, "", ends)
-    schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n", pa.int64()),
-                        ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary())), ("zeros", pa.list_(pa.int64()))])
-    seq, ids, docs, lengths, held = 0, [], [], [], 0
-    for batch in slices(batches, limit=4 << 20):
+    for batch in slices(batches, limit=SLICE):
         starts, codes, words = word_codes(batch.column("text"))
         each, n = words_of.of(words)
         first = np.cumsum(n) - n
@@ -138,20 +141,32 @@ def _to_shards(batches: Iterator[pa.RecordBatch], path: str, ends: str, shard_to
         each, first, n = np.append(each, np.uint32(END)), np.append(first, len(each)), np.append(n, 1)
         codes = np.insert(codes.astype(np.int64), starts[1:], len(words))
         starts = starts + np.arange(len(starts))
-        got = each[ragged(first[codes], n[codes])]
-        size = sums(n[codes], starts)
-        ids.append(got)
-        docs += batch.column("doc_id").to_pylist()
-        lengths.append(size)
-        held += len(got)
-        if held >= shard_tokens:
-            yield pa.RecordBatch.from_pandas(_shard(seq, ids, docs, lengths), schema=schema, preserve_index=False)
-            seq, ids, docs, lengths, held = seq + 1, [], [], [], 0
+        yield batch.column("doc_id").to_pylist(), each[ragged(first[codes], n[codes])], sums(n[codes], starts)
+
+
+def _to_shards(batches: Iterator[pa.RecordBatch], path: str, ends: str, shard_tokens: int) -> Iterator[pa.RecordBatch]:
+    seq, held = 0, 0
+    ids, docs, lengths = [], [], []
+    for doc_ids, got, size in _encoded(batches, path, ends):
+        stop = np.concatenate(([0], np.cumsum(size)))
+        at = 0
+        while at < len(size):
+            # Documents up to the one that fills the shard.
+            to = min(len(size), int(np.searchsorted(stop, stop[at] + shard_tokens - held)))
+            ids.append(got[stop[at] : stop[to]])
+            docs += doc_ids[at:to]
+            lengths.append(size[at:to])
+            held += int(stop[to] - stop[at])
+            at = to
+            if held >= shard_tokens:
+                yield _shard(seq, ids, docs, lengths)
+                seq, held = seq + 1, 0
+                ids, docs, lengths = [], [], []
     if docs:
-        yield pa.RecordBatch.from_pandas(_shard(seq, ids, docs, lengths), schema=schema, preserve_index=False)
+        yield _shard(seq, ids, docs, lengths)
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str, ends: str = "</w>", shard_tokens: int = SHARD_TOKENS) -> None:
+def write_token_files(docs: DataFrame, folder: str, path: str, ends: str = "</w>", shard_tokens: int = SHARD_TOKENS, file_bytes: int = FILE_BYTES) -> None:
     """Encode every whole text and write the ids below ``folder``, documents in ascending order of doc_id.
 
     Rows are dealt into ranges of doc_id, so that file follows file in that order; a file holds one or more shards, each
@@ -161,9 +176,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, ends: str = "</w>
     Null text: an empty one, just the end id. Null doc_ids come first. Rows that repeat a doc_id stay, next to each other.
     Other columns are not read. An empty table gives a folder without shards.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // file_bytes))
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     shards = ordered.mapInArrow(partial(_to_shards, path=path, ends=ends, shard_tokens=shard_tokens), SHARD)
     shards.write.option("compression", "zstd").parquet(folder)
@@ -175,38 +190,93 @@ def read_matrix(row) -> WaveletMatrix:
     return WaveletMatrix(int(row["n"]), planes, [np.frombuffer(r, "<u4") for r in row["ranks"]], [int(z) for z in row["zeros"]])
 
 
-def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.to_dict("records"):
-            raw = memoryview(read_matrix(row).decode().tobytes())
-            lengths = np.asarray(row["lengths"], np.int64)
-            ends = np.cumsum(lengths)
-            crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-            out = pd.DataFrame({"part": row["part"], "seq": row["seq"], "local": ends - lengths, "n_tokens": lengths, "ids_crc32": crc})
-            yield out.assign(doc_id=pd.array(row["doc_ids"], dtype="Int64") if row["doc_ids"] is not None else None)
-
-
-def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    # Row by row, so that one matrix at a time is held apart from its batch.
+def _each_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield pd.DataFrame(batch.slice(i, 1).to_pylist())
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("doc_id", pa.int64())])
-    for frame in _documents(_shard_rows(batches)):
-        yield pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
+    for row in _each_shard(batches):
+        raw = memoryview(read_matrix(row).decode().tobytes())
+        lengths = np.asarray(row["lengths"], np.int64)
+        ends = np.cumsum(lengths)
+        crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+        columns = [np.full(len(lengths), row["part"]), np.full(len(lengths), row["seq"]), ends - lengths, lengths, crc]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(row["doc_ids"], pa.int64())], ["part", "seq", "local", "n_tokens", "ids_crc32", "doc_id"])
+
+
+def _bases(spark: SparkSession, folder: str) -> DataFrame:
+    """part, seq, n, base (ids before the shard): running sums inside files, inside blocks of files, and over the blocks."""
+
+    def before(*by: str) -> Window:
+        return Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+
+    shards = spark.read.schema(SHARD).parquet(folder).select("part", "seq", "n").withColumn("block", F.floor(F.col("part") / 1024))
+    files = shards.groupBy("block", "part").agg(F.sum("n").alias("n"))
+    blocks = files.groupBy("block").agg(F.sum("n").alias("n")).select(F.col("block").alias("of"), F.coalesce(F.sum("n").over(before("block")), F.lit(0)).alias("blocks_before"))
+    files = files.select(F.col("part").alias("file"), "block", F.coalesce(F.sum("n").over(before("block", "part")), F.lit(0)).alias("files_before"))
+    files = files.join(blocks, files["block"] == blocks["of"]).select("file", (F.col("files_before") + F.col("blocks_before")).alias("file_base"))
+    inside = shards.withColumn("inside", F.coalesce(F.sum("n").over(before("part", "seq")), F.lit(0)))
+    return inside.join(files, inside["part"] == files["file"]).select("part", "seq", "n", (F.col("file_base") + F.col("inside")).alias("base"))
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document of the token files: doc_id, start, n_tokens, ids_crc32.
 
-    ``start`` counts the ids of all documents before it: those of the shards before (a running sum over one number per
-    shard) and those before it in its own shard.
+    ``start`` counts the ids of all documents before it: those of the shards before and those before it in its own shard. A
+    folder without shards gives no rows.
     """
     shards = spark.read.schema(SHARD).parquet(folder)
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = shards.select("part", "seq", "n").withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     docs = shards.mapInArrow(_read, "part long, seq long, local long, n_tokens long, ids_crc32 long, doc_id long")
-    return docs.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(_bases(spark, folder), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _count(batches: Iterator[pa.RecordBatch], tokens: list[int]) -> Iterator[pa.RecordBatch]:
+    for row in _each_shard(batches):
+        m = read_matrix(row)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([m.count(t) for t in tokens], pa.int64())], ["token", "n"])
+
+
+def count_tokens(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
+    """token, n: how often each of some ids stands in the whole folder, by rank in each shard, without decoding."""
+    counted = spark.read.schema(SHARD).parquet(folder).mapInArrow(partial(_count, tokens=sorted(set(tokens))), "token long, n long")
+    asked = spark.range(1).select(F.explode(F.array(*(F.lit(t).cast("long") for t in sorted(set(tokens))))).alias("token"))
+    return asked.join(counted.groupBy("token").agg(F.sum("n").alias("n")), "token", "left").select("token", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def _occur(batches: Iterator[pa.RecordBatch], token: int) -> Iterator[pa.RecordBatch]:
+    for row in _each_shard(batches):
+        m = read_matrix(row)
+        places = np.array([m.occurrence(token, j) for j in range(m.count(token))], np.int64)
+        ends = np.cumsum(np.asarray(row["lengths"], np.int64))
+        doc = np.searchsorted(ends, places, side="right")
+        inside = places - (ends - np.asarray(row["lengths"], np.int64))[doc]
+        ids = pa.array(row["doc_ids"], pa.int64()).take(pa.array(doc))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), row["part"])), pa.array(np.full(len(places), row["seq"])), ids, pa.array(inside), pa.array(places)], ["part", "seq", "doc_id", "inside", "local"])
+
+
+def occurrences(spark: SparkSession, folder: str, token: int) -> DataFrame:
+    """doc_id, inside (place in the document), place (in the whole folder) of every occurrence of an id, by select."""
+    found = spark.read.schema(SHARD).parquet(folder).mapInArrow(partial(_occur, token=token), "part long, seq long, doc_id long, inside long, local long")
+    return found.join(_bases(spark, folder), ["part", "seq"]).select("doc_id", "inside", (F.col("base") + F.col("local")).alias("place"))
+
+
+def _access(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _each_shard(batches):
+        m = read_matrix(row)
+        yield pa.RecordBatch.from_arrays([pa.array([p + row["base"] for p in row["wanted"]], pa.int64()), pa.array([m.access(p) for p in row["wanted"]], pa.int64())], ["place", "token"])
+
+
+def tokens_at(spark: SparkSession, folder: str, places: DataFrame, width: int = SHARD_TOKENS) -> DataFrame:
+    """place, token for each distinct place of ``places`` (column ``place``: number of the id in the whole folder).
+
+    Places meet their shard by bins of ``width`` ids, so a shard is compared with the places near it only. Places outside the
+    folder and null places have no row.
+    """
+    wanted = places.select(F.col("place").cast("long").alias("place")).distinct().withColumn("bin", F.floor(F.col("place") / width))
+    bases = _bases(spark, folder).filter("n > 0")
+    bases = bases.withColumn("bin", F.explode(F.sequence(F.floor(F.col("base") / width), F.floor((F.col("base") + F.col("n") - 1) / width))))
+    met = wanted.join(bases, "bin").filter((F.col("place") >= F.col("base")) & (F.col("place") < F.col("base") + F.col("n")))
+    met = met.groupBy("part", "seq", "base").agg(F.collect_list(F.col("place") - F.col("base")).alias("wanted"))  # at most the ids of a shard
+    return spark.read.schema(SHARD).parquet(folder).join(met, ["part", "seq"]).mapInArrow(_access, "place long, token long")

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from shelfpace.llm import chat_format, decontaminate, jaccard_join, mixing, pii, quality_rules, suffix_dedup, token_counts, token_files, toxicity
+from shelfpace.llm import chat_format, decontaminate, jaccard_join, mixing, pii, quality_rules, suffix_dedup, token_counts, token_files, toxicity, vocabulary
 from shelfpace.llm.staging import new_folder
 from tests.llm import brute
 
@@ -205,10 +205,30 @@ def test_token_files(spark, docs, texts, empty):
         start += len(ids)
     got = token_files.read_documents(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
     assert sorted(map(tuple, got.collect())) == want
+    flat = np.concatenate([library.encode(texts[i] or "", add_special_tokens=False).ids + [1] for i in sorted(texts)])
+    asked = {int(flat[0]), int(flat[-2]), 1, 48_000, 60_000}
+    assert {r.token: r.n for r in token_files.count_tokens(spark, folder, list(asked)).collect()} == {t: int((flat == t).sum()) for t in asked}
+    token = int(flat[0])
+    place = {i: start for i, start, *_ in want}
+    got = [(r.place, r.doc_id, r.inside) for r in token_files.occurrences(spark, folder, token).collect()]
+    assert sorted(p for p, _, _ in got) == np.flatnonzero(flat == token).tolist()
+    assert all(place[i] + inside == p for p, i, inside in got)
+    places = spark.range(-5, len(flat) + 5, 37).withColumnRenamed("id", "place")
+    assert {r.place: r.token for r in token_files.tokens_at(spark, folder, places, width=7000).collect()} == {p: int(flat[p]) for p in range(-5, len(flat), 37) if p >= 0}
     token_files.write_token_files(empty, nothing := new_folder(spark, "test"), tok)
     assert token_files.read_documents(spark, nothing).count() == 0
 
 
+def test_word_memory_forgets():
+    ids = vocabulary.WordIds(path("word_bpe_49k.json"), ends="</w>", kept=50)
+    rnd = random.Random(4)
+    for _ in range(20):
+        words = list({"".join(rnd.choice("abCé.1-") for _ in range(rnd.randint(1, 9))) for _ in range(30)})
+        flat, n = ids.of(vocabulary.pa.array(words))
+        assert [p.tolist() for p in np.split(flat, np.cumsum(n)[:-1])] == [ids.tok.encode(w, add_special_tokens=False).ids for w in words]
+        assert len(ids.known) <= 60
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(1).integers(0, 700, 3000).astype(np.uint32)
     m = token_files.WaveletMatrix.build(ids)
