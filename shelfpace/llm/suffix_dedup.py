@@ -115,7 +115,7 @@ def bounded_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         key = key * np.uint64(257) + padded[j : j + n]
     reach = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1])))
@@ -149,12 +149,14 @@ def repeated_starts(symbols: np.ndarray, length: int = LENGTH) -> np.ndarray:
         if level:  # strings that start with a separator are of no use
             plain = before[inside] != 0
             inside, interval = inside[plain], interval[plain]
-        to = back[inside]
-        by = np.argsort(to, kind="stable")
-        to, symbol, interval = to[by], before[inside[by]], interval[by]
-        cut = np.flatnonzero((interval[1:] != interval[:-1]) | (symbol[1:] != symbol[:-1]))
-        new_low = to[np.concatenate(([0], cut + 1))] if len(to) else to
-        new_high = to[np.concatenate((cut, [len(to) - 1]))] + 1 if len(to) else to
+        # Predecessors keep the order of their suffixes, so counting by symbol puts the extended intervals in order.
+        symbol = before[inside]
+        by = np.argsort(symbol, kind="stable")
+        to, symbol, interval = back[inside[by]], symbol[by], interval[by]
+        first = np.flatnonzero(np.concatenate(([True], (interval[1:] != interval[:-1]) | (symbol[1:] != symbol[:-1]))))
+        if not len(to):
+            break
+        new_low, new_high = np.minimum.reduceat(to, first), np.maximum.reduceat(to, first) + 1
         fresh = ~known[new_high]
         low, high = new_low[fresh], new_high[fresh]
         known[high] = True
@@ -258,6 +260,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK_BYT
 
 
 def digest(left: DataFrame) -> DataFrame:
-    """Sizes and digest of what is left of each document."""
+    """Sizes and digest of what is left of each document, and whether anything was taken out."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("spans") > 0).alias("has_repeat"))
