@@ -155,17 +155,30 @@ def test_personal_data(spark, docs, texts, empty):
     for r in pii.digest(pii.find_personal_data(df)).collect():
         spans = brute.personal(want[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
-        assert [s for s in r.spans.split(",") if s and not s.startswith("term")] == spans
+        assert [s for s in r.spans.split(",") if s and not s.startswith(("term", "secret"))] == spans
+        assert r.has_personal_data == bool(r.spans)
     assert pii.find_personal_data(empty).count() == 0
 
 
 def test_terms_that_reveal_an_entity(spark):
-    rows = [(k, f"{k} quiet harbour talk Zebulon writes as z@example.org today {k}") for k in range(6)]
-    rows += [(100 + k, f"other talk about the quiet harbour {k} and today more writes as before") for k in range(200)]
+    rows = [(k, f"{k} quiet harbour talk Zebulon writes as z{k}@mail.org today {k}") for k in range(6)]
+    rows += [(50 + k, f"same words in copies Quillon sends y@copy.org {'x' * k}") for k in range(6)]  # one surrounding only
+    rows += [(100 + k, f"other talk about the quiet harbour {k} and today more writes as before, sends same words in copies") for k in range(400)]
+    rows += [(600 + k, f"{'abcdefgh'[k]} passkey = 0123456789abcdef0123456789abcde{k} and {'hgfedcba'[k] * 9} follows") for k in range(8)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert [r.term for r in pii.disclosing_terms(df).collect()] == ["zebulon"]
+    found = {r.term: r for r in pii.disclosing_terms(df).collect()}
+    assert set(found) == {"zebulon", "passkey", "follows"} and found["zebulon"].entity == "email in @mail.org" and found["passkey"].entity == "secret"
     clean = {r.doc_id: r.text for r in pii.sanitise(pii.find_personal_data(df)).collect()}
-    assert "[term] writes as [email]" in clean[0] and clean[100] == rows[6][1]
+    assert "talk [related term] writes as [email]" in clean[0] and clean[100] == rows[12][1]
+    assert clean[600] == "a [related term] = [secret] and hhhhhhhhh [related term]"
+    removed = {r.doc_id: r.text for r in pii.sanitise(pii.find_personal_data(df, removal=0.8)).collect()}
+    assert removed[600] == "a  = [secret] and hhhhhhhhh "
+
+
+def test_terms_of_the_small_table(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert "token" in [r.term for r in pii.disclosing_terms(docs).collect()]
 
 
 @pytest.fixture(scope="module")
