@@ -162,7 +162,7 @@ def test_personal_data(spark, docs, texts, empty):
 
 def test_terms_that_reveal_an_entity(spark):
     rows = [(k, f"{k} quiet harbour talk Zebulon writes as z{k}@mail.org today {k}") for k in range(6)]
-    rows += [(50 + k, f"same words in copies Quillon sends y@copy.org {'x' * k}") for k in range(6)]  # one surrounding only
+    rows += [(50 + k, f"same words in copies Quillon sends y@copy.org {'and so on ' * 8}{'x' * k}") for k in range(6)]  # one surrounding only
     rows += [(100 + k, f"other talk about the quiet harbour {k} and today more writes as before, sends same words in copies") for k in range(400)]
     rows += [(600 + k, f"{'abcdefgh'[k]} passkey = 0123456789abcdef0123456789abcde{k} and {'hgfedcba'[k] * 9} follows") for k in range(8)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
