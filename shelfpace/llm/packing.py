@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
+MESSAGE = "part long, piece long, keys binary, a binary, b binary, c binary"
+
 
 def pack(values: np.ndarray) -> bytes:
     """An integer array as compressed byte planes, with its item size and length in front."""
@@ -49,3 +54,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+def row_dicts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row after the other, so that the arrays of one are held at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def messages(piece: int, keys: np.ndarray, parts: int, *columns: np.ndarray, shift: int = 0) -> Iterator[pa.RecordBatch]:
+    """Ascending keys of a piece and up to three columns, cut by ranges of the keys (in their highest bits after ``shift``)."""
+    cut = edges(keys << np.uint64(shift), parts)
+    rows = [(p, piece, pack_sorted(keys[x:y]), *(pack(small(c[x:y])) for c in columns)) for p, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
+    rows = [r + (None,) * (6 - len(r)) for r in rows]
+    if rows:
+        types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "piece", "keys", "a", "b", "c"])
+
+
+def gather(frame: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(messages by piece, places of each in the distinct keys, distinct keys, first holder of each, ends of the messages)."""
+    frame = frame.sort_values("piece")
+    lists = [unpack_sorted(k) for k in frame["keys"]]
+    keys, first, where = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
+    ends = np.cumsum([len(x) for x in lists])
+    return frame, np.split(where, ends[:-1]), keys, first, ends
+
+
+def added(frame: pd.DataFrame, column: str, where: list[np.ndarray], n: int) -> np.ndarray:
+    """Sum of a column of the messages for each distinct key."""
+    total = np.zeros(n, np.int64)
+    for raw, at in zip(frame[column], where, strict=True):
+        total[at] += unpack(raw).astype(np.int64)  # keys of one message are distinct
+    return total

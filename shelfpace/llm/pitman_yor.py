@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfpace.llm.arrowtext import slices, sums, word_codes
-from shelfpace.llm.packing import edges, mix, pack, pack_sorted, small, unpack, unpack_sorted
+from shelfpace.llm.packing import MESSAGE, added, gather, messages, mix, pack, pack_sorted, row_dicts, small, unpack, unpack_sorted
 from shelfpace.llm.staging import small_batches, stage
 
 PIECE_BYTES = 6 << 20  # text of a piece
@@ -103,12 +103,6 @@ PIECE = pa.schema([("piece", pa.int64()), ("n_words", pa.int64()), ("n_pairs", p
 PIECE_DDL = "piece long, n_words long, n_pairs long, " + ", ".join(f"{b} binary" for b in _BLOBS) + ", doc_ids array<long>, train array<boolean>"
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
-
-
 class Pairs:
     """The pairs of a piece: places of both words in its vocabulary, and their keys in ascending order."""
 
@@ -119,47 +113,19 @@ class Pairs:
         self.keys = pair_keys(self.vocabulary[self.context], self.vocabulary[self.word])
 
 
-MESSAGE = "part long, piece long, keys binary, a binary, b binary, c binary"
-
-
-def _messages(piece: int, keys: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    cut = edges(keys, parts)
-    rows = [(p, piece, pack_sorted(keys[x:y]), *(pack(small(c[x:y])) for c in columns)) for p, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
-    rows = [r + (None,) * (6 - len(r)) for r in rows]
-    types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "piece", "keys", "a", "b", "c"])
-
-
 def _ask_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
+    for row in row_dicts(batches):
         keys = Pairs(row).keys
         order = np.argsort(keys)
-        yield from _messages(row["piece"], keys[order], parts, unpack(row["pair_n"])[order])
-
-
-def _gather(frame: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """(messages by piece, places of each in the distinct keys, distinct keys, first holder of each, ends of the messages)."""
-    frame = frame.sort_values("piece")
-    lists = [unpack_sorted(k) for k in frame["keys"]]
-    every = np.concatenate(lists)
-    keys, first, where = np.unique(every, return_index=True, return_inverse=True)
-    ends = np.cumsum([len(x) for x in lists])
-    return frame, np.split(where, ends[:-1]), keys, first, ends
-
-
-def _added(frame: pd.DataFrame, column: str, where: list[np.ndarray], n: int) -> np.ndarray:
-    total = np.zeros(n, np.int64)
-    for raw, at in zip(frame[column], where, strict=True):
-        total[at] += unpack(raw).astype(np.int64)  # keys of one message are distinct
-    return total
+        yield from messages(row["piece"], keys[order], parts, unpack(row["pair_n"])[order])
 
 
 PAIR_REPLY = "piece long, part long, total binary, owner binary, ones long, twos long"
 
 
 def _answer_pairs(frame: pd.DataFrame) -> pd.DataFrame:
-    frame, where, keys, first, ends = _gather(frame)
-    total = _added(frame, "a", where, len(keys))
+    frame, where, keys, first, ends = gather(frame)
+    total = added(frame, "a", where, len(keys))
     owner = np.zeros(ends[-1], bool)
     owner[first] = True
     out = pd.DataFrame({"piece": frame["piece"].to_numpy(), "part": frame["part"].to_numpy()})
@@ -191,7 +157,7 @@ def _answers(got: list[dict], names: tuple[str, ...]) -> list[np.ndarray]:
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The answers for pairs in the piece's own order: customers in the whole corpus, and whether the piece reports them."""
-    for row in _rows(batches):
+    for row in row_dicts(batches):
         order = np.argsort(Pairs(row).keys)
         got = sorted(row["got"], key=lambda r: r["part"])
         totals = [unpack(r["total"]) for r in got]
@@ -214,7 +180,7 @@ def _reseat(pairs: Pairs, customers: np.ndarray, last: list[dict], world: Restau
 
 def _report(batches: Iterator[pa.RecordBatch], parts: int, sweep: int, world: Restaurants | None) -> Iterator[pa.RecordBatch]:
     """Tables by word and by context of the pairs each piece owns; the first time every pair has one table."""
-    for row in _rows(batches):
+    for row in row_dicts(batches):
         pairs, customers = Pairs(row), unpack(row["customers"]).astype(np.int64)
         tables = _reseat(pairs, customers, row["last"], world, sweep) if sweep else np.minimum(customers, 1)
         tables = tables * unpack(row["owner"])
@@ -222,16 +188,16 @@ def _report(batches: Iterator[pa.RecordBatch], parts: int, sweep: int, world: Re
         sent = np.bincount(pairs.word, tables, n).astype(np.int64)
         below = np.bincount(pairs.context, tables, n).astype(np.int64)
         first = [unpack(row["word_n"])] if not sweep else []
-        yield from _messages(row["piece"], pairs.vocabulary, parts, sent, below, *first)
+        yield from messages(row["piece"], pairs.vocabulary, parts, sent, below, *first)
 
 
 WORD_REPLY = "piece long, part long, below binary, customers binary, tables binary, n binary, all_customers long, all_tables long, words long, tokens long, ones long, twos long"
 
 
 def _answer_words(frame: pd.DataFrame, sweep: int, world: Restaurants | None) -> pd.DataFrame:
-    frame, where, keys, _, _ = _gather(frame)
-    customers, below = (_added(frame, c, where, len(keys)) for c in "ab")
-    n = _added(frame, "c", where, len(keys)) if not sweep else np.zeros(0, np.int64)
+    frame, where, keys, _, _ = gather(frame)
+    customers, below = (added(frame, c, where, len(keys)) for c in "ab")
+    n = added(frame, "c", where, len(keys)) if not sweep else np.zeros(0, np.int64)
     tables = np.minimum(customers, 1)
     if sweep:
         weight = np.full(len(keys), (world.strength + world.root_discount * world.sums_of[sweep - 1][1]) / (world.words + 1))
@@ -254,7 +220,7 @@ def _word_answers(sweep: int, world: Restaurants | None) -> Callable[[pd.DataFra
 
 
 def _score(batches: Iterator[pa.RecordBatch], world: Restaurants, sweeps: int, burn_in: int) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
+    for row in row_dicts(batches):
         pairs, customers = Pairs(row), unpack(row["customers"]).astype(np.int64)
         (n,) = _answers(row["answers_0"], ("n",))
         base = np.log10((n + 0.5) / (world.tokens + 0.5 * (world.words + 1)))
