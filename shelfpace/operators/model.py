@@ -1,4 +1,10 @@
-"""Day-distribution model on MLlib: feature rows, fit, scoring and a random search of settings."""
+"""Day-distribution model on MLlib as discrete-time survival: feature rows, fit, calibration, scoring and a random search.
+
+The question is on which day a stock level is reached. Each row with a known level is at risk on every day up to its own, where
+the event happens; one binary learner gives the chance of the event on a day for rows still at risk (the hazard), and the
+chances of the days follow from the running product. Rows without a level (empty grid days) are censored from the
+start: they tell nothing about any level, so they are never labels, and their own chances are even.
+"""
 
 from __future__ import annotations
 
@@ -12,19 +18,22 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfpace.operators.sampling import group_sample
 from shelfpace.operators.scoring import CLASSES, log_loss, ranked_probability_score
 from shelfpace.operators.target import exact_quantile, sample_weights, weights_from_cut, with_cut
 
-FEATURES = ("sku", "stock_or_zero", "target_missing", "item_domain_id")
+FEATURES = ("sku", "stock_or_zero", "stock_per_day", "item_domain_id", "day")
 
 # Share of each prediction spread evenly over the days, because the leaves of a forest give exact zeros.
 SMOOTHING = 0.01
-# Rows of one partition of a fit.
-LAYOUT_ROWS = 100_000
+# Rows of one partition of a fit, before each is repeated for its days at risk.
+LAYOUT_ROWS = 20_000
+# Hazards are told apart to this fraction when they are calibrated.
+HAZARD_STEPS = 1000
 # Weights that judge trials: rows with a known target count alike, the others (mostly empty grid days) not at all.
 JUDGE_WEIGHTS = {"null_weight": 0.0, "outlier_weight": 1.0, "delta_inf": 0.0}
 
@@ -38,9 +47,11 @@ SEARCH_SPACE = {
     "outlier_weight": (0.0, 1.0, float),
     "delta_inf": (0.0, 6.0, float),
 }
+# Per day: boundaries of the hazard and the calibrated hazard at each.
+Calibration = list[tuple[list[float], list[float]]]
 DEFAULT_CONFIG = {
     "min_leaf_share": 0.0,
-    "max_depth": 5,
+    "max_depth": 6,
     "subsample": 1.0,
     "colsample_bytree": 1.0,
     "null_weight": 0.5,
@@ -50,22 +61,22 @@ DEFAULT_CONFIG = {
 
 
 def feature_rows(frame: DataFrame) -> DataFrame:
-    """Numeric feature columns; a missing target becomes 0 plus a flag, because trees here cannot take nulls.
-    ``target_stock`` itself stays as it is."""
-    return frame.withColumns(
-        {
-            "target_missing": F.when(F.col("target_stock").isNull(), 1.0).otherwise(0.0),
-            "stock_or_zero": F.coalesce(F.col("target_stock").cast("double"), F.lit(0.0)),
-        }
-    )
+    """Numeric feature columns per row; ``target_stock`` itself stays as it is."""
+    return frame.withColumn("stock_or_zero", F.coalesce(F.col("target_stock").cast("double"), F.lit(0.0)))
 
 
-def labelled_rows(frame: DataFrame, classes: int = CLASSES) -> DataFrame:
-    """Feature rows with the label (day - 1). The label carries its number of classes, so a fit needs no
-    extra pass to find it and always yields ``classes`` probabilities."""
-    nominal = {"ml_attr": {"type": "nominal", "num_vals": classes}}
-    label = (F.col("id").cast("double") - 1.0).alias("label", metadata=nominal)
-    return feature_rows(frame).select("*", label)
+def on_days(rows: DataFrame, last: Column) -> DataFrame:
+    """Feature rows repeated for each ``day`` from 1 to ``last``, with the (logarithmic) stock per day so far."""
+    each = rows.withColumn("day", F.explode(F.sequence(F.lit(1), last.cast("int"))))
+    return each.withColumn("stock_per_day", F.col("stock_or_zero") - F.ln("day"))
+
+
+def at_risk(frame: DataFrame, classes: int = CLASSES) -> DataFrame:
+    """One row per row with a known level and day at risk; ``event`` is 1 on the row's own day. Others are censored."""
+    known = feature_rows(frame).filter(F.col("target_stock").isNotNull() & F.col("id").between(1, classes))
+    binary = {"ml_attr": {"type": "nominal", "num_vals": 2}}
+    event = F.when(F.col("day") == F.col("id"), 1.0).otherwise(0.0).alias("event", metadata=binary)
+    return on_days(known, F.col("id")).select("*", event)
 
 
 def weighted(frame: DataFrame, maxima: DataFrame, config: dict) -> DataFrame:
@@ -81,15 +92,18 @@ def fixed_layout(rows: DataFrame, layout_rows: int = LAYOUT_ROWS) -> DataFrame:
     """Rows in an order and partitions that depend on the rows alone, so that the same seed draws the same trees
     however the input was laid out. Rows are spread by key and day, so a hot key does not fill one partition."""
     parts = max(1, math.ceil(rows.count() / layout_rows))
-    return rows.repartition(parts, "sku", "label").sortWithinPartitions("sku", "label", "stock_or_zero", "weight")
+    return rows.repartition(parts, "sku", "id").sortWithinPartitions("sku", "id", "target_stock", "item_domain_id")
 
 
-def fit_days(train: DataFrame, config: dict, trees: int = 20, seed: int = 42, classes: int = CLASSES) -> PipelineModel:
-    """Random forest over the weighted rows; the columns of ``train`` are those of ``sample_weights``."""
+def fit_days(
+    train: DataFrame, config: dict, trees: int = 20, seed: int = 42, classes: int = CLASSES, laid_out: bool = False
+) -> PipelineModel:
+    """Random forest for the hazard over the weighted rows; the columns of ``train`` are those of ``sample_weights``.
+    ``laid_out`` rows already have their fixed layout."""
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     forest = RandomForestClassifier(
         featuresCol="features",
-        labelCol="label",
+        labelCol="event",
         weightCol="weight",
         probabilityCol="probability",
         numTrees=trees,
@@ -99,32 +113,108 @@ def fit_days(train: DataFrame, config: dict, trees: int = 20, seed: int = 42, cl
         featureSubsetStrategy=str(min(float(config["colsample_bytree"]), 1.0)),
         seed=seed,
     )
-    rows = assembler.transform(fixed_layout(labelled_rows(train, classes))).select("features", "label", "weight")
-    return PipelineModel(stages=[assembler, forest.fit(rows)])
+    rows = at_risk(train if laid_out else fixed_layout(train), classes)
+    return PipelineModel(stages=[assembler, forest.fit(assembler.transform(rows).select("features", "event", "weight"))])
+
+
+def hazards(model: PipelineModel, days: DataFrame) -> DataFrame:
+    """``days`` (from ``on_days``) with the ``hazard`` of each row."""
+    scored = model.transform(days).withColumn("hazard", vector_to_array("probability")[1])
+    return scored.drop("features", "rawPrediction", "probability", "prediction")
+
+
+def calibrate(model: PipelineModel, held_out: DataFrame, classes: int = CLASSES, parallel: int = 8) -> Calibration:
+    """For each day an isotonic fit of the event on the hazard, over rows of keys that the model has not seen.
+
+    Hazards are counted in ``HAZARD_STEPS`` steps first, so a fit sees at most as many rows, whatever the size of the fold.
+    Days without rows keep their hazards.
+    """
+    binned = hazards(model, at_risk(held_out, classes)).withColumn("hazard", F.rint(F.col("hazard") * HAZARD_STEPS) / HAZARD_STEPS)
+    counted = binned.groupBy("day", "hazard").agg(F.avg("event").alias("event"), F.count("*").cast("double").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(day: int) -> tuple[list[float], list[float]]:
+        rows = counted.filter(F.col("day") == day)
+        if rows.isEmpty():
+            return [0.0, 1.0], [0.0, 1.0]
+        learner = IsotonicRegression(featuresCol="hazard", labelCol="event", weightCol="n")
+        fitted = learner.fit(rows.coalesce(1))
+        return [float(x) for x in fitted.boundaries], [float(x) for x in fitted.predictions]
+
+    try:
+        with ThreadPoolExecutor(parallel) as pool:
+            return list(pool.map(fit, range(1, classes + 1)))
+    finally:
+        counted.unpersist()
+
+
+def _calibrated(calibration: Calibration | None) -> Column:
+    """The hazard of a row after calibration: linear between the boundaries of its day."""
+    hazard = F.col("hazard")
+    if not calibration:
+        return hazard
+    at, to = (F.get(F.array(*[F.array(*[F.lit(x) for x in day[k]]) for day in calibration]), F.col("day") - 1) for k in (0, 1))
+    upper = F.size(F.filter(at, lambda x: x < hazard))
+    lower = F.greatest(upper - 1, F.lit(0))
+    upper = F.least(upper, F.size(at) - 1)
+    step = F.get(at, upper) - F.get(at, lower)
+    share = F.when(step > 0, F.least(F.greatest((hazard - F.get(at, lower)) / step, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    return F.get(to, lower) + share * (F.get(to, upper) - F.get(to, lower))
 
 
 def predict_days(
-    model: PipelineModel, frame: DataFrame, smoothing: float = SMOOTHING, classes: int = CLASSES
+    model: PipelineModel,
+    frame: DataFrame,
+    smoothing: float = SMOOTHING,
+    classes: int = CLASSES,
+    calibration: Calibration | None = None,
 ) -> DataFrame:
-    """Add ``probabilities``: one entry above 0 per day, their sum 1."""
-    scored = model.transform(feature_rows(frame))
-    smooth = F.transform(
-        vector_to_array("probability"), lambda p: p * F.lit(1.0 - smoothing) + F.lit(smoothing / classes)
-    )
-    added = ("target_missing", "stock_or_zero", "features", "rawPrediction", "probability", "prediction")
-    return scored.withColumn("probabilities", smooth).drop(*added)
-
+    """Add ``probabilities``: one entry above 0 per day, their sum 1; even where the stock level is missing.
 
-def evaluate(model: PipelineModel, train: DataFrame, validation: DataFrame, classes: int = CLASSES) -> DataFrame:
+    Rows with a level are repeated for the days and put together again; the days of a row stand side by side, so they
+    combine before the exchange. The others get even chances.
+    """
+    even = F.lit(1.0 / classes)
+    known, unknown = frame.filter("target_stock IS NOT NULL"), frame.filter("target_stock IS NULL")
+    whole = F.struct(*[F.col(c) for c in frame.columns]).alias("whole")
+    tagged = feature_rows(known).withColumn("whole", whole).withColumn("tag", F.monotonically_increasing_id())
+    narrow = tagged.select("tag", "whole", "sku", "item_domain_id", "stock_or_zero")
+    days = hazards(model, on_days(narrow, F.lit(classes))).withColumn("hazard", _calibrated(calibration))
+    rows = days.groupBy("tag").agg(F.any_value("whole").alias("whole"), F.collect_list(F.struct("day", "hazard")).alias("days"))
+    start = F.struct(F.lit(1.0).alias("left"), F.array().cast("array<double>").alias("chances"))
+
+    def next_day(acc: Column, d: Column) -> Column:
+        chance = F.when(d["day"] == classes, acc["left"]).otherwise(acc["left"] * d["hazard"])
+        return F.struct((acc["left"] - chance).alias("left"), F.concat(acc["chances"], F.array(chance)).alias("chances"))
+
+    chances = F.aggregate(F.array_sort("days"), start, next_day, lambda acc: acc["chances"])
+    smooth = F.transform(chances, lambda p: p * F.lit(1.0 - smoothing) + even * smoothing)
+    return rows.select("whole.*", smooth.alias("probabilities")).unionByName(unknown.withColumn("probabilities", F.array_repeat(even, classes)))
+
+
+def reliability(judged: DataFrame, bins: int = 10, classes: int = CLASSES) -> DataFrame:
+    """bin, n, mean_chance, share: how often the days given some chance are the day, over rows with a known level."""
+    known = judged.filter(F.col("target_stock").isNotNull()).select("id", F.posexplode("probabilities").alias("place", "chance"))
+    hit = F.when(F.col("place") + 1 == F.col("id"), 1.0).otherwise(0.0)
+    bin_of = F.least(F.floor(F.col("chance") * bins), F.lit(bins - 1)).alias("bin")
+    return known.groupBy(bin_of).agg(F.count("*").alias("n"), F.avg("chance").alias("mean_chance"), F.avg(hit).alias("share"))
+
+
+def evaluate(
+    model: PipelineModel,
+    train: DataFrame,
+    validation: DataFrame,
+    classes: int = CLASSES,
+    calibration: Calibration | None = None,
+) -> DataFrame:
     """Scores on the later days, one row: the weighted log loss over all rows (``validation`` has ``weight``); the log
-    loss and ranked-probability score over rows with a known target; and for these the losses of a uniform guess and
-    of the training shares of the days."""
+    loss and ranked-probability score over rows with a known target; and the losses of a uniform guess and of the
+    training shares of the days, over all rows and over those with a known target."""
     known = F.col("target_stock").isNotNull()
     days = train.filter(known & F.col("id").between(1, classes)).groupBy("id").count()
     counts = {r["id"]: r["count"] for r in days.collect()}  # one row per day of the grid
     total = sum(counts.values()) + classes
     prior = F.array(*[F.lit((counts.get(k, 0) + 1) / total) for k in range(1, classes + 1)])
-    judged = predict_days(model, validation, classes=classes).persist(StorageLevel.MEMORY_AND_DISK)
+    judged = predict_days(model, validation, classes=classes, calibration=calibration).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sure = judged.filter(known)
         scores = {
@@ -132,6 +222,7 @@ def evaluate(model: PipelineModel, train: DataFrame, validation: DataFrame, clas
             "known_loss": log_loss(sure, weight=None).first()[0],
             "ranked_score": ranked_probability_score(sure).first()[0],
             "uniform_loss": math.log(classes),
+            "prior_weighted_loss": log_loss(judged.withColumn("probabilities", prior)).first()[0],
             "prior_loss": log_loss(sure.withColumn("probabilities", prior), weight=None).first()[0],
         }
     finally:
@@ -169,7 +260,8 @@ def search(
     All trials are judged with ``JUDGE_WEIGHTS``; ``compat`` judges each with its own weights, as the historical job
     did. ``parallel`` trials run at a time. Returns the trials, best first, and the best configuration with its ``qq``.
     """
-    x_train = with_cut(group_sample(train, share, seed), maxima).persist(StorageLevel.MEMORY_AND_DISK)
+    # Laid out once: the trials differ in weights only.
+    x_train = fixed_layout(with_cut(group_sample(train, share, seed), maxima)).persist(StorageLevel.MEMORY_AND_DISK)
     x_val = with_cut(validation, maxima).persist(StorageLevel.MEMORY_AND_DISK)
     qq = exact_quantile(maxima, "target_stock", 0.25).first()[0]
 
@@ -179,7 +271,7 @@ def search(
 
     def run_trial(number: int, drawn: dict) -> dict:
         config = {**drawn, "qq": qq}
-        model = fit_days(weigh(x_train, config), config, trees, seed)
+        model = fit_days(weigh(x_train, config), config, trees, seed, laid_out=True)
         judged = predict_days(model, weigh(x_val, config if compat else JUDGE_WEIGHTS))
         return {"trial": number, "log_loss": log_loss(judged).first()[0], **config}
 

@@ -366,6 +366,30 @@ def model_scores(spark: SparkSession, sf: str) -> DataFrame:
     return model.evaluate(fitted, train, late)
 
 
+def _calibrated(spark: SparkSession, sf: str, raw: bool = False) -> DataFrame:
+    """Chances on the later days of a fifth of the items: fitted on three fifths, calibrated on another fifth."""
+    codes = cut_lineage(_codes(spark, sf))
+    train = cut_lineage(encoding.encode(_target(spark, sf, True), codes))
+    late = cut_lineage(encoding.encode(_target(spark, sf, False), codes))
+    maxima = cut_lineage(t.sku_max(train))
+    fold = F.pmod(F.xxhash64("sku"), F.lit(5))
+    fitted = model.fit_days(model.weighted(train.filter(fold > 1), maxima, model.DEFAULT_CONFIG), model.DEFAULT_CONFIG)
+    steps = None if raw else model.calibrate(fitted, late.filter(fold == 1))
+    return cut_lineage(model.predict_days(fitted, late.filter(fold == 0), calibration=steps))
+
+
+def calibration_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Log loss on items that neither fit nor calibration has seen, before and after calibration."""
+    known = F.col("target_stock").isNotNull()
+    raw, steps = (scoring.log_loss(_calibrated(spark, sf, raw).filter(known), weight=None) for raw in (True, False))
+    return raw.select(F.col("log_loss").alias("raw_loss")).join(steps.select(F.col("log_loss").alias("calibrated_loss")))
+
+
+def reliability(spark: SparkSession, sf: str) -> DataFrame:
+    """How often days given some calibrated chance are the day, on items held out."""
+    return model.reliability(_calibrated(spark, sf))
+
+
 def day_distribution(spark: SparkSession, sf: str) -> DataFrame:
     """Fit on the early days of the scored items, predict the distribution for each stock level to score."""
     return _predicted(spark, sf).select("sku", *[F.col("probabilities")[k].alias(f"p_{k + 1}") for k in range(30)])
@@ -452,6 +476,8 @@ def queries() -> dict[str, Query]:
         "day_distribution": day_distribution,
         "day_distribution_check": day_distribution_check,
         "model_scores": model_scores,
+        "calibration_scores": calibration_scores,
+        "reliability": reliability,
         "config_search": config_search,
     }
     plain.update({f"table_{name}": _output(name) for name in tables.TABLE_NAMES})

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from shelfpace.operators import model, scoring
+from shelfpace.plans import queries
 from shelfpace.sources.writers import probability_text
 
 
@@ -92,6 +93,45 @@ def test_evaluation_beats_the_uniform_guess_and_the_shares(spark):
     assert got["ranked_score"] > 0 and got["weighted_loss"] > 0
 
 
+def test_days_at_risk(spark):
+    rows = spark.createDataFrame([(1, 3, 0.5, 2), (2, 1, 0.1, 2), (3, 2, None, 2), (4, 31, 1.0, 2)], "sku int, id int, target_stock double, item_domain_id int")
+    got = [(r["sku"], r["day"], r["event"]) for r in model.at_risk(rows).orderBy("sku", "day").collect()]
+    assert got == [(1, 1, 0.0), (1, 2, 0.0), (1, 3, 1.0), (2, 1, 1.0)]
+
+
+def test_calibration_follows_the_observed_shares(spark):
+    frame, maxima = _model_rows(spark)
+    rows = model.weighted(frame, maxima, model.DEFAULT_CONFIG)
+    fitted = model.fit_days(rows, model.DEFAULT_CONFIG, trees=3)
+    steps = model.calibrate(fitted, frame.filter("sku < 10 AND id < 29"))
+    assert len(steps) == 30 and steps[29] == ([0.0, 1.0], [0.0, 1.0])
+    assert all(a == sorted(a) and b == sorted(b) for a, b in steps)
+    days = model.hazards(fitted, model.at_risk(frame.filter("sku < 10 AND id < 29")))
+    for r in days.withColumn("after", model._calibrated(steps)).filter("day < 29").select("day", "hazard", "after").distinct().collect():
+        assert r["after"] == pytest.approx(np.interp(r["hazard"], *steps[r["day"] - 1]))
+    got = model.predict_days(fitted, frame, calibration=steps)
+    assert all(abs(sum(r["probabilities"]) - 1) < 1e-9 and min(r["probabilities"]) > 0 for r in got.collect())
+    table = {r["bin"]: r for r in model.reliability(got).collect()}
+    known = [r for r in got.collect() if r["target_stock"] is not None]
+    assert sum(r["n"] for r in table.values()) == 30 * len(known)
+    chances = [(p, d + 1 == r["id"]) for r in known for d, p in enumerate(r["probabilities"])]
+    for b, r in table.items():
+        inside = [hit for p, hit in chances if min(int(p * 10), 9) == b]
+        assert r["share"] == pytest.approx(np.mean(inside))
+
+
+@pytest.mark.parametrize("scale", ["0.01", "0.1"])
+def test_model_beats_even_chances_and_training_shares_on_all_later_rows(spark, scale):
+    got = queries.model_scores(spark, f"/root/testdata/sf{scale}").first()
+    assert got["weighted_loss"] < got["uniform_loss"] and got["weighted_loss"] < got["prior_weighted_loss"]
+    assert got["known_loss"] < 0.6 * got["prior_loss"]
+
+
+def test_calibration_does_not_lose_on_held_out_items(spark):
+    got = queries.calibration_scores(spark, "/root/testdata/sf0.01").first()
+    assert got["calibrated_loss"] <= got["raw_loss"]
+
+
 def test_search_is_repeatable_and_sorted(spark):
     frame, maxima = _model_rows(spark)
     configs = [{**c, "min_leaf_share": 0.0} for c in model.draw_configs(2, seed=5)]

@@ -12,7 +12,7 @@ from shelfpace.plans import modelling, oracle, queries, tables
 from shelfpace.sources import readers, retail
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"day_distribution", "config_search", "model_scores"}
+ROWS_ONLY = {"day_distribution", "config_search", "model_scores", "calibration_scores", "reliability"}
 
 
 @pytest.fixture(scope="module")
