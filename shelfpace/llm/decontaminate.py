@@ -1,8 +1,8 @@
 """Benchmark decontamination: windows of typed templates, joined by hash, with a check of the slots.
 
 Built-in functions only. Numbers, names and units become placeholders, so that a benchmark question with other values
-keeps its template. A document window with the template of a benchmark window counts if the values fit: within one
-alignment of a document and an item each benchmark value stands for one document value and the other way round.
+keeps its template. A document window with the template of a benchmark window counts if the values fit: in the window each
+benchmark value stands for one document value and the other way round. A slot that does not fit rejects the windows that hold it.
 """
 
 from __future__ import annotations
@@ -54,14 +54,14 @@ def template(text: Column) -> Column:
     return _split(t)
 
 
-def _windows(words: Column, size: int) -> Column:
-    """Hash of the window of ``size`` words that starts at each place."""
+def _windows(words: Column, sizes: list[int]) -> Column:
+    """size, at, h (hash) of the windows of each size that start at each place; the words are made once."""
 
-    def hashed(ws: Column) -> Column:
-        each = F.transform(ws, lambda w, i: F.xxhash64(w, *(F.get(ws, i + k) for k in range(1, size))))
+    def hashed(ws: Column, size: int) -> Column:
+        each = F.transform(ws, lambda w, i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.xxhash64(w, *(F.get(ws, i + k) for k in range(1, size))).alias("h")))
         return F.slice(each, 1, F.greatest(F.size(ws) - (size - 1), F.lit(0)))
 
-    return let(words, hashed)
+    return let(words, lambda ws: F.concat(*(hashed(ws, size) for size in sizes)))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -83,26 +83,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not sizes:
         return rows.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows")).limit(0)
-    found = []
-    for size in sizes:
-        each = rows.select("doc_id", F.posexplode(_windows(template(F.col("text")), size)).alias("at", "h"))
-        found.append(each.join(keys.filter(F.col("size") == size).select("h"), "h").select("doc_id", "at", "h", F.lit(size).alias("size")))
-    hits = stage(reduce(DataFrame.unionByName, found), "window-hits")
-    pairs = hits.join(bench, ["h", "size"]).select("doc_id", "at", "size", "item_id", "place", "has_slots", "weak", "t", F.col("v").alias("theirs"), (F.col("at") - F.col("place")).alias("offset"))
+    found = rows.select("doc_id", F.inline(_windows(template(F.col("text")), sizes)))
+    hits = stage(found.join(keys, ["h", "size"]).select("doc_id", "at", "h", "size"), "window-hits")
+    pairs = hits.join(bench, ["h", "size"]).select("doc_id", "at", "size", "item_id", "place", "has_slots", "weak", "t", F.col("v").alias("theirs"))
     pairs = stage(pairs, "window-pairs")
     # Values of the documents, only where a template has slots.
     slotted = pairs.filter("has_slots")
     needed = stage(slotted.select("doc_id").distinct(), "slot-documents")
-    words = rows.join(needed, rows["doc_id"].eqNullSafe(needed["doc_id"]), "left_semi").select("doc_id", values(F.col("text")).alias("ours"))
-    slots = slotted.alias("p").join(words.alias("w"), F.expr("p.doc_id <=> w.doc_id")).select(
-        "p.doc_id", "item_id", "offset", "weak", F.explode(F.arrays_zip("t", "theirs", F.expr("slice(ours, at + 1, size)").alias("ours"))).alias("s")
-    )
-    slots = slots.filter(F.col("s.t").isin(NUMBER, NAME, UNIT)).groupBy("doc_id", "item_id", "offset", F.col("s.t").alias("kind"), F.col("s.theirs").alias("theirs"), F.col("s.ours").alias("ours")).agg(F.max("weak").alias("weak"))
-    alignment = ["doc_id", "item_id", "offset"]
-    one = slots.groupBy(*alignment, "kind", "theirs").agg(F.count("*").alias("n"), F.max(F.col("weak") & ~F.col("theirs").eqNullSafe(F.col("ours"))).alias("odd"))
-    back = slots.groupBy(*alignment, "kind", "ours").agg(F.count("*").alias("n"), F.lit(False).alias("odd"))
-    wrong = one.unionByName(back.withColumnRenamed("ours", "theirs")).filter("n > 1 or odd").select(*alignment).distinct()
-    fits = pairs.alias("p").join(wrong.alias("x"), F.expr("p.doc_id <=> x.doc_id and p.item_id <=> x.item_id and p.offset = x.offset"), "left_anti")
+    words = rows.join(needed, rows["doc_id"].eqNullSafe(needed["doc_id"]), "left_semi").select(F.col("doc_id").alias("of"), values(F.col("text")).alias("ours"))
+    slots = F.filter(F.arrays_zip("t", "theirs", F.slice("ours", F.col("at") + 1, F.col("size")).alias("ours")), lambda s: s["t"].isin(NUMBER, NAME, UNIT))
+    checked = slotted.join(words, F.expr("doc_id <=> of")).withColumn("slots", slots)
+
+    def kinds(*fields: str) -> Column:
+        return F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(*(s[f] for f in fields)))))
+
+    one_to_one = (kinds("t", "theirs", "ours") == kinds("t", "theirs")) & (kinds("t", "theirs", "ours") == kinds("t", "ours"))
+    same = F.forall("slots", lambda s: s["theirs"].eqNullSafe(s["ours"]))
+    fits = checked.filter(F.when(F.col("weak"), same).otherwise(one_to_one)).select("doc_id", "item_id", "at", "size")
+    fits = pairs.filter(~F.col("has_slots")).select("doc_id", "item_id", "at", "size").unionByName(fits)
     return fits.groupBy("doc_id", "item_id").agg(F.countDistinct("at", "size").alias("n_windows"))
 
 

@@ -114,13 +114,16 @@ def choose(docs: DataFrame, share: float = SHARE, epochs: int = 1, seed: str = S
 def mixed(docs: DataFrame, share: float = SHARE, seed: str = SEED) -> DataFrame:
     """The chosen rows of ``docs`` with all their columns, each at most once.
 
-    Rows are told apart by doc_id and text; of rows that repeat both, as many stay as were chosen of that doc_id.
+    Rows are told apart by doc_id and text; of rows that repeat both, as many stay as were chosen of that doc_id. A null doc_id is
+    an id like others. An empty table gives an empty result.
     """
-    chosen = stage(choose(docs, share, 1, seed).groupBy("doc_id").agg(F.count("*").alias("mix_n")).withColumnRenamed("doc_id", "mix_id"), "mix-chosen")
-    joined = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")))
+    taken = {c.lower() for c in docs.columns}
+    mix_id, mix_n, mix_k = (next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n not in taken) for name in ("mix_id", "mix_n", "mix_k"))
+    chosen = choose(docs, share, 1, seed).groupBy("doc_id").agg(F.count("*").alias(mix_n)).withColumnRenamed("doc_id", mix_id)
+    joined = docs.join(stage(chosen, "mix-chosen"), F.col("doc_id").cast("long").eqNullSafe(F.col(mix_id)))
     # Rows of one doc_id, in the order in which they were chosen.
     several = Window.partitionBy("doc_id").orderBy(n_tokens(F.col("text")), F.col("text").asc_nulls_first())
-    return joined.withColumn("mix_k", F.row_number().over(several)).filter("mix_k <= mix_n").select(*[docs[c] for c in docs.columns])
+    return joined.withColumn(mix_k, F.row_number().over(several)).filter(F.col(mix_k) <= F.col(mix_n)).select(*docs.columns)
 
 
 # The same for up to two epochs, as SQL.

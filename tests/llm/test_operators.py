@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfpace.llm import chat_format, decontaminate, jaccard_join, mixing, pii, quality_rules, suffix_dedup, token_counts, token_files, toxicity, vocabulary
 from shelfpace.llm.staging import new_folder
@@ -139,15 +140,70 @@ def test_decontamination(spark, empty):
     other = item.replace("2010", "1999").replace("45", "77").replace("30", "12").replace("Orlando", "Miranda")
     unfit = "In 2010 the company Orlando sold 45 kg of fresh apples to every market near 45 towns, 45 villages and 45 farms"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "two words"), (4, unfit)], "item_id long, text string")
-    rows = [(1, "Well. " + item), (2, "so " + other.upper().lower()), (3, "nothing of the kind " * 20), (4, None), (None, item), (5, unfit.replace("45 towns", "46 towns").replace("sold 45", "sold 45"))]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, item_id long")
-    got = {r.doc_id: set(r["items"]) for r in decontaminate.decontaminate(df, bench).collect()}
-    assert 1 in got[1] and 1 in got[None] and got[3] == set() and got[4] == set()
+    rows = [(1, "Well. " + item), (2, "so " + other), (3, "nothing of the kind " * 20), (4, None), (None, item), (5, unfit.replace("45 towns", "46 towns")), (6, "word " * 300_000 + item)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, item_id long, of long")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(df, bench).collect()}
+    assert all(1 in got[i]["items"] for i in (1, 2, None, 6)) and got[3]["items"] == got[4]["items"] == []
+    # Of the eleven windows only the four without the altered number fit.
+    assert 4 in got[5]["items"]
+    found = {(r.doc_id, r.item_id): r.n_windows for r in decontaminate.matches(df, bench).collect()}
+    assert found[5, 4] == 4
     assert [r.doc_id for r in decontaminate.without_contaminated(df, bench).collect() if r.doc_id in (1, 3)] == [3]
     assert decontaminate.decontaminate(empty, bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.decontaminate(df, bench.limit(0)).collect())
 
 
+def test_decontamination_against_plain_windows(spark):
+    """Whether each document holds the template windows of each item with fitting values, one by one."""
+    rnd = random.Random(8)
+    plain = "the market sold fresh apples and bread near town while people came by every day with more money".split()
+
+    def text(n):
+        return " ".join(rnd.choice(["12", "7", "Anna", "Bob", *plain, *plain]) for _ in range(n))
+
+    items = [(k, text(rnd.choice([4, 7, 9, 14, 20]))) for k in range(12)]
+    rows = []
+    for k in range(60):
+        words = items[k % 12][1].split()
+        words = [{"12": "31", "Anna": "Cleo"}.get(w, w) if k % 3 == 0 else w for w in words]
+        if k % 4 == 1:
+            words[rnd.randrange(len(words))] = rnd.choice(["12", "99", "Bob", "apples"])
+        rows.append((k, f"{text(6)} {' '.join(words)} {text(6)}"))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    t, v = decontaminate.template(F.col("text")).alias("t"), decontaminate.values(F.col("text")).alias("v")
+    docs = {r.doc_id: (r.t, r.v) for r in df.select("doc_id", t, v).collect()}
+    marks = (decontaminate.NUMBER, decontaminate.NAME, decontaminate.UNIT)
+    want = {}
+    for item, (their_t, their_v) in {r.item_id: (r.t, r.v) for r in bench.select("item_id", t, v).collect()}.items():
+        size = min(len(their_t), decontaminate.WINDOW)
+        if len(their_t) < decontaminate.SHORTEST:
+            continue
+        for doc, (our_t, our_v) in docs.items():
+            hits = set()
+            for a in range(len(our_t) - size + 1):
+                for b in range(len(their_t) - size + 1):
+                    if our_t[a : a + size] != their_t[b : b + size]:
+                        continue
+                    slots = {(k, x, y) for k, x, y in zip(our_t[a : a + size], our_v[a : a + size], their_v[b : b + size], strict=True) if k in marks}
+                    n = sum(k in marks for k in our_t[a : a + size])
+                    fit = all(x == y for _, x, y in slots) if size - n < decontaminate.LITERALS else len({s[:2] for s in slots}) == len(slots) == len({s[::2] for s in slots})
+                    if fit:
+                        hits.add(a)
+            if hits:
+                want[doc, item] = len(hits)
+    assert {(r.doc_id, r.item_id): r.n_windows for r in decontaminate.matches(df, bench).collect()} == want and len(want) > 40
+
+
+def test_mixed_keeps_columns_with_its_own_names(spark):
+    rows = [(k % 7 or None, "a b c" if k % 2 else None, "en", f"s{k % 3}", k, "x") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mix_id long, mix_k string")
+    got = mixing.mixed(df, 1.0)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+    assert mixing.mixed(df.limit(0)).count() == 0
+    near = df.withColumnRenamed("mix_k", "k_of_id")
+    assert {r.k_of_id for r in jaccard_join.one_of_each(near).collect()} == {"x"}
+
+
 def test_personal_data(spark, docs, texts, empty):
     tricky = ["1.2.3.4.5 a@b.c.d_x@y.org +1 (555) 123-4567 4111 1111 1111 1111-2 300.1.1.1 0001.2.3.004", "4111-1111-1111-1111", "1 " * 9000, "7" * 9000]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(50_000 + k, t) for k, t in enumerate(tricky)], "doc_id long, text string"))
