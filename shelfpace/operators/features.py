@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfpace.functions.columns import ratio
@@ -31,10 +31,34 @@ def category_values(panel: DataFrame, columns: Sequence[str] = CATEGORY_COLUMNS)
     values = {c: sorted(r["value"] for r in rows if r["name"] == c) for c in columns}
     for column, seen in values.items():
         if len(seen) > MAX_CATEGORIES or len(rows) > limit:
-            raise ValueError(f"more than {MAX_CATEGORIES} categories ({column}); they cannot all become columns")
+            raise ValueError(f"more than {MAX_CATEGORIES} categories ({column}); they cannot all become columns, use category_share_long")
     return values
 
 
+def _in_long_form(panel: DataFrame, columns: Sequence[str], *kept: str) -> DataFrame:
+    """One row per row of ``panel`` and column: ``column`` (its name), ``value`` (as text) and the columns kept."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    return panel.select(*kept, F.inline(pairs))
+
+
+def category_values_long(panel: DataFrame, columns: Sequence[str] = CATEGORY_COLUMNS) -> DataFrame:
+    """column, value, n: every value of each column (null left out) and its rows; any number of values, none at the driver."""
+    rows = _in_long_form(panel, columns).filter(F.col("value").isNotNull())
+    return rows.groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
+def category_share_long(panel: DataFrame, columns: Sequence[str] = CATEGORY_COLUMNS, key: str = "sku") -> DataFrame:
+    """key, column, value, n, share: the proportions of ``category_share`` as rows, for any number of values.
+
+    Values an item does not have get no row (their share is 0); rows without a category do not count. Rows combine before
+    the one exchange by item, column and value; what meets the totals is one row per value of an item.
+    """
+    rows = _in_long_form(panel, columns, key).filter(F.col("value").isNotNull())
+    counts = rows.groupBy(key, "column", "value").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(key, "column"))
+    return counts.withColumn("share", F.col("n") / total)
+
+
 def category_proportions(
     column: str,
     values: Sequence[str],

@@ -78,3 +78,8 @@ def leading_zeros(panel: DataFrame, column: str = "minutes_active", key: str = "
         F.col("_first").isNull() | (F.col("_time") < F.col("_first"))
     )
     return first.join(zeros, leading, "left").groupBy(key).agg(F.count("_zero").alias("leading_zeros"))
+
+
+def repeated_days(panel: DataFrame, key: str = "sku", time: str = "date") -> DataFrame:
+    """key, day, n of the days an item has more than one row for, which running sums and windows take as ties."""
+    return panel.groupBy(key, time).agg(F.count("*").alias("n")).filter("n > 1")

@@ -302,6 +302,18 @@ def oracle_sql() -> dict[str, str]:
         "rolling_means_active": _with(active, rolled + "a_rolled"),
         "rolling_means_compat": _with(compat, rolled + "b_rolled"),
         "event_curve": _event_curve(),
+        "category_values": _with(
+            [PANEL_FULL],
+            """SELECT "column", value, COUNT(*) AS n FROM (SELECT listing_type, shipping_payment, shipping_logistic_type FROM sku_daily)
+            UNPIVOT (value FOR "column" IN (listing_type, shipping_payment, shipping_logistic_type)) GROUP BY ALL""",
+        ),
+        "category_share_long": _with(
+            [PANEL_FULL],
+            f"""SELECT sku, "column", value, n, {_r("n / CAST(SUM(n) OVER (PARTITION BY sku, \"column\") AS DOUBLE)", "share")} FROM (
+            SELECT sku, "column", value, COUNT(*) AS n FROM (SELECT sku, listing_type, shipping_payment, shipping_logistic_type FROM sku_daily)
+            UNPIVOT (value FOR "column" IN (listing_type, shipping_payment, shipping_logistic_type)) GROUP BY ALL)""",
+        ),
+        "repeated_days": "SELECT l_partkey AS sku, CAST(l_shipdate AS DATE) AS date, COUNT(*) AS n FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1",
         "category_share": _with(
             full,
             f"SELECT sku, {', '.join(_shares('shipping_logistic_type', 'share'))} "

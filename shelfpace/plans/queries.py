@@ -194,6 +194,22 @@ def dense_panel(spark: SparkSession, sf: str) -> DataFrame:
     return _dense(spark, sf, train=False, active=True, categories=("currency",)).select(*columns)
 
 
+def category_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every category of the panel, discovered."""
+    return features.category_values_long(retail.sku_daily(spark, sf, tuple(CATEGORIES)))
+
+
+def category_share_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of all categories of each item as rows; no list of values anywhere."""
+    return rounded(features.category_share_long(retail.sku_daily(spark, sf, tuple(CATEGORIES))))
+
+
+def repeated_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Days on which an item has several order lines, so that the lines alone are no daily panel."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_partkey").alias("sku"), F.col("l_shipdate").cast("date").alias("date"))
+    return quality.repeated_days(lines)
+
+
 def meta_clean(spark: SparkSession, sf: str) -> DataFrame:
     return _meta(spark, sf)
 
@@ -439,6 +455,9 @@ def queries() -> dict[str, Query]:
         "active_share": active_share,
         "day_grid": day_grid,
         "dense_panel": dense_panel,
+        "category_values": category_values,
+        "category_share_long": category_share_long,
+        "repeated_days": repeated_days,
         "meta_clean": meta_clean,
         "panel_with_meta": panel_with_meta,
         "forward_filled": forward_filled,

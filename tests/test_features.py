@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from shelfpace.operators import features, series
 from tests.helpers import by, panel, row
@@ -102,3 +103,14 @@ def test_too_many_categories_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(features, "MAX_CATEGORIES", 2)
     with pytest.raises(ValueError, match="categories"):
         features.category_values(_cats(spark, ["A", "B", "C"]), ["listing_type"])
+
+
+def test_long_shares_agree_with_the_wide_ones(spark):
+    rows = panel(spark, [row(1, 0, listing="A"), row(1, 1, listing="B"), row(1, 2, listing=None), row(2, 0, listing="odd 'name'"), row(3, 0, listing=None)])
+    long = {(r["sku"], r["value"]): (r["n"], r["share"]) for r in features.category_share_long(rows, ["listing_type"]).collect()}
+    assert long == {(1, "A"): (1, 0.5), (1, "B"): (1, 0.5), (2, "odd 'name'"): (1, 1.0)}
+    wide = by(features.category_share(rows, "listing_type"), "sku")
+    assert all(wide[sku][f"{value}_prop"] == share for (sku, value), (_, share) in long.items())
+    many = spark.range(5000).select(F.col("id").alias("sku"), F.col("id").cast("string").alias("listing_type"))
+    assert features.category_values_long(many, ["listing_type"]).count() == 5000
+    assert features.category_share_long(many.limit(0), ["listing_type"]).count() == 0
