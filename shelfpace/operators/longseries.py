@@ -1,9 +1,11 @@
 """Running curves for series without a length bound.
 
 The windows of :mod:`shelfpace.operators.series` hold one series in one task. When a single key may own a
-large part of all rows, each series is cut into chunks of time instead. A window only ever sees one chunk;
-what came before it arrives as one number per chunk, from a small table with one row per key and chunk.
-Results are the same as those of the plain windows.
+large part of all rows, rows are laid out in ranges of (key, time) of even size instead (:func:`place`), so that a
+long series lies in as many ranges as its rows need. A window only ever sees one range; what came before it arrives
+as one state per key and range. A key has a state to carry only where it goes on from one range into the next, and
+every border between two ranges is crossed by at most one key: the states are fewer than twice the ranges, whatever
+the data, and are broadcast. Results are the same as those of the plain windows, for series of any length.
 """
 
 from __future__ import annotations
@@ -12,79 +14,71 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfpace.functions.columns import ratio
 from shelfpace.functions.windows import series_window
 from shelfpace.operators.series import CURVES, LOOKBACKS, SPLIT_AT, lookback_means, per_split
+from shelfpace.session import staged
 
 BLOCK_ROWS = 100_000
-CHUNK_ROWS = 1_000_000
-# Seconds per chunk, and length of the same unit in text form (yyyy-MM-dd HH:mm:ss).
-UNITS = {
-    "year": (366 * 86_400, 4),
-    "month": (31 * 86_400, 7),
-    "day": (86_400, 10),
-    "hour": (3_600, 13),
-    "minute": (60, 16),
-    "second": (1, 19),
-}
 
 
-def _join_chunks(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Add per-chunk values to the rows. Null keys and null times are series and chunks like any other."""
-    renamed = known.withColumnsRenamed({key: "_key", "_chunk": "_part"})
-    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_chunk").eqNullSafe(F.col("_part"))
-    return rows.join(renamed, same).drop("_key", "_part")
+def place(
+    rows: DataFrame, time: str, key: str = "sku", parts: int | None = None, table: str | None = None
+) -> DataFrame:
+    """The rows in ranges of (key, time), numbered by ``_part`` in ascending order, written once and read back.
 
+    The sampled bounds give ranges of about the same number of rows; rows of one key and time stay together. Null keys
+    and null times come first, as in a window. ``parts`` fixes the number of ranges, which else follows the session's
+    shuffle settings. The rows go to ``table``, or to a folder below the shared one.
+    """
+    by = [F.col(key), F.col(time)]
+    ranged = rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)
+    numbered = ranged.withColumn("_part", F.spark_partition_id())
+    if table is None:
+        return staged(numbered, "series")
+    numbered.write.format("parquet").saveAsTable(table)
+    return rows.sparkSession.table(table)
 
-def _sum_known(left: Column, right: Column) -> Column:
-    """Sum of two values where null means nothing there."""
-    return F.coalesce(left + right, left, right)
 
+def _with_states(rows: DataFrame, states: DataFrame, key: str) -> DataFrame:
+    """Add the states (one row per key and range) to the rows of keys in several ranges; null for all others."""
+    ranges = F.count(F.lit(1)).over(series_window(key))
+    crossing = states.withColumn("_ranges", ranges).filter("_ranges > 1").drop("_ranges")
+    renamed = crossing.withColumnsRenamed({key: "_key", "_part": "_range"})
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_range"))
+    return rows.join(F.broadcast(renamed), same, "left").drop("_key", "_range")
 
-def chunk_of(rows: DataFrame, time: str, unit: str) -> Column:
-    """Chunk of each row's time, never decreasing with it. Points in time are counted in fixed steps from
-    the epoch, so that clock changes cannot reorder them; dates and local times are cut as text."""
-    width, length = UNITS[unit]
-    if isinstance(rows.schema[time].dataType, T.TimestampType):
-        return F.floor(F.unix_seconds(F.col(time)) / F.lit(width))
-    return F.substring(F.col(time).cast("string"), 1, length)
 
+def _sum_known(left: Column, right: Column) -> Column:
+    """Sum of two values where null means nothing there."""
+    return F.coalesce(left + right, left, right)
 
-def chunk_unit(rows: DataFrame, time: str, key: str = "sku", limit: int = CHUNK_ROWS) -> str:
-    """Coarsest unit whose chunks all stay within ``limit`` rows (the finest one if none does).
 
-    Each try is one count that combines on the map side; one number reaches the driver.
-    """
-    for unit in UNITS:
-        sizes = rows.groupBy(key, chunk_of(rows, time, unit).alias("_chunk")).count()
-        if (sizes.agg(F.max("count")).first()[0] or 0) <= limit:
-            break
-    return unit
+def _earlier_ranges(key: str):
+    return series_window(key, "_part", rows=(Window.unboundedPreceding, -1))
 
 
 def number_rows(
-    rows: DataFrame, time: str, ties: Sequence[str], chunk: Column, split_at: int = SPLIT_AT, key: str = "sku"
+    placed: DataFrame, time: str, ties: Sequence[str] = (), split_at: int = SPLIT_AT, key: str = "sku"
 ) -> DataFrame:
-    """Split and day numbers as in ``series.number_days``. ``ties`` settles the order among equal times;
-    ``chunk`` must not decrease with time."""
-    before = series_window(key, "_chunk", rows=(Window.unboundedPreceding, -1))
-    chunked = rows.withColumn("_chunk", chunk)
-    sizes = chunked.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
-    starts = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    counted = _join_chunks(chunked, starts, key)
-    position = F.col("_before") + F.row_number().over(series_window([key, "_chunk"], [time, *ties]))
+    """Split and day numbers as in ``series.number_days``; input from :func:`place`, possibly filtered.
+    ``ties`` settles the order among equal times."""
+    sizes = placed.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    starts = sizes.select(key, "_part", F.sum("_rows").over(_earlier_ranges(key)).alias("_before"))
+    local = placed.withColumn("_row", F.row_number().over(series_window([key, "_part"], [time, *ties])))
+    position = F.coalesce(F.col("_before"), F.lit(0).cast("long")) + F.col("_row")
     early = F.col("_position") <= split_at
     return (
-        counted.withColumn("_position", position)
+        _with_states(local, starts, key)
+        .withColumn("_position", position)
         .withColumns(
             {
                 "is_train": F.when(early, 1).otherwise(0),
                 "id": F.when(early, F.col("_position")).otherwise(F.col("_position") - split_at),
             }
         )
-        .drop("_before", "_position")
+        .drop("_row", "_before", "_position")
     )
 
 
@@ -93,35 +87,33 @@ def running_stock(
 ) -> DataFrame:
     """Running sum, maximum plus one and quotient; input from :func:`number_rows`.
 
-    Sums run inside each chunk first. A chunk's total and highest point then say, for every chunk of the
+    Sums run inside each range first. A range's total and highest point then say, for every range of the
     key, where its sum starts and how high the key has been or will be.
     """
     early, late = F.col("is_train") == 1, F.col("is_train") == 0
-    earlier_chunks = series_window(key, "_chunk", rows=(Window.unboundedPreceding, -1))
-    reach = earlier_chunks if running_max else series_window(key)
-    inside = series_window([key, "_chunk"], time, values=(Window.unboundedPreceding, Window.currentRow))
-    local = numbered.withColumn("_local", per_split(F.sum, F.col(quantity), inside))
+    earlier = _earlier_ranges(key)
+    reach = earlier if running_max else series_window(key)
+    so_far = series_window([key, "_part"], time, values=(Window.unboundedPreceding, Window.currentRow))
+    local = numbered.withColumn("_local", per_split(F.sum, F.col(quantity), so_far))
 
     totals, starts, tops = {}, {}, {}
     for side, here in ((1, early), (0, late)):
         totals[f"_sum{side}"] = F.sum(F.when(here, F.col(quantity)))
         totals[f"_high{side}"] = F.max(F.when(here, F.col("_local")))
-        starts[f"_start{side}"] = F.sum(f"_sum{side}").over(earlier_chunks)
+        starts[f"_start{side}"] = F.sum(f"_sum{side}").over(earlier)
         tops[f"_top{side}"] = F.max(_sum_known(F.col(f"_start{side}"), F.col(f"_high{side}"))).over(reach)
-    chunks = local.groupBy(key, "_chunk").agg(*[expr.alias(name) for name, expr in totals.items()])
-    known = chunks.withColumns(starts).withColumns(tops).select(key, "_chunk", *starts, *tops)
-    joined = _join_chunks(local, known, key)
+    ranges = local.groupBy(key, "_part").agg(*[expr.alias(name) for name, expr in totals.items()])
+    states = ranges.withColumns(starts).withColumns(tops).select(key, "_part", *starts, *tops)
 
     def by_side(name: str) -> Column:
         return F.when(early, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
 
-    curve = joined.withColumn("cumsum", _sum_known(by_side("_start"), F.col("_local")))
-    top = by_side("_top")
-    if running_max:
-        top = F.greatest(top, per_split(F.max, F.col("cumsum"), inside))
+    curve = _with_states(local, states, key).withColumn("cumsum", _sum_known(by_side("_start"), F.col("_local")))
+    # Highest point inside the range, next to the one of the key's other ranges where it has any.
+    inside = per_split(F.max, F.col("cumsum"), so_far if running_max else series_window([key, "_part"]))
     return (
-        curve.withColumn("max", top + 1)
-        .drop(*starts, *tops, "_local", "_chunk")
+        curve.withColumn("max", F.greatest(by_side("_top"), inside) + 1)
+        .drop(*starts, *tops, "_local", "_part")
         .withColumn("cumsum_pc", ratio(F.col("cumsum"), F.col("max")))
     )
 
@@ -147,9 +139,8 @@ def rolling_means(
 
 
 def labelled_curve(
-    rows: DataFrame,
+    placed: DataFrame,
     time: str,
-    chunk: Column,
     ties: Sequence[str] = (),
     split_at: int = SPLIT_AT,
     lookbacks: Sequence[int] = LOOKBACKS,
@@ -157,7 +148,7 @@ def labelled_curve(
     key: str = "sku",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Split, running stock and rolling means of series of any length."""
-    numbered = number_rows(rows, time, ties, chunk, split_at, key)
+    """Split, running stock and rolling means of series of any length; input from :func:`place`."""
+    numbered = number_rows(placed, time, ties, split_at, key)
     curve = running_stock(numbered, time, running_max, key)
     return rolling_means(curve, CURVES, lookbacks, key, block_rows)

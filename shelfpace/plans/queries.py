@@ -162,9 +162,8 @@ def rolling_means(spark: SparkSession, sf: str, active: bool = False, compat: bo
 
 def event_curve(spark: SparkSession, sf: str) -> DataFrame:
     """Running stock over single events, where one user may own any part of all rows."""
-    events = retail.user_events(spark, sf)
-    chunk = longseries.chunk_of(events, "ts", longseries.chunk_unit(events, "ts"))
-    curve = longseries.labelled_curve(events, time="ts", ties=["event_id"], chunk=chunk)
+    events = longseries.place(retail.user_events(spark, sf), "ts")
+    curve = longseries.labelled_curve(events, time="ts", ties=["event_id"])
     return curve.select("sku", "event_id", "id", "is_train", "cumsum", "max", "cumsum_pc", *ROLLING)
 
 

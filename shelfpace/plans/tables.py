@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfpace.operators import features, grid, longseries, metadata, quality
+from shelfpace.operators import features, grid, longseries, metadata
 from shelfpace.operators import series as s
 from shelfpace.session import shared_folder
 from shelfpace.sources.writers import write_table
@@ -35,10 +35,6 @@ TABLE_NAMES = (
     "days_activity_train",
     "days_activity_validation",
 )
-# Longest series a plain window may hold in one task.
-SERIES_LIMIT = 1_000_000
-
-
 @dataclass(frozen=True)
 class Inputs:
     panel: DataFrame
@@ -46,13 +42,9 @@ class Inputs:
     score_items: DataFrame
 
 
-def label(panel: DataFrame, active: bool, compat: bool = False, long: bool = False) -> DataFrame:
-    """Labelled panel for all days or for active days."""
-    frame = s.active_only(panel) if active else panel
-    if long:
-        chunk = longseries.chunk_of(frame, "date", longseries.chunk_unit(frame, "date"))
-        return longseries.labelled_curve(s.add_activity(frame), "date", chunk, running_max=compat)
-    return s.labelled_series(frame, running_max=compat)
+def label(panel: DataFrame, active: bool, compat: bool = False) -> DataFrame:
+    """Labelled panel for all days or for active days, by plain windows: for panels with one row per item and day."""
+    return s.labelled_series(s.active_only(panel) if active else panel, running_max=compat)
 
 
 def dense_frame(frame: DataFrame, keys: DataFrame, meta: DataFrame, compat: bool, active: bool) -> DataFrame:
@@ -113,33 +105,28 @@ def build_tables(
     out: str,
     categories: dict[str, Sequence[str]] | None = None,
     compat: bool = True,
-    buckets: int | None = None,
-    series_limit: int = SERIES_LIMIT,
+    parts: int | None = None,
 ) -> dict[str, str]:
     """Write all tables below ``out`` and return their paths.
 
-    The panel is shuffled by item once for each of the two labelled panels. These are written to the shared
-    folder bucketed by item, so the seventeen tables read them without another shuffle and a lost executor
-    costs no recomputation from the source. Series beyond ``series_limit`` rows take the chunked way and are
-    staged without buckets, because one bucket would then hold one item's whole history.
+    The panel is laid out once in ranges of item and day (``longseries.place``, ``parts`` ranges if given), which serve
+    both labelled panels; series of any length take this one way. Repeated days are ordered by their other columns, so
+    the split falls on the same rows in every run. The labelled panels are written by side of the split, and
+    the seventeen tables read one side each. All staged tables are dropped at the end.
     """
-    longest = quality.longest_series(inputs.panel)
-    long = longest > series_limit
-    if categories is None:
-        categories = features.category_values(inputs.panel)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    panel = inputs.panel if long else inputs.panel.repartition(buckets, "sku")
     stage = f"shelfpace_{uuid.uuid4().hex}"
     spark.sql(f"CREATE DATABASE {stage} LOCATION '{shared_folder(spark)}/{stage}'")
     try:
-        for name, active in (("labelled", False), ("labelled_active", True)):
-            writer = label(panel, active, compat, long).write.format("parquet")
-            if not long:
-                writer = writer.bucketBy(buckets, "sku").sortBy("sku", "id")
-            writer.saveAsTable(f"{stage}.{name}")
-        staged = {False: spark.table(f"{stage}.labelled"), True: spark.table(f"{stage}.labelled_active")}
-        keys = staged[False].select("sku").distinct()
-        made = tables_from_labelled(staged.get, inputs.meta, inputs.score_items, keys, categories, compat)
+        ties = [c for c in inputs.panel.columns if c not in ("sku", "date")]
+        placed = longseries.place(s.add_activity(inputs.panel), "date", parts=parts, table=f"{stage}.placed")
+        if categories is None:
+            categories = features.category_values(placed)
+        for name, frame in (("labelled", placed), ("labelled_active", s.active_only(placed))):
+            curve = longseries.labelled_curve(frame, "date", ties, running_max=compat)
+            curve.write.format("parquet").partitionBy("is_train").saveAsTable(f"{stage}.{name}")
+        labelled = {False: spark.table(f"{stage}.labelled"), True: spark.table(f"{stage}.labelled_active")}
+        keys = placed.select("sku").distinct()
+        made = tables_from_labelled(labelled.get, inputs.meta, inputs.score_items, keys, categories, compat)
         return {name: write_table(make(), out, name) for name, make in made.items()}
     finally:
         spark.sql(f"DROP DATABASE {stage} CASCADE")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -73,6 +74,14 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="shelfpace-stage-")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows as Parquet to a fresh folder below the shared one and read them back, so that later steps
+    read only the columns they need and recompute nothing."""
+    path = f"{shared_folder(df.sparkSession)}/shelfpace/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder once and go on from there.
 

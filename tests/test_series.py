@@ -100,13 +100,12 @@ def _long_input(spark, seed=3, hot=600, others=40):
 
 
 @pytest.mark.parametrize("running_max", [False, True])
-@pytest.mark.parametrize("unit", ["month", "year"])
-def test_chunked_curves_equal_plain_windows(spark, running_max, unit):
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_curves_over_ranges_equal_plain_windows(spark, running_max, parts):
     rows = _long_input(spark)
     plain = series.labelled_series(rows, running_max=running_max)
-    chunked = longseries.labelled_curve(
-        series.add_activity(rows), "date", F.date_trunc(unit, "date"), running_max=running_max, block_rows=50
-    )
+    placed = longseries.place(series.add_activity(rows), "date", parts=parts)
+    ranged = longseries.labelled_curve(placed, "date", running_max=running_max, block_rows=50)
     columns = ["sku", "date", "is_train", "id", "cumsum", "max", *[c for c in plain.columns if c.startswith("rolling")]]
 
     def flat(df):
@@ -114,45 +113,56 @@ def test_chunked_curves_equal_plain_windows(spark, running_max, unit):
             tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*columns).collect()
         )
 
-    assert flat(plain) == flat(chunked)
+    assert flat(plain) == flat(ranged)
 
 
-def test_chunked_curves_keep_rows_with_null_key_or_time(spark):
+@pytest.mark.parametrize("parts", [1, 4])
+def test_curves_over_ranges_keep_rows_with_null_key_or_time(spark, parts):
     rows = panel(spark, [row(None, 0, 2.0), row(None, 40, 3.0), row(1, None, 1.0), row(1, 3, 1.0)])
-    got = longseries.labelled_curve(series.add_activity(rows), "date", F.date_trunc("month", "date"))
+    got = longseries.labelled_curve(longseries.place(series.add_activity(rows), "date", parts=parts), "date")
     assert sorted((r["sku"] or 0, r["cumsum"]) for r in got.collect()) == [(0, 2.0), (0, 5.0), (1, 1.0), (1, 2.0)]
 
 
-def test_chunk_unit_follows_the_largest_chunk(spark):
-    rows = panel(spark, [row(1, n) for n in range(120)] + [row(2, 0)])
-    assert longseries.chunk_unit(rows, "date", limit=120) == "year"
-    assert longseries.chunk_unit(rows, "date", limit=31) == "month"
-    assert longseries.chunk_unit(rows, "date", limit=1) == "day"
-    assert longseries.chunk_unit(rows, "date", limit=0) == "second"
+def test_repeated_times_over_ranges_share_the_running_sum(spark):
+    rows = panel(spark, [row(k, n // 3, float(1 + n % 2)) for k in (1, 2) for n in range(240)])
+    placed = longseries.place(series.add_activity(rows), "date", parts=9)
+    assert placed.groupBy("sku", "date").agg(F.count_distinct("_part").alias("n")).filter("n > 1").count() == 0
+    assert placed.filter("sku = 1").select("_part").distinct().count() > 2
+    ties = ["sold_quantity"]
+    got = longseries.running_stock(longseries.number_rows(placed, "date", ties), "date")
+    position = F.row_number().over(series_window("sku", ["date", *ties]))
+    sides = rows.withColumn("is_train", F.when(position <= 30, 1).otherwise(0))
+    want = series.running_stock(sides)
 
+    def flat(df):
+        return sorted(tuple(r) for r in df.select("sku", "date", "sold_quantity", "is_train", "cumsum", "max").collect())
 
-@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz"])
-def test_chunks_never_go_back_in_time(spark, kind):
-    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
-    try:
-        # Every 10 minutes around both clock changes of one year.
-        times = spark.range(0, 1000).select(F.expr("timestamp_seconds(1615600000 + id * 600)").alias("t"))
-        times = times.union(times.select(F.expr("t + interval 237 days")))
-        rows = times.select(F.lit(1).alias("sku"), F.col("t").cast(kind).alias("t"))
-        for unit in longseries.UNITS:
-            pairs = rows.select("t", longseries.chunk_of(rows, "t", unit).alias("c")).distinct().collect()
-            chunks = [r["c"] for r in sorted(pairs, key=lambda r: r["t"])]
-            assert chunks == sorted(chunks), unit
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert flat(got) == flat(want)
 
 
-def test_no_chunk_window_holds_a_whole_hot_series(spark):
-    rows = _long_input(spark)
-    plan = longseries.labelled_curve(rows, "date", F.date_trunc("month", "date"))
+def test_curves_over_ranges_of_an_empty_panel(spark):
+    placed = longseries.place(series.add_activity(panel(spark, [])), "date")
+    assert longseries.labelled_curve(placed, "date").count() == 0
+
+
+def test_hot_series_lies_in_many_ranges_and_few_states_travel(spark):
+    placed = longseries.place(_long_input(spark), "date", parts=12)
+    sizes = placed.groupBy("_part").count().collect()
+    assert len(sizes) > 8 and max(r["count"] for r in sizes) < 600
+    assert placed.filter("sku = 1").select("_part").distinct().count() > 3
+    ranges = placed.select("sku", "_part").distinct().groupBy("sku").count().filter("count > 1")
+    assert ranges.agg(F.sum("count")).first()[0] <= 2 * (len(sizes) - 1)
+
+
+def test_no_window_over_rows_holds_a_whole_hot_series(spark):
+    plan = longseries.labelled_curve(longseries.place(_long_input(spark), "date", parts=4), "date")
     text = plan._jdf.queryExecution().optimizedPlan().toString()
-    for spec in re.findall(r"row_number\(\) windowspecdefinition\(([^)]*)\)", text):
-        assert "_chunk" in spec
+    found = re.findall(r"row_number\(\) windowspecdefinition\(([^)]*)\)", text)
+    assert found and all("_part" in spec for spec in found)
+    lags = re.findall(r"lag\([^)]*\) windowspecdefinition\(([^)]*)\)", text)
+    assert lags and all("_block" in spec for spec in lags)
+    joins = re.findall(r"(\w+HashJoin|SortMergeJoin)", plan._jdf.queryExecution().executedPlan().toString())
+    assert set(joins) == {"BroadcastHashJoin"}
 
 
 def test_block_must_exceed_lookback(spark):

@@ -56,7 +56,7 @@ def test_entry(spark):
 
 
 def test_written_tables_equal_the_lazy_ones(spark, inputs, tmp_path):
-    paths = tables.build_tables(spark, inputs, str(tmp_path), compat=True, buckets=3)
+    paths = tables.build_tables(spark, inputs, str(tmp_path), compat=True, parts=3)
     assert tuple(paths) == tables.TABLE_NAMES
     lazy = tables.feature_tables(inputs, compat=True)
     for name in tables.TABLE_NAMES:
@@ -64,8 +64,8 @@ def test_written_tables_equal_the_lazy_ones(spark, inputs, tmp_path):
     assert not [d.name for d in spark.catalog.listDatabases() if d.name.startswith("shelfpace_")]
 
 
-def test_long_series_give_the_same_tables(spark, inputs, tmp_path):
-    tables.build_tables(spark, inputs, str(tmp_path), compat=True, series_limit=10)
+def test_series_over_many_ranges_give_the_same_tables(spark, inputs, tmp_path):
+    tables.build_tables(spark, inputs, str(tmp_path), compat=True, parts=40)
     lazy = tables.feature_tables(inputs, compat=True)
     for name in ("train", "validation_active", "features_train_active", "dof_validation", "days_activity_train"):
         assert _same(lazy[name](), readers.read_table(spark, str(tmp_path), name)), name
