@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfpace.operators import encoding, metadata, model
 from shelfpace.operators import target as t
 from shelfpace.plans.tables import Inputs, build_tables
-from shelfpace.sources.readers import read_item_meta, read_panel, read_score_items, read_table
+from shelfpace.sources import lines
+from shelfpace.sources.readers import read_panel, read_table
 from shelfpace.sources.writers import write_predictions, write_table, write_trials
 
 TRIALS = 20
@@ -69,16 +70,20 @@ def run_all(
 ) -> None:
     """The whole job from the three input files.
 
-    Metadata with a repeated key is an error, because it would add lines to the predictions, which have no key. Items
-    to score without a readable key go to the table ``rejected_items``.
+    Lines of the metadata and of the items to score that hold no record go to the table ``rejected_lines`` with
+    their place, text and reason; items are scored in the order of their lines. Metadata with a repeated key is an
+    error, because it would add lines to the predictions, which have no key.
     """
-    item_meta = read_item_meta(spark, meta)
+    write_table(lines.item_meta_lines(spark, meta), out, "meta_lines")
+    write_table(lines.score_item_lines(spark, score_items), out, "item_lines")
+    read = {name: read_table(spark, out, f"{name}_lines") for name in ("meta", "item")}
+    rejected = lines.rejects(read["meta"], "metadata").unionByName(lines.rejects(read["item"], "score items"))
+    write_table(rejected, out, "rejected_lines")
+    item_meta = lines.records(read["meta"])
     repeated = metadata.duplicate_keys(item_meta).first()
     if repeated:
         raise ValueError(f"repeated key in the metadata: {repeated}")
-    items = metadata.tag_input_order(read_score_items(spark, score_items))
-    write_table(items.filter("sku IS NULL"), out, "rejected_items")
-    inputs = Inputs(read_panel(spark, panel), item_meta, items.filter("sku IS NOT NULL"))
+    inputs = Inputs(read_panel(spark, panel), item_meta, lines.records(read["item"]))
     build_tables(spark, inputs, out)
     prepare(spark, out)
     tune(spark, out, trials, trees)

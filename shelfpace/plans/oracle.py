@@ -269,6 +269,16 @@ def _score_list() -> str:
     )
 
 
+def _score_lines() -> str:
+    """Text and place of every line, and what is wrong with it."""
+    return """kinds AS (SELECT p_partkey AS k, p_partkey % 20 AS kind, CAST(p_partkey AS VARCHAR) AS key, p_size * 15 AS stock,
+    ROW_NUMBER() OVER (ORDER BY p_partkey) - 1 AS position FROM part),
+lines AS (SELECT position, k, kind, CASE WHEN kind <> 4 THEN CAST(stock AS DOUBLE) END AS target_stock,
+    CASE kind WHEN 1 THEN 'x' || key || ',' || stock WHEN 2 THEN key || ',unknown' WHEN 3 THEN key
+        WHEN 4 THEN key || ',' ELSE key || ',' || stock END AS raw,
+    CASE kind WHEN 1 THEN 'bad key' WHEN 2 THEN 'bad number' WHEN 3 THEN 'wrong number of fields' END AS reason FROM kinds)"""
+
+
 def oracle_sql() -> dict[str, str]:
     ints = "CAST(id AS INTEGER) AS id, CAST(is_train AS INTEGER) AS is_train"
     day = "CAST(id AS INTEGER) AS id"
@@ -366,6 +376,17 @@ CROSS JOIN (SELECT UNNEST(range(1, 31)) AS id) d""",
             f"SELECT d.sku, {day}, {_r('rolling_cumsum_1')}, item_domain_id, site_id FROM d JOIN meta m ON m.sku = d.sku",
         ),
         "score_list": _score_list(),
+        "score_order": _with(
+            [META, _score_lines()],
+            f"""SELECT k AS sku, position AS monid, {_r("target_stock")}, COALESCE(m.item_domain_id, '') AS item_domain_id, m.site_id
+            FROM lines LEFT JOIN meta m ON m.sku = k WHERE reason IS NULL""",
+        ),
+        "rejected_lines": _with(
+            [_score_lines()], "SELECT 'score items' AS source, position, reason, raw FROM lines WHERE reason IS NOT NULL"
+        ),
+        "duplicate_meta": _with([META_RAW], "SELECT site_id, COUNT(*) AS count FROM meta_raw GROUP BY 1 HAVING COUNT(*) > 1"),
+        # The numbers marked -1 are the missing ones again.
+        "sentinel_target": _with(TARGETS, target + "t1"),
         "date_gaps": f"{consecutive}(SELECT DISTINCT user_id AS sku, CAST(ts AS DATE) AS date FROM events) GROUP BY sku",
         "broken_series": _with(
             [PANEL], f"SELECT * FROM ({consecutive} sku_daily GROUP BY sku) WHERE NOT consecutive"

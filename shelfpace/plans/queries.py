@@ -17,8 +17,8 @@ from shelfpace.operators import encoding, features, grid, longseries, metadata,
 from shelfpace.operators import series as s
 from shelfpace.operators import target as t
 from shelfpace.plans import tables
-from shelfpace.session import cut_lineage
-from shelfpace.sources import retail
+from shelfpace.session import cut_lineage, fresh_folder
+from shelfpace.sources import lines, retail
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -237,6 +237,34 @@ def score_list(spark: SparkSession, sf: str) -> DataFrame:
     return metadata.score_list(_scored(spark, sf), retail.item_meta(spark, sf)).drop("monid")
 
 
+def _score_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The list of parts, written as text and read line by line."""
+    folder = fresh_folder(spark, "score-items")
+    retail.score_item_text(spark, sf).write.text(folder)
+    return lines.score_item_lines(spark, folder, header=False)
+
+
+def score_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The readable items with their metadata and their place in the text."""
+    return metadata.score_list(lines.records(_score_lines(spark, sf)), retail.item_meta(spark, sf))
+
+
+def rejected_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.rejects(_score_lines(spark, sf), "score items")
+
+
+def duplicate_meta(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites that several items share, which therefore cannot serve as a key of the metadata."""
+    return metadata.duplicate_keys(retail.item_meta(spark, sf), "site_id")
+
+
+def sentinel_target(spark: SparkSession, sf: str) -> DataFrame:
+    """The prepared target from a grid whose missing numbers are -1, as the historical tables hold them."""
+    dense = sampling.rows_of(_dense(spark, sf, True, True), _scored(spark, sf))
+    marked = grid.mark_missing(metadata.with_meta(dense, _meta(spark, sf)))
+    return t.prepare_target(marked)
+
+
 def date_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return quality.consecutive_dates(retail.user_daily(spark, sf))
 
@@ -463,6 +491,10 @@ def queries() -> dict[str, Query]:
         "sentinel_filled": sentinel_filled,
         "min_table": min_table,
         "score_list": score_list,
+        "score_order": score_order,
+        "rejected_lines": rejected_lines,
+        "duplicate_meta": duplicate_meta,
+        "sentinel_target": sentinel_target,
         "date_gaps": date_gaps,
         "broken_series": broken_series,
         "date_bounds": date_bounds,

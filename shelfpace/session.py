@@ -74,10 +74,15 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="shelfpace-stage-")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/shelfpace/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write the rows as Parquet to a fresh folder below the shared one and read them back, so that later steps
     read only the columns they need and recompute nothing."""
-    path = f"{shared_folder(df.sparkSession)}/shelfpace/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -78,6 +78,21 @@ def score_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("sku"), (F.col("p_size") * 15).cast("double").alias("target_stock"))
 
 
+def score_item_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of parts as text in key order, one line a part: some without a stock, some that hold no record."""
+    part = _read(spark, sf_dir, "part").orderBy("p_partkey")
+    key, kind = F.col("p_partkey").cast("string"), F.col("p_partkey") % 20
+    stock = (F.col("p_size") * 15).cast("string")
+    line = (
+        F.when(kind == 1, F.concat(F.lit("x"), key, F.lit(","), stock))
+        .when(kind == 2, F.concat(key, F.lit(",unknown")))
+        .when(kind == 3, key)
+        .when(kind == 4, F.concat(key, F.lit(",")))
+        .otherwise(F.concat(key, F.lit(","), stock))
+    )
+    return part.select(line.alias("value"))
+
+
 def user_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mostly gap-free panel: one row per user and day of the event log."""
     return (

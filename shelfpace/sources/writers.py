@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfpace.sources.lines import write_manifest
+
 
 def write_table(df: DataFrame, folder: str, name: str, partition_by: tuple[str, ...] = ()) -> str:
     path = f"{folder}/{name}.parquet"
@@ -22,9 +24,11 @@ def probability_text(df: DataFrame, column: str = "probabilities", classes: int
 def write_predictions(
     df: DataFrame, path: str, order: str = "monid", column: str = "probabilities", classes: int = 30
 ) -> None:
-    """Headerless CSV of the class probabilities in input order (file names sort in that order)."""
+    """Headerless CSV of the class probabilities in input order: the files in name order, one after the other, are
+    the whole list. A manifest (lines, checksum) is written last; ``lines.checked_lines`` reads what agrees with it."""
     ordered = df.orderBy(order)
     probability_text(ordered, column, classes).write.mode("overwrite").option("header", False).csv(path)
+    write_manifest(df.sparkSession, path)
 
 
 def write_trials(df: DataFrame, path: str) -> None:

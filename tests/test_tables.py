@@ -9,7 +9,7 @@ import __spark_entry__ as contract
 from shelfpace import session
 from shelfpace.operators import metadata
 from shelfpace.plans import modelling, oracle, queries, tables
-from shelfpace.sources import readers, retail
+from shelfpace.sources import lines, readers, retail
 
 SF = "/root/testdata/sf0.001"
 ROWS_ONLY = {"day_distribution", "config_search", "model_scores", "calibration_scores", "reliability"}
@@ -123,7 +123,8 @@ def test_whole_job_from_files(spark, inputs, tmp_path):
     assert all(len(v.split(".")[1]) == 4 for v in first)
     assert spark.read.csv(f"{out}/results.csv", header=True).count() == 2
     assert "known_loss" in spark.read.csv(f"{out}/scores.csv", header=True).columns
-    assert spark.read.parquet(f"{out}/rejected_items.parquet").count() == 0
+    assert spark.read.parquet(f"{out}/rejected_lines.parquet").count() == 0
+    assert lines.checked_lines(spark, f"{out}/out.csv").count() == scored
     assert spark.read.parquet(f"{out}/maxval.parquet").columns == ["sku", "target_stock"]
     assert dict(readers.read_table(spark, out, "model_train").dtypes) == {
         "sku": "bigint",
