@@ -48,39 +48,55 @@ def sku_max(frame: DataFrame, column: str = "target_stock", key: str = "sku") ->
     return frame.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(column).alias(column))
 
 
-def exact_quantile(frame: DataFrame, column: str, q: float, name: str = "quantile", accuracy: int = 100_000) -> DataFrame:
-    """Exact interpolated quantile as a one-row table, without gathering all values in one place.
+def _value_at(values: DataFrame, rank: int, rows: int, accuracy: int, fit: int) -> float:
+    """The value with ``rank`` values before it in ascending order, of ``rows`` values in the column ``v``.
 
-    A mergeable sketch brackets the rank to within n / accuracy on either side. Only the distinct values
-    inside the bracket, and the nearest value beyond each end, are ranked one by one. The frame is read
-    three times, so it should be a written table or a checkpoint.
+    A mergeable sketch gives two values close to the rank on either side; counting says whether the value looked for is
+    one of them, or how many lie between them. The next round looks between them only, among some 1 / ``accuracy``
+    as many, until ``fit`` or fewer rows are left. Values that many rows share end the search instead of widening it.
+    """
+    value, inner = F.col("v"), values
+    while rows > fit:
+        share, margin = rank / (rows - 1), 2.0 / accuracy
+        ends = [max(share - margin, 0.0), min(share + margin, 1.0)]
+        low, high = inner.agg(F.percentile_approx("v", ends, accuracy)).first()[0]
+        places = {
+            "below": value < low, "low": value == low, "between": (value > low) & (value < high),
+            "high": (value == high) & (value > low), "above": value > high,
+        }
+        sizes = inner.agg(*[F.count_if(place).alias(name) for name, place in places.items()]).first()
+        for name in places:
+            if rank < sizes[name]:
+                break
+            rank -= sizes[name]
+        if name in ("low", "high"):
+            return low if name == "low" else high
+        inner, rows = inner.filter(places[name]), sizes[name]
+    return inner.agg(F.sort_array(F.collect_list("v"))[rank]).first()[0]
+
+
+def exact_quantile(
+    frame: DataFrame, column: str, q: float, name: str = "quantile", accuracy: int = 100_000, fit: int = 10_000
+) -> DataFrame:
+    """Exact interpolated quantile as a one-row table; null values do not count, and without others it is null.
+
+    No task sees more than ``fit`` values at once and nothing is sorted as a whole. The frame is read some times, so it
+    should be a written table or a checkpoint.
     """
     value = F.col("v")
     values = frame.select(F.col(column).cast("double").alias("v")).filter(value.isNotNull())
-    margin = 2.0 / accuracy
-    ends = [max(q - margin, 0.0), min(q + margin, 1.0)]
-    sketch = values.agg(F.count("v").alias("n"), F.percentile_approx("v", ends, accuracy).alias("ends")).first()
-    if sketch["n"] == 0:
+    rows = values.count()
+    if rows == 0:
         return values.agg(F.max("v").alias(name))
-    low, high = sketch["ends"]
-    beyond = values.agg(
-        F.count_if(value < low).alias("below"),
-        F.max(F.when(value < low, value)).alias("previous"),
-        F.min(F.when(value > high, value)).alias("next"),
-    ).first()
-    first = low if beyond["previous"] is None else beyond["previous"]
-    last = high if beyond["next"] is None else beyond["next"]
-    inside = values.filter(value.between(first, last)).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    # At most about 4 n / accuracy distinct values reach this unpartitioned window.
-    counted = F.sum(F.when(value >= low, F.col("c"))).over(series_window([], "v"))
-    ranked = inside.withColumn("upto", F.lit(beyond["below"]) + F.coalesce(counted, F.lit(0)))
-    position = q * (sketch["n"] - 1)
+    position = q * (rows - 1)
     k = int(position)
-    picked = ranked.agg(
-        F.min(F.when(F.col("upto") > k, value)).alias("here"), F.min(F.when(F.col("upto") > k + 1, value)).alias("after")
-    )
-    step = F.coalesce(F.col("after"), F.col("here")) - F.col("here")
-    return picked.select((F.col("here") + F.lit(position - k) * step).alias(name))
+    here = _value_at(values, k, rows, accuracy, fit)
+    near = values.agg(F.count_if(value <= here).alias("upto"), F.min(F.when(value > here, value)).alias("after")).first()
+    if position == k or near["upto"] > k + 1:
+        found = here
+    else:
+        found = here + (position - k) * (near["after"] - here)
+    return frame.sparkSession.range(1).select(F.lit(found).alias(name))
 
 
 def outlier_bound(maxima: DataFrame, delta_inf: float = 0.0, q: float = 0.25, column: str = "target_stock") -> DataFrame:

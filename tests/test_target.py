@@ -43,7 +43,8 @@ def test_narrow_types_raise_instead_of_wrapping(spark):
 
 @pytest.mark.parametrize("q", [0.0, 0.25, 0.3, 0.5, 0.9, 1.0])
 @pytest.mark.parametrize("kind", ["distinct", "ties", "few", "one_hot"])
-def test_exact_quantile_equals_numpy(spark, q, kind):
+@pytest.mark.parametrize("fit", [1, 40, 10_000])
+def test_exact_quantile_equals_numpy(spark, q, kind, fit):
     rng = random.Random(11)
     values = {
         "distinct": [rng.gauss(0, 1) for _ in range(997)],
@@ -55,10 +56,24 @@ def test_exact_quantile_equals_numpy(spark, q, kind):
     rng.shuffle(rows)
     frame = spark.createDataFrame(rows, "v double")
     # A coarse sketch, so that the bracket is narrow and its ends matter.
-    got = target.exact_quantile(frame, "v", q, accuracy=50).first()[0]
+    got = target.exact_quantile(frame, "v", q, accuracy=50, fit=fit).first()[0]
     assert got == pytest.approx(np.quantile(values, q), abs=1e-12)
 
 
+def test_quantile_of_infinite_values_and_one_value(spark):
+    inf = math.inf
+    frame = spark.createDataFrame([(v,) for v in [-inf, -inf, 1.0, 2.0, inf]], "v double")
+    assert [target.exact_quantile(frame, "v", q, accuracy=20, fit=1).first()[0] for q in (0.25, 0.5, 0.75, 1.0)] == [-inf, 1.0, 2.0, inf]
+    assert target.exact_quantile(frame.filter("v = 1"), "v", 0.3, accuracy=20, fit=1).first()[0] == 1.0
+
+
+def test_quantile_needs_no_window_and_no_sort_of_all(spark):
+    plan = target.exact_quantile(spark.range(10).selectExpr("cast(id AS double) AS v"), "v", 0.5, fit=2)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and "Sort" not in text
+    assert plan.first()[0] == 4.5
+
+
 def test_quantile_of_nothing_is_null(spark):
     assert target.exact_quantile(spark.createDataFrame([(None,)], "v double"), "v", 0.25).first()[0] is None
 
