@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Iterator
 from functools import partial
 
@@ -14,52 +15,64 @@ from pyspark.sql import functions as F
 from shelfpace.llm.arrowtext import slices, sums
 from shelfpace.llm.vocabulary import tokenizer, word_ids
 
-CHUNK = 1 << 16  # code points of a huge text encoded at once
-OVERLAP = 512  # code points two neighbouring chunks share at first
+CHUNK = 1 << 13  # code points of a long text encoded at once
+OVERLAP = 256  # code points two neighbouring chunks share at first
+MARGIN = 32  # code points next to the ends of a chunk where nothing is spliced, longer than any special string
 
 # White space as the pre-tokenizer sees it, with the separators that only some libraries count as such.
-SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+SEPARATORS = "".join(map(chr, range(28, 32)))
+WHITE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+SPACES = WHITE + SEPARATORS
 IRREGULAR = f"^ | $|[{SPACES}] | [{SPACES}]"
 
 
-def stable_boundaries(text: str, low: int, high: int) -> Iterator[int]:
-    """Places where white space follows another character: words never reach across them, in whatever chunk.
+def stable_boundary(text: str, low: int, high: int, left: np.ndarray, right: np.ndarray) -> int | None:
+    """A place in the range where the encodings of two overlapping chunks can be spliced, nearest to its middle.
 
-    From the middle of the range outwards, so that both chunks have context on either side.
+    ``left`` and ``right``: (start, end) of their tokens, in code points of the text. Two kinds of place are proven:
+
+    * white space after another character, where both chunks end a token: words never reach across it;
+    * the end of a token that both chunks hold. A list of tokens is the encoding of its text exactly if each two
+      neighbours are the encoding of theirs. Up to that token the left list has this property, and from it on the right
+      one, so the spliced list has it too.
     """
-    places = [p for p in range(max(low, 1), high) if text[p].isspace() and not text[p - 1].isspace()]
-    return iter(sorted(places, key=lambda p: abs(2 * p - low - high)))
+    ours, theirs = (t[(t[:, 1] >= low) & (t[:, 1] < high)] for t in (left, right))
+    ends = np.intersect1d(ours[:, 1], theirs[:, 1]).tolist()
+    spaces = [p for p in ends if text[p] in WHITE and text[p - 1] not in SPACES]
+    held = set(map(tuple, ours[ours[:, 1] > ours[:, 0]].tolist())) & set(map(tuple, theirs.tolist()))
+    # A character of several tokens gives them all its own place, so only the last of them tells where it ends.
+    once = collections.Counter(e for _, e in theirs.tolist())
+    return min(spaces or [e for _, e in held if once[e] == 1], key=lambda p: abs(2 * p - low - high), default=None)
 
 
-def count_huge(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a text encoded in overlapping chunks.
+def count_huge(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> int:
+    """Tokens of a text encoded in overlapping chunks; the count equals that of the text encoded whole.
 
-    Two neighbouring encodings are spliced where both end a token at the same stable boundary. If the overlap has no such
-    place it is doubled; when it would reach back over the last splice, the left chunk is encoded anew up to the right
-    chunk's end. The count equals that of the text encoded whole.
+    The right one of two neighbouring chunks starts where the left one ends a token, so that both stay in step on text
+    that repeats itself. They are spliced at a ``stable_boundary`` of the overlap, which is doubled while it holds none.
+    If it reaches back to the last splice, the left chunk is encoded anew at twice its length.
     """
 
-    def token_ends(a: int, b: int) -> np.ndarray:
-        return np.array([e for _, e in tok.encode(text[a:b], add_special_tokens=False).offsets], np.int64) + a
+    def tokens(a: int, b: int) -> np.ndarray:
+        return np.array(tok.encode(text[a:b], add_special_tokens=False).offsets, np.int64).reshape(-1, 2) + a
 
     total, spliced, start, end = 0, 0, 0, min(chunk, len(text))
-    left = token_ends(start, end)
+    left = tokens(start, end)
     while end < len(text):
         shared, splice = overlap, None
         right_end = min(len(text), end + chunk)
         while splice is None and end - shared > spliced:
-            right_start = end - shared
-            right = token_ends(right_start, right_end)
-            both = set(left[left > right_start]) & set(right)
-            splice = next((p for p in stable_boundaries(text, right_start + 1, end) if p in both), None)
+            right_start = int(left[left[:, 1] <= end - shared, 1].max(initial=spliced))
+            right = tokens(right_start, right_end)
+            splice = stable_boundary(text, right_start + margin, end - margin, left, right)
             shared *= 2
-        if splice is None:  # nothing to splice at since the last splice: one longer chunk
-            end = right_end
-            left = token_ends(start, end)
+        if splice is None:  # nothing to splice at since the last splice
+            end = min(len(text), start + 2 * (end - start))
+            left = tokens(start, end)
             continue
-        total += int(((left > spliced) & (left <= splice)).sum())
+        total += int(((left[:, 1] > spliced) & (left[:, 1] <= splice)).sum())
         spliced, start, end, left = splice, right_start, right_end, right
-    return total + int((left > spliced).sum() if spliced else len(left))
+    return total + int((left[:, 1] > spliced).sum())
 
 
 def _counts(batches: Iterator[pa.RecordBatch], path: str, chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:

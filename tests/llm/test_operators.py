@@ -320,6 +320,16 @@ def test_token_counts(docs, texts, empty):
     assert token_counts.token_counts(empty, tok).count() == 0
 
 
+def test_token_counts_of_long_texts_without_white_space():
+    tok = token_counts.tokenizer(path("byte_bpe_50k.json"))
+    rnd = random.Random(3)
+    odd = ["x" * 50_000, "q7Z" * 9000, "don't'll've's" * 2000, "<|endoftext|>" * 1500, "\x1c\x1d's\x85\xa0\n" * 4000, " " * 20_000, "日本語🎉" * 5000]
+    odd += ["".join(rnd.choice("etaoinshrdlu") for _ in range(40_000)), "".join(chr(rnd.randrange(32, 0x3000)) for _ in range(20_000))]
+    for text in [*odd, "".join(odd), " ".join(odd)]:
+        want = len(tok.encode(text, add_special_tokens=False).ids)
+        assert token_counts.count_huge(tok, text) == token_counts.count_huge(tok, text, 700, 70) == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
