@@ -173,24 +173,8 @@ def test_decontamination_against_plain_windows(spark):
     t, v = decontaminate.template(F.col("text")).alias("t"), decontaminate.values(F.col("text")).alias("v")
     docs = {r.doc_id: (r.t, r.v) for r in df.select("doc_id", t, v).collect()}
     marks = (decontaminate.NUMBER, decontaminate.NAME, decontaminate.UNIT)
-    want = {}
-    for item, (their_t, their_v) in {r.item_id: (r.t, r.v) for r in bench.select("item_id", t, v).collect()}.items():
-        size = min(len(their_t), decontaminate.WINDOW)
-        if len(their_t) < decontaminate.SHORTEST:
-            continue
-        for doc, (our_t, our_v) in docs.items():
-            hits = set()
-            for a in range(len(our_t) - size + 1):
-                for b in range(len(their_t) - size + 1):
-                    if our_t[a : a + size] != their_t[b : b + size]:
-                        continue
-                    slots = {(k, x, y) for k, x, y in zip(our_t[a : a + size], our_v[a : a + size], their_v[b : b + size], strict=True) if k in marks}
-                    n = sum(k in marks for k in our_t[a : a + size])
-                    fit = all(x == y for _, x, y in slots) if size - n < decontaminate.LITERALS else len({s[:2] for s in slots}) == len(slots) == len({s[::2] for s in slots})
-                    if fit:
-                        hits.add(a)
-            if hits:
-                want[doc, item] = len(hits)
+    items = {r.item_id: (r.t, r.v) for r in bench.select("item_id", t, v).collect()}
+    want = brute.template_hits(docs, items, marks, decontaminate.WINDOW, decontaminate.SHORTEST, decontaminate.LITERALS)
     assert {(r.doc_id, r.item_id): r.n_windows for r in decontaminate.matches(df, bench).collect()} == want and len(want) > 30
 
 
@@ -330,6 +314,72 @@ def test_token_counts_of_long_texts_without_white_space():
         assert token_counts.count_huge(tok, text) == token_counts.count_huge(tok, text, 700, 70) == want
 
 
+def plain_stages(spark, rows, docs, labels, bench):
+    """Ids that the pipeline keeps after each filtering stage, by plain versions; ``rows``: doc_id to (text, lang, source)."""
+    import corpus_pipeline
+
+    model = toxicity.fit(docs, labels)
+
+    def severity(text):
+        words = brute.WORD.findall(text or "")
+        found = set(toxicity.word_features(vocabulary.pa.array(words, vocabulary.pa.string())).ravel().tolist()) - {-1}
+        return float(model.at_least(np.array([sum(float(model.weights[f]) for f in found)]))[0, 0])
+
+    seen = {i for i, (text, *_) in rows.items() if severity(text) < 0.5}
+    yield seen
+    seen = {i for i, (_, c) in brute.components({i: rows[i][0] for i in seen}).items() if i == c}
+    yield seen
+    t, v = decontaminate.template(F.col("text")).alias("t"), decontaminate.values(F.col("text")).alias("v")
+    ours = {r.doc_id: (r.t, r.v) for r in docs.select("doc_id", t, v).collect() if r.doc_id in seen}
+    theirs = {r.item_id: (r.t, r.v) for r in bench.select("item_id", t, v).collect()}
+    marks = (decontaminate.NUMBER, decontaminate.NAME, decontaminate.UNIT)
+    hits = brute.template_hits(ours, theirs, marks, decontaminate.WINDOW, decontaminate.SHORTEST, decontaminate.LITERALS)
+    seen = seen - {i for i, _ in hits}
+    yield seen
+    yield brute.mixed([(i, *rows[i]) for i in seen], corpus_pipeline.MIX_SHARE, mixing.SEED, mixing.LANG_WEIGHTS, mixing.OTHER_WEIGHT)
+
+
+def test_pipeline_against_plain_stages(spark, docs, labels):
+    import corpus_pipeline
+
+    folder = new_folder(spark, "test")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    rows = {r.doc_id: (r.text, r.lang, r.source) for r in docs.collect()}
+    seen, sizes = docs, [len(rows)]
+    for (name, apply), want in zip(corpus_pipeline.STAGES[:-1], plain_stages(spark, rows, docs, labels, bench), strict=True):
+        seen = apply(spark, seen, folder)
+        got = [r.doc_id for r in seen.select("doc_id").collect()]
+        assert seen.columns == docs.columns and sorted(got) == sorted(want), name
+        sizes.append(len(got))
+    assert all(a > b for a, b in zip(sizes, sizes[1:], strict=False)), sizes
+    library, start, files = token_counts.tokenizer(path("word_bpe_49k.json")), 0, []
+    for i in sorted(want):
+        ids = np.array(library.encode(rows[i][0] or "", add_special_tokens=False).ids + [1], dtype="<u4")
+        files.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == files
+
+
+def test_pipeline_on_tables_with_gaps(spark, docs):
+    """Null and repeated doc_ids, null sources, columns with clashing names, and no documents at all."""
+    import corpus_pipeline
+
+    odd = docs.limit(0).unionByName(spark.createDataFrame([(i, t, None, s, 1, "t", "n", 1) for i, t, s in [(None, "a b c d e f", "src1"), (None, None, None), (7, "g h i j k l", "src2"), (7, "g h i j k l", "src2"), (7, "m n o p q r", None)]], SCHEMA))
+    for table in (odd, odd.limit(0)):
+        folder = new_folder(spark, "test")
+        table.write.parquet(f"{folder}/documents.parquet")
+        for name in ("labels", "benchmark"):
+            spark.read.parquet(f"{FOLDER}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+        seen = spark.read.parquet(f"{folder}/documents.parquet")
+        for name, apply in corpus_pipeline.STAGES[:-1]:
+            seen = apply(spark, seen, folder)
+            assert seen.columns == docs.columns, name
+        assert corpus_pipeline.run(spark, folder).count() == seen.count() <= table.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
