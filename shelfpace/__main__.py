@@ -18,9 +18,11 @@ def main() -> None:
     parser.add_argument("out", help="folder for tables, model and predictions")
     parser.add_argument("--trials", type=int, default=TRIALS, help="configurations to try")
     parser.add_argument("--trees", type=int, default=20, help="trees per model")
+    parser.add_argument("--plain", action="store_true", help="tables by the plain definitions, not the historical ones")
+    parser.add_argument("--own-weights", action="store_true", help="judge each trial with its own weights, as the historical job did")
     args = parser.parse_args()
     spark = tune(SparkSession.builder.appName("shelfpace").getOrCreate())
-    run_all(spark, args.panel, args.meta, args.items, args.out, args.trials, args.trees)
+    run_all(spark, args.panel, args.meta, args.items, args.out, args.trials, args.trees, args.plain, args.own_weights)
 
 
 if __name__ == "__main__":

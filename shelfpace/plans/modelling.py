@@ -34,8 +34,13 @@ def prepare(spark: SparkSession, folder: str) -> None:
     write_table(t.sku_max(sides["train"]), folder, "maxval")
 
 
-def tune(spark: SparkSession, folder: str, trials: int = TRIALS, trees: int = 20, seed: int = 42) -> dict:
-    """Random search on a sample of the items; leaves the trials and the best configuration in ``folder``."""
+def tune(
+    spark: SparkSession, folder: str, trials: int = TRIALS, trees: int = 20, seed: int = 42, own_weights: bool = False
+) -> dict:
+    """Random search on a sample of the items; leaves the trials and the best configuration in ``folder``.
+
+    ``own_weights`` judges each trial with its own weights, as the historical job did, instead of alike.
+    """
     results, best = model.search(
         spark,
         read_table(spark, folder, "model_train"),
@@ -45,6 +50,7 @@ def tune(spark: SparkSession, folder: str, trials: int = TRIALS, trees: int = 20
         share=SAMPLE_SHARE,
         trees=trees,
         seed=seed,
+        compat=own_weights,
     )
     write_trials(results, f"{folder}/results.csv")
     model.save_config(spark, best, f"{folder}/best_config.json")
@@ -66,10 +72,21 @@ def fit_and_predict(spark: SparkSession, folder: str, trees: int = 20, seed: int
 
 
 def run_all(
-    spark: SparkSession, panel: str, meta: str, score_items: str, out: str, trials: int = TRIALS, trees: int = 20
+    spark: SparkSession,
+    panel: str,
+    meta: str,
+    score_items: str,
+    out: str,
+    trials: int = TRIALS,
+    trees: int = 20,
+    plain: bool = False,
+    own_weights: bool = False,
 ) -> None:
     """The whole job from the three input files.
 
+    The tables take the historical form (running maximum, character rule, key in the weekday denominator, -1 for
+    missing) unless ``plain`` asks for the plain definitions. ``own_weights``: see ``tune``.
+
     Lines of the metadata and of the items to score that hold no record go to the table ``rejected_lines`` with
     their place, text and reason; items are scored in the order of their lines. Metadata with a repeated key is an
     error, because it would add lines to the predictions, which have no key.
@@ -84,7 +101,7 @@ def run_all(
     if repeated:
         raise ValueError(f"repeated key in the metadata: {repeated}")
     inputs = Inputs(read_panel(spark, panel), item_meta, lines.records(read["item"]))
-    build_tables(spark, inputs, out)
+    build_tables(spark, inputs, out, compat=not plain)
     prepare(spark, out)
-    tune(spark, out, trials, trees)
+    tune(spark, out, trials, trees, own_weights=own_weights)
     fit_and_predict(spark, out, trees)

@@ -84,12 +84,18 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     return retail.score_items(spark, sf)
 
 
-def _target(spark: SparkSession, sf: str, train: bool) -> DataFrame:
-    """Prepared target of the active frame. Only the one curve it needs is built."""
+def _target_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """The one curve that targets need, of the scored items on active days, for both sides of the split."""
     panel = s.active_only(retail.sku_daily(spark, sf))
     panel = sampling.rows_of(panel, _scored(spark, sf))
     curve = s.rolling_means(s.running_stock(s.number_days(panel)), ["cumsum"], [1])
-    frame = curve.filter(F.col("is_train") == (1 if train else 0)).select("sku", "id", "rolling_cumsum_1")
+    return curve.select("sku", "id", "is_train", "rolling_cumsum_1")
+
+
+def _target(spark: SparkSession, sf: str, train: bool, curve: DataFrame | None = None) -> DataFrame:
+    """Prepared target of one side of the active frame; who needs both sides hands in a written curve."""
+    curve = _target_curve(spark, sf) if curve is None else curve
+    frame = curve.filter(F.col("is_train") == (1 if train else 0)).drop("is_train")
     keys = sampling.rows_of(retail.sku_keys(spark, sf), _scored(spark, sf))
     dense = metadata.with_meta(grid.densify(frame, keys), _meta(spark, sf))
     return t.prepare_target(dense)
@@ -124,12 +130,13 @@ def _chances(rows: DataFrame) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, sf: str, train: bool) -> DataFrame:
-    """Weights of one side. The early side is written once: the maxima, the quantile and (for the early
-    side itself) the weighted rows come from it."""
-    early = cut_lineage(_target(spark, sf, True))
+    """Weights of one side. The curve is written once for both sides, the early side once more: the maxima, the
+    quantile and (for the early side itself) the weighted rows come from it."""
+    curve = None if train else cut_lineage(_target_curve(spark, sf))
+    early = cut_lineage(_target(spark, sf, True, curve))
     maxima = cut_lineage(t.sku_max(early))
     bound = t.outlier_bound(maxima, DELTA_INF).first()["bound"]
-    return t.sample_weights(early if train else _target(spark, sf, False), maxima, bound, **WEIGHTS)
+    return t.sample_weights(early if train else _target(spark, sf, False, curve), maxima, bound, **WEIGHTS)
 
 
 # --- queries -------------------------------------------------------------------------------------
@@ -302,7 +309,8 @@ def active_share_over_30(spark: SparkSession, sf: str, compat: bool = False) ->
 
 
 def leading_zeros(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.leading_zeros(retail.sku_daily(spark, sf))
+    # Read twice: for the first active days and for the zeros before them.
+    return quality.leading_zeros(cut_lineage(retail.sku_daily(spark, sf).select("sku", "date", "minutes_active")))
 
 
 def target_prep(spark: SparkSession, sf: str, train: bool = True) -> DataFrame:
@@ -374,10 +382,10 @@ def probability_text(spark: SparkSession, sf: str) -> DataFrame:
     return as_text(_chances(_scored(spark, sf).select("sku")))
 
 
-def _fitted(spark: SparkSession, sf: str) -> tuple[PipelineModel, DataFrame, DataFrame, DataFrame]:
+def _fitted(spark: SparkSession, sf: str, curve: DataFrame | None = None) -> tuple[PipelineModel, DataFrame, DataFrame, DataFrame]:
     """Model of the early days of the scored items, with its rows, its maxima and the codes."""
     codes = cut_lineage(_codes(spark, sf))
-    train = cut_lineage(encoding.encode(_target(spark, sf, True), codes))
+    train = cut_lineage(encoding.encode(_target(spark, sf, True, curve), codes))
     maxima = cut_lineage(t.sku_max(train))
     rows = model.weighted(train, maxima, model.DEFAULT_CONFIG)
     return model.fit_days(rows, model.DEFAULT_CONFIG), train, maxima, codes
@@ -404,16 +412,16 @@ def day_distribution_check(spark: SparkSession, sf: str) -> DataFrame:
 
 def model_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The fitted model judged on the later days, next to a uniform guess and the training shares."""
-    fitted, train, maxima, codes = _fitted(spark, sf)
-    late = model.weighted(encoding.encode(_target(spark, sf, False), codes), maxima, model.DEFAULT_CONFIG)
+    curve = cut_lineage(_target_curve(spark, sf))
+    fitted, train, maxima, codes = _fitted(spark, sf, curve)
+    late = model.weighted(encoding.encode(_target(spark, sf, False, curve), codes), maxima, model.DEFAULT_CONFIG)
     return model.evaluate(fitted, train, late)
 
 
 def _calibrated(spark: SparkSession, sf: str, raw: bool = False) -> DataFrame:
     """Chances on the later days of a fifth of the items: fitted on three fifths, calibrated on another fifth."""
-    codes = cut_lineage(_codes(spark, sf))
-    train = cut_lineage(encoding.encode(_target(spark, sf, True), codes))
-    late = cut_lineage(encoding.encode(_target(spark, sf, False), codes))
+    codes, curve = cut_lineage(_codes(spark, sf)), cut_lineage(_target_curve(spark, sf))
+    train, late = (cut_lineage(encoding.encode(_target(spark, sf, side, curve), codes)) for side in (True, False))
     maxima = cut_lineage(t.sku_max(train))
     fold = F.pmod(F.xxhash64("sku"), F.lit(5))
     fitted = model.fit_days(model.weighted(train.filter(fold > 1), maxima, model.DEFAULT_CONFIG), model.DEFAULT_CONFIG)
@@ -440,8 +448,8 @@ def day_distribution(spark: SparkSession, sf: str) -> DataFrame:
 
 def config_search(spark: SparkSession, sf: str) -> DataFrame:
     """All trials of the random search, best first."""
-    codes = _codes(spark, sf)
-    train, validation = [cut_lineage(encoding.encode(_target(spark, sf, side), codes)) for side in (True, False)]
+    codes, curve = cut_lineage(_codes(spark, sf)), cut_lineage(_target_curve(spark, sf))
+    train, validation = [cut_lineage(encoding.encode(_target(spark, sf, side, curve), codes)) for side in (True, False)]
     maxima = cut_lineage(t.sku_max(train))
     trials, _ = model.search(spark, train, validation, maxima, model.draw_configs(20))
     return trials

@@ -134,6 +134,23 @@ def test_whole_job_from_files(spark, inputs, tmp_path):
     }
 
 
+def test_whole_job_by_plain_definitions(spark, inputs, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    inputs.panel.write.parquet(f"{source}/panel")
+    inputs.meta.write.json(f"{source}/meta")
+    inputs.score_items.drop("monid").coalesce(1).write.csv(f"{source}/items", header=True)
+    files = [f"{source}/{name}" for name in ("panel", "meta", "items")]
+    modelling.run_all(spark, *files, out, trials=1, trees=1, plain=True, own_weights=True)
+    lazy = tables.feature_tables(inputs, compat=False)
+    for name in ("validation_active", "features_train", "dof_train"):
+        assert _same(lazy[name](), readers.read_table(spark, out, name)), name
+    assert lines.checked_lines(spark, f"{out}/out.csv").count() == inputs.score_items.count()
+    own = spark.read.csv(f"{out}/results.csv", header=True).first().asDict()
+    modelling.tune(spark, out, trials=1, trees=1)
+    alike = spark.read.csv(f"{out}/results.csv", header=True).first().asDict()
+    assert own.pop("log_loss") != alike.pop("log_loss") and own == alike
+
+
 def test_bad_text_in_the_score_list_is_null_not_an_error(spark, tmp_path):
     (tmp_path / "items.csv").write_text("sku,target_stock\n1,3\nx,4\n2,\n")
     rows = [tuple(r) for r in readers.read_score_items(spark, str(tmp_path / "items.csv")).collect()]
