@@ -314,6 +314,51 @@ def test_token_counts_of_long_texts_without_white_space():
         assert token_counts.count_huge(tok, text) == token_counts.count_huge(tok, text, 700, 70) == want
 
 
+@pytest.fixture(scope="module")
+def odd_ids(spark):
+    """Null and repeated doc_ids, with the same and with other texts, and a text above one million bytes."""
+    mail = "write to somebody@mail.example.org about the seven grey ships in the harbour "
+    long = " ".join(f"word{k * k % 100_003}" for k in range(120_000))
+    rows = [(None, mail * 8), (None, None), (7, mail * 8), (7, mail * 8), (7, "other words under an id that is there already"), (8, long)]
+    return spark.createDataFrame([(i, x, "en", "src1", 0, "t", "n", 1) for i, x in rows], SCHEMA), rows
+
+
+def test_counts_of_odd_ids(odd_ids):
+    df, rows = odd_ids
+    library = token_counts.tokenizer(path("byte_bpe_50k.json"))
+    want = [(i, len((x or "").encode()), len(library.encode(x or "", add_special_tokens=False).ids)) for i, x in rows]
+    got = [tuple(r)[:3] for r in token_counts.token_counts(df, path("byte_bpe_50k.json")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_words_of_odd_ids(odd_ids, labels):
+    df, rows = odd_ids
+    got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.quality_rules(df, labels).collect()]
+    assert sorted(got, key=str) == sorted([(i, *brute.quality(x)) for i, x in rows], key=str)
+
+
+def test_personal_data_of_odd_ids(odd_ids):
+    df, rows = odd_ids
+    got = [(r.doc_id, r.n_email, r.base_sha256) for r in pii.digest(pii.find_personal_data(df)).collect()]
+    spans = [(i, brute.personal(x)) for i, x in rows]
+    assert sorted(got, key=str) == sorted([(i, len(s), hashlib.sha256(",".join(s).encode()).hexdigest()) for i, s in spans], key=str)
+
+
+def test_repeats_of_odd_ids(odd_ids):
+    df, rows = odd_ids
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(df)).collect()]
+    plain = brute.without_repeats(dict(enumerate(x for _, x in rows)), 400)
+    assert sorted(got, key=str) == sorted([(i, *plain[k]) for k, (i, _) in enumerate(rows)], key=str)
+
+
+def test_severity_and_links_of_odd_ids(spark, odd_ids, labels):
+    df, rows = odd_ids
+    model = toxicity.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"), labels)
+    scored = collections.Counter(r.doc_id for r in toxicity.toxicity(df, model).collect())
+    linked = collections.Counter(r.doc_id for r in jaccard_join.near_duplicates(df).collect())
+    assert scored == linked == collections.Counter(i for i, _ in rows)
+
+
 def plain_stages(spark, rows, docs, labels, bench):
     """Ids that the pipeline keeps after each filtering stage, by plain versions; ``rows``: doc_id to (text, lang, source)."""
     import corpus_pipeline
