@@ -4,6 +4,10 @@ The question is on which day a stock level is reached. Each row with a known lev
 the event happens; one binary learner gives the chance of the event on a day for rows still at risk (the hazard), and the
 chances of the days follow from the running product. Rows without a level (empty grid days) are censored from the
 start: they tell nothing about any level, so they are never labels, and their own chances are even.
+
+A forest looks at the bins of its features only. So the rows at risk are counted by bins, day, event and weight first, and
+the forest is fitted on these counts: all rows take part, and the fit has as many rows as there are cells of bins, whatever
+the size of the table.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,14 +28,24 @@ from pyspark.sql import functions as F
 
 from shelfpace.operators.sampling import group_sample
 from shelfpace.operators.scoring import CLASSES, log_loss, ranked_probability_score
-from shelfpace.operators.target import exact_quantile, sample_weights, weights_from_cut, with_cut
+from shelfpace.operators.target import exact_quantile, sample_weights, weight_rule, weights_from_cut, with_cut
 
-FEATURES = ("sku", "stock_or_zero", "stock_per_day", "item_domain_id", "day")
+# Bins of each feature: MLlib's own number, but more of the one that nearly all splits take. Stock and day leave it few of them,
+# so this adds few cells.
+BINS = {"sku": 32, "stock_or_zero": 32, "stock_per_day": 128, "item_domain_id": 32}
+BINNED = tuple(BINS)
+CELL = (*[f"{c}_bin" for c in BINNED], "day")
+# Rows at risk whose quantiles part the bins (MLlib's forest takes 10,000 for the same purpose). All rows are put into bins.
+EDGE_ROWS = 100_000
 
 # Share of each prediction spread evenly over the days, because the leaves of a forest give exact zeros.
 SMOOTHING = 0.01
-# Rows of one partition of a fit, before each is repeated for its days at risk.
-LAYOUT_ROWS = 20_000
+# Cells of one partition of a fit.
+LAYOUT_ROWS = 100_000
+# Rows of one partition that are counted into cells, before each is repeated for its days at risk.
+RANGE_ROWS = 100_000
+# Rows of one partition of a prediction, before each is repeated for all days.
+PREDICT_ROWS = 20_000
 # Hazards are told apart to this fraction when they are calibrated.
 HAZARD_STEPS = 1000
 # Weights that judge trials: rows with a known target count alike, the others (mostly empty grid days) not at all.
@@ -71,12 +85,14 @@ def on_days(rows: DataFrame, last: Column) -> DataFrame:
     return each.withColumn("stock_per_day", F.col("stock_or_zero") - F.ln("day"))
 
 
+def known_rows(frame: DataFrame, classes: int = CLASSES) -> DataFrame:
+    return frame.filter(F.col("target_stock").isNotNull() & F.col("id").between(1, classes))
+
+
 def at_risk(frame: DataFrame, classes: int = CLASSES) -> DataFrame:
     """One row per row with a known level and day at risk; ``event`` is 1 on the row's own day. Others are censored."""
-    known = feature_rows(frame).filter(F.col("target_stock").isNotNull() & F.col("id").between(1, classes))
-    binary = {"ml_attr": {"type": "nominal", "num_vals": 2}}
-    event = F.when(F.col("day") == F.col("id"), 1.0).otherwise(0.0).alias("event", metadata=binary)
-    return on_days(known, F.col("id")).select("*", event)
+    event = F.when(F.col("day") == F.col("id"), 1.0).otherwise(0.0).alias("event")
+    return on_days(feature_rows(known_rows(frame, classes)), F.col("id")).select("*", event)
 
 
 def weighted(frame: DataFrame, maxima: DataFrame, config: dict) -> DataFrame:
@@ -90,17 +106,47 @@ def weighted(frame: DataFrame, maxima: DataFrame, config: dict) -> DataFrame:
 
 def fixed_layout(rows: DataFrame, layout_rows: int = LAYOUT_ROWS) -> DataFrame:
     """Rows in an order and partitions that depend on the rows alone, so that the same seed draws the same trees
-    however the input was laid out. Rows are spread by key and day, so a hot key does not fill one partition."""
+    however the input was laid out."""
     parts = max(1, math.ceil(rows.count() / layout_rows))
-    return rows.repartition(parts, "sku", "id").sortWithinPartitions("sku", "id", "target_stock", "item_domain_id")
+    return rows.repartition(parts, *rows.columns).sortWithinPartitions(*rows.columns)
+
+
+def key_ranges(frame: DataFrame, classes: int = CLASSES, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows with a known level in ranges of the key: the rows of one range fall into few cells and combine before they are
+    exchanged. A hot key goes on over several ranges."""
+    rows = known_rows(frame, classes)
+    return rows.repartitionByRange(max(1, math.ceil(rows.count() / range_rows)), "sku", "id")
+
+
+def bin_edges(rows: DataFrame, classes: int = CLASSES, edge_rows: int = EDGE_ROWS) -> Bucketizer:
+    """The stage that puts the features into bins of about as many rows at risk each (``BINS``); where there are no more values, each has a bin.
+
+    The edges come from rows picked by the hash of key and day, so they do not depend on how the input was laid out.
+    """
+    total = known_rows(rows, classes).agg(F.sum("id")).first()[0] or 0
+    picked = F.pmod(F.xxhash64("sku", "id", "day"), F.lit(2**31)) < F.lit(int(2**31 * min(1.0, edge_rows / max(total, 1))))
+
+    def edges(column: str, bins: int) -> Column:
+        value, at = F.col(column).cast("double"), [k / bins for k in range(1, bins)]
+        seen = F.sort_array(F.collect_set(value))
+        between = F.zip_with(seen, F.slice(seen, 2, bins), lambda a, b: (a + b) / 2)
+        few = F.filter(between, lambda x: x.isNotNull())
+        return F.when(F.size(seen) <= bins, few).otherwise(F.percentile(value, at)).alias(column)
 
+    found = at_risk(rows, classes).filter(picked).agg(*[edges(c, BINS[c]) for c in BINNED]).first()
+    splits = [[-math.inf, *(sorted(set(found[c] or [])) or [0.0]), math.inf] for c in BINNED]
+    return Bucketizer(splitsArray=splits, inputCols=list(BINNED), outputCols=list(CELL[:-1]))
 
-def fit_days(
-    train: DataFrame, config: dict, trees: int = 20, seed: int = 42, classes: int = CLASSES, laid_out: bool = False
-) -> PipelineModel:
-    """Random forest for the hazard over the weighted rows; the columns of ``train`` are those of ``sample_weights``.
-    ``laid_out`` rows already have their fixed layout."""
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+
+def risk_cells(rows: DataFrame, edges: Bucketizer, by: str, classes: int = CLASSES) -> DataFrame:
+    """``n`` rows at risk per cell of bins and day, ``event`` and the column ``by``."""
+    return edges.transform(at_risk(rows, classes)).groupBy(*CELL, "event", by).agg(F.count("*").alias("n"))
+
+
+def fit_cells(cells: DataFrame, edges: Bucketizer, config: dict, trees: int = 20, seed: int = 42) -> PipelineModel:
+    """Random forest for the hazard over cells with ``event``, ``n`` and ``weight``. Cells of one weight are added up, so the
+    order of summation plays no part; a tree's bag draws cells, each with all its rows."""
+    assembler = VectorAssembler(inputCols=list(CELL), outputCol="features")
     forest = RandomForestClassifier(
         featuresCol="features",
         labelCol="event",
@@ -108,19 +154,34 @@ def fit_days(
         probabilityCol="probability",
         numTrees=trees,
         maxDepth=int(config["max_depth"]),
+        maxBins=max(BINS.values()),
         minWeightFractionPerNode=float(config["min_leaf_share"]),
         subsamplingRate=min(float(config["subsample"]), 1.0),
         featureSubsetStrategy=str(min(float(config["colsample_bytree"]), 1.0)),
         seed=seed,
     )
-    rows = at_risk(train if laid_out else fixed_layout(train), classes)
-    return PipelineModel(stages=[assembler, forest.fit(assembler.transform(rows).select("features", "event", "weight"))])
+    binary = {"ml_attr": {"type": "nominal", "num_vals": 2}}
+    added = cells.groupBy(*CELL, "event", "weight").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = fixed_layout(added)
+        rows = rows.select(*CELL, F.col("event").alias("event", metadata=binary), (F.col("weight") * F.col("n")).alias("weight"))
+        fitted = forest.fit(assembler.transform(rows).select("features", "event", "weight"))
+    finally:
+        added.unpersist()
+    return PipelineModel(stages=[edges, assembler, fitted])
+
+
+def fit_days(train: DataFrame, config: dict, trees: int = 20, seed: int = 42, classes: int = CLASSES) -> PipelineModel:
+    """Random forest for the hazard over the weighted rows; the columns of ``train`` are those of ``sample_weights``."""
+    edges = bin_edges(train, classes)
+    cells = risk_cells(key_ranges(train, classes), edges, "weight", classes)
+    return fit_cells(cells, edges, config, trees, seed)
 
 
 def hazards(model: PipelineModel, days: DataFrame) -> DataFrame:
     """``days`` (from ``on_days``) with the ``hazard`` of each row."""
     scored = model.transform(days).withColumn("hazard", vector_to_array("probability")[1])
-    return scored.drop("features", "rawPrediction", "probability", "prediction")
+    return scored.drop(*CELL[:-1], "features", "rawPrediction", "probability", "prediction")
 
 
 def calibrate(model: PipelineModel, held_out: DataFrame, classes: int = CLASSES, parallel: int = 8) -> Calibration:
@@ -170,23 +231,28 @@ def predict_days(
 ) -> DataFrame:
     """Add ``probabilities``: one entry above 0 per day, their sum 1; even where the stock level is missing.
 
-    Rows with a level are repeated for the days and put together again; the days of a row stand side by side, so they
-    combine before the exchange. The others get even chances.
+    Rows with a level are dealt into even partitions (a small file of items comes as one), repeated for the days and put
+    together again; the days of a row stand side by side, so they combine before the exchange, in a hash table of one number
+    per day. The others get even chances.
     """
     even = F.lit(1.0 / classes)
     known, unknown = frame.filter("target_stock IS NOT NULL"), frame.filter("target_stock IS NULL")
+    known = known.repartition(max(1, math.ceil(known.count() / PREDICT_ROWS)), *known.columns)
     whole = F.struct(*[F.col(c) for c in frame.columns]).alias("whole")
     tagged = feature_rows(known).withColumn("whole", whole).withColumn("tag", F.monotonically_increasing_id())
     narrow = tagged.select("tag", "whole", "sku", "item_domain_id", "stock_or_zero")
     days = hazards(model, on_days(narrow, F.lit(classes))).withColumn("hazard", _calibrated(calibration))
-    rows = days.groupBy("tag").agg(F.any_value("whole").alias("whole"), F.collect_list(F.struct("day", "hazard")).alias("days"))
+    by_day = [F.max(F.when(F.col("day") == k, F.col("hazard"))).alias(f"hazard_{k}") for k in range(1, classes + 1)]
+    rows = days.groupBy("tag", "whole").agg(*by_day)
     start = F.struct(F.lit(1.0).alias("left"), F.array().cast("array<double>").alias("chances"))
 
-    def next_day(acc: Column, d: Column) -> Column:
-        chance = F.when(d["day"] == classes, acc["left"]).otherwise(acc["left"] * d["hazard"])
+    def next_day(acc: Column, hazard: Column) -> Column:
+        chance = acc["left"] * hazard
         return F.struct((acc["left"] - chance).alias("left"), F.concat(acc["chances"], F.array(chance)).alias("chances"))
 
-    chances = F.aggregate(F.array_sort("days"), start, next_day, lambda acc: acc["chances"])
+    # The last day takes what is left.
+    hazard_of = F.array(*[F.col(f"hazard_{k}") for k in range(1, classes)], F.lit(1.0))
+    chances = F.aggregate(hazard_of, start, next_day, lambda acc: acc["chances"])
     smooth = F.transform(chances, lambda p: p * F.lit(1.0 - smoothing) + even * smoothing)
     return rows.select("whole.*", smooth.alias("probabilities")).unionByName(unknown.withColumn("probabilities", F.array_repeat(even, classes)))
 
@@ -260,27 +326,34 @@ def search(
     All trials are judged with ``JUDGE_WEIGHTS``; ``compat`` judges each with its own weights, as the historical job
     did. ``parallel`` trials run at a time. Returns the trials, best first, and the best configuration with its ``qq``.
     """
-    # Laid out once: the trials differ in weights only.
-    x_train = fixed_layout(with_cut(group_sample(train, share, seed), maxima)).persist(StorageLevel.MEMORY_AND_DISK)
-    x_val = with_cut(validation, maxima).persist(StorageLevel.MEMORY_AND_DISK)
     qq = exact_quantile(maxima, "target_stock", 0.25).first()[0]
 
-    def weigh(rows: DataFrame, weights: dict) -> DataFrame:
-        bound = float(qq) - float(weights["delta_inf"])
-        return weights_from_cut(rows, bound, weights["null_weight"], weights["outlier_weight"])
+    def bound_of(weights: dict) -> float:
+        return float(qq) - float(weights["delta_inf"])
+
+    # Counted once: the trials differ in weights only, and these ask only which bounds a cut exceeds. A cut raised to the
+    # next bound exceeds the same ones.
+    bounds = sorted({bound_of(c) for c in configs})
+    raised = F.when(F.col("cut").isNotNull(), F.coalesce(*[F.when(F.col("cut") <= b, F.lit(b)) for b in bounds], F.lit(math.inf)))
+    x_train = key_ranges(with_cut(group_sample(train, share, seed), maxima)).withColumn("cut", raised).persist(StorageLevel.MEMORY_AND_DISK)
+    x_val = with_cut(validation, maxima).persist(StorageLevel.MEMORY_AND_DISK)
+    edges = bin_edges(x_train)
+    cells = risk_cells(x_train, edges, "cut").persist(StorageLevel.MEMORY_AND_DISK)
 
     def run_trial(number: int, drawn: dict) -> dict:
         config = {**drawn, "qq": qq}
-        model = fit_days(weigh(x_train, config), config, trees, seed, laid_out=True)
-        judged = predict_days(model, weigh(x_val, config if compat else JUDGE_WEIGHTS))
+        rule = weight_rule(F.col("cut"), bound_of(config), F.lit(0.0), config["null_weight"], config["outlier_weight"])
+        model = fit_cells(cells.withColumn("weight", rule), edges, config, trees, seed)
+        judge = config if compat else JUDGE_WEIGHTS
+        judged = predict_days(model, weights_from_cut(x_val, bound_of(judge), judge["null_weight"], judge["outlier_weight"]))
         return {"trial": number, "log_loss": log_loss(judged).first()[0], **config}
 
     try:
         with ThreadPoolExecutor(parallel) as pool:
             trials = list(pool.map(run_trial, range(len(configs)), configs))
     finally:
-        x_train.unpersist()
-        x_val.unpersist()
+        for table in (cells, x_train, x_val):
+            table.unpersist()
     best = min(trials, key=lambda t: float("inf") if t["log_loss"] is None else t["log_loss"])
     columns = list(trials[0])
     results = spark.createDataFrame([tuple(t[c] for c in columns) for t in trials], columns).orderBy("log_loss")

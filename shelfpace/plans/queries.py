@@ -418,27 +418,28 @@ def model_scores(spark: SparkSession, sf: str) -> DataFrame:
     return model.evaluate(fitted, train, late)
 
 
-def _calibrated(spark: SparkSession, sf: str, raw: bool = False) -> DataFrame:
-    """Chances on the later days of a fifth of the items: fitted on three fifths, calibrated on another fifth."""
+def _calibrated(spark: SparkSession, sf: str, raw: bool = False) -> list[DataFrame]:
+    """Chances on the later days of a fifth of the items: fitted on three fifths, calibrated on another fifth; with ``raw``
+    those of the same fit before calibration, too."""
     codes, curve = cut_lineage(_codes(spark, sf)), cut_lineage(_target_curve(spark, sf))
     train, late = (cut_lineage(encoding.encode(_target(spark, sf, side, curve), codes)) for side in (True, False))
     maxima = cut_lineage(t.sku_max(train))
     fold = F.pmod(F.xxhash64("sku"), F.lit(5))
     fitted = model.fit_days(model.weighted(train.filter(fold > 1), maxima, model.DEFAULT_CONFIG), model.DEFAULT_CONFIG)
-    steps = None if raw else model.calibrate(fitted, late.filter(fold == 1))
-    return cut_lineage(model.predict_days(fitted, late.filter(fold == 0), calibration=steps))
+    steps = model.calibrate(fitted, late.filter(fold == 1))
+    return [cut_lineage(model.predict_days(fitted, late.filter(fold == 0), calibration=c)) for c in ([steps, None] if raw else [steps])]
 
 
 def calibration_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Log loss on items that neither fit nor calibration has seen, before and after calibration."""
     known = F.col("target_stock").isNotNull()
-    raw, steps = (scoring.log_loss(_calibrated(spark, sf, raw).filter(known), weight=None) for raw in (True, False))
+    steps, raw = (scoring.log_loss(chances.filter(known), weight=None) for chances in _calibrated(spark, sf, raw=True))
     return raw.select(F.col("log_loss").alias("raw_loss")).join(steps.select(F.col("log_loss").alias("calibrated_loss")))
 
 
 def reliability(spark: SparkSession, sf: str) -> DataFrame:
     """How often days given some calibrated chance are the day, on items held out."""
-    return model.reliability(_calibrated(spark, sf))
+    return model.reliability(_calibrated(spark, sf)[0])
 
 
 def day_distribution(spark: SparkSession, sf: str) -> DataFrame:

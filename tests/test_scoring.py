@@ -99,6 +99,37 @@ def test_days_at_risk(spark):
     assert got == [(1, 1, 0.0), (1, 2, 0.0), (1, 3, 1.0), (2, 1, 1.0)]
 
 
+def test_a_fit_has_as_many_rows_as_there_are_cells_whatever_the_size_of_the_table(spark):
+    # The same rows under forty keys that share a bin with others: the rows at risk multiply, the cells they are counted into do not.
+    def rows(keys):
+        made = [(s, d, float(d % 7 + 1), 1, 1.0) for s in range(keys) for d in range(1, 31)]
+        return spark.createDataFrame(made, "sku int, id int, target_stock double, item_domain_id int, weight double")
+
+    small, large = rows(32), rows(32 * 40)
+    edges = model.bin_edges(large)
+    cells = [model.risk_cells(model.key_ranges(f), edges, "weight") for f in (small, large)]
+    at_risk = [sum(range(1, 31)) * k for k in (32, 32 * 40)]
+    assert [c.agg({"n": "sum"}).first()[0] for c in cells] == at_risk
+    by_plain = {}
+    for r in model.at_risk(small).collect():
+        place = [sum(v >= e for e in s[1:-1]) for v, s in zip((r["sku"], r["stock_or_zero"], r["stock_per_day"], r["item_domain_id"]), edges.getSplitsArray())]
+        key = (*place, r["day"], r["event"])
+        by_plain[key] = by_plain.get(key, 0) + 1
+    assert {(*[int(r[c]) for c in model.CELL], r["event"]): r["n"] for r in cells[0].collect()} == by_plain
+    bins = 32 * 30 * 2 * 7
+    assert cells[1].count() <= bins < at_risk[1]
+
+
+def test_cuts_raised_to_the_next_bound_give_the_weights_of_the_trial(spark):
+    frame, maxima = _model_rows(spark)
+    config = {**model.draw_configs(1, seed=5)[0], "min_leaf_share": 0.0, "delta_inf": 1.0}
+    results, best = model.search(spark, frame, frame, maxima, [config, {**config, "delta_inf": 2.0}], share=1.0, trees=2)
+    got = {r["delta_inf"]: r["log_loss"] for r in results.collect()}
+    alone = model.fit_days(model.weighted(frame, maxima, config), config, trees=2)
+    judged = model.predict_days(alone, model.weighted(frame, maxima, {**config, **model.JUDGE_WEIGHTS}))
+    assert got[1.0] == pytest.approx(scoring.log_loss(judged).first()[0])
+
+
 def test_calibration_follows_the_observed_shares(spark):
     frame, maxima = _model_rows(spark)
     rows = model.weighted(frame, maxima, model.DEFAULT_CONFIG)
