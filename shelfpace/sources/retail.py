@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Rows that one task groups at most, if keys are spread evenly.
+TASK_ROWS = 500_000
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,7 +24,18 @@ CATEGORY_SOURCES = {
 }
 
 
-def sku_daily(spark: SparkSession, sf_dir: str, categories: tuple[str, ...] = ()) -> DataFrame:
+def _tasks(table: DataFrame, task_rows: int) -> int | None:
+    """Partitions for grouping ``table``, where the session's number would give a task more than ``task_rows`` rows."""
+    parts = math.ceil(table.count() / task_rows)
+    return parts if parts > int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def _spread(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Rows dealt by the keys into so many partitions, if a number is given."""
+    return rows.repartition(parts, *keys) if parts else rows
+
+
+def sku_daily(spark: SparkSession, sf_dir: str, categories: tuple[str, ...] = (), task_rows: int = TASK_ROWS) -> DataFrame:
     """One row per item and day, with the category columns asked for.
 
     The grouping combines on the map side, so an item that owns a large part of all order lines shrinks
@@ -30,20 +46,28 @@ def sku_daily(spark: SparkSession, sf_dir: str, categories: tuple[str, ...] = ()
     wasteful. So lines are first grouped by day and category values with hashing; only the few rows left
     are laid out by item and sorted by day, a layout and order the windows then find ready. The join to
     ``orders`` is made only when the one column that needs it is asked for.
+
+    Where the session's partitions would hold more than ``task_rows`` lines each, the number of partitions follows the
+    lines. They are then dealt by item, day and values before they are grouped, so no hash table grows with the table.
     """
     lines = _read(spark, sf_dir, "lineitem")
+    parts = _tasks(lines, task_rows)
     if "shipping_logistic_type" in categories:
         orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
         lines = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     texts = sorted({CATEGORY_SOURCES[c] for c in categories})
-    by_day = lines.groupBy(F.col("l_partkey").alias("sku"), F.to_date("l_shipdate").alias("date"), *texts).agg(
+    named = lines.select(
+        F.col("l_partkey").alias("sku"), F.to_date("l_shipdate").alias("date"), "l_quantity", "l_linenumber", "l_extendedprice", *texts
+    )
+    by_day = _spread(named, parts, "sku", "date", *texts).groupBy("sku", "date", *texts).agg(
         F.sum("l_quantity").alias("sold_quantity"),
         F.min("l_linenumber").alias("first_line"),
         F.min("l_extendedprice").alias("current_price"),
     )
+    by_day = _spread(by_day, parts, "sku")
     if categories:
         by_day = (
-            by_day.repartition("sku")
+            (by_day if parts else by_day.repartition("sku"))
             .groupBy("sku", "date")
             .agg(
                 F.sum("sold_quantity").alias("sold_quantity"),
@@ -93,13 +117,13 @@ def score_item_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(line.alias("value"))
 
 
-def user_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+def user_daily(spark: SparkSession, sf_dir: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """Mostly gap-free panel: one row per user and day of the event log."""
-    return (
-        _read(spark, sf_dir, "events")
-        .groupBy(F.col("user_id").alias("sku"), F.to_date("ts").alias("date"))
-        .agg(F.count(F.lit(1)).cast("double").alias("sold_quantity"))
-    )
+    events = _read(spark, sf_dir, "events")
+    parts = _tasks(events, task_rows)
+    named = _spread(events.select(F.col("user_id").alias("sku"), F.to_date("ts").alias("date")), parts, "sku", "date")
+    by_day = named.groupBy("sku", "date").agg(F.count(F.lit(1)).cast("double").alias("sold_quantity"))
+    return _spread(by_day, parts, "sku")
 
 
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
+import datetime as dt
 import random
 
 from shelfpace.operators import quality, sampling
+from shelfpace.sources import retail
 from tests.helpers import by, day, panel, row
 
 
@@ -80,3 +82,19 @@ def test_samples_repeat_and_agree_between_frames(spark):
     picked = sampling.key_sample(keys.union(keys), 200)
     assert picked.count() == 200 == picked.distinct().count()
     assert sampling.rows_of(keys.union(keys), picked).count() == 400
+
+
+def test_partitions_follow_the_lines_and_change_no_row(spark, tmp_path):
+    lines = [(i % 7, dt.date(2021, 2, 1 + i % 11), float(i), i % 5 + 1, 2.0 * i, "NF"[i % 2], "AR"[i % 3 == 0], i % 40) for i in range(300)]
+    names = "l_partkey long, l_shipdate date, l_quantity double, l_linenumber int, l_extendedprice double, l_linestatus string, l_returnflag string, l_orderkey long"
+    spark.createDataFrame([*lines, (None, None, 1.0, 1, 1.0, "N", "A", 1)], names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"{k % 3}-P") for k in range(40)], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    events = [(i % 5, dt.datetime(2021, 2, 1 + i % 9, i % 24)) for i in range(200)]
+    spark.createDataFrame(events, "user_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    for make in (retail.sku_daily, retail.user_daily, lambda *a, **k: retail.sku_daily(*a, tuple(retail.CATEGORY_SOURCES), **k)):
+        whole, spread = make(spark, str(tmp_path)), make(spark, str(tmp_path), task_rows=10)
+        assert sorted(map(repr, spread.collect())) == sorted(map(repr, whole.collect()))
+        assert spread.rdd.getNumPartitions() in (20, 31) and whole.rdd.getNumPartitions() <= 4
+        # The layout by item serves the checks and windows behind it, without another exchange.
+        assert sorted(map(repr, quality.broken_series(spread).collect())) == sorted(map(repr, quality.broken_series(whole).collect()))
+        assert quality.broken_series(spread).rdd.getNumPartitions() == spread.rdd.getNumPartitions()
