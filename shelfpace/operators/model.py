@@ -27,14 +27,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfpace.operators.sampling import group_sample
-from shelfpace.operators.scoring import CLASSES, log_loss, ranked_probability_score
-from shelfpace.operators.target import exact_quantile, sample_weights, weight_rule, weights_from_cut, with_cut
+from shelfpace.operators.scoring import CLASSES, log_loss, mean_log_loss, mean_ranked_score, squared_distance
+from shelfpace.operators.target import exact_quantile, sample_weights, weight_rule, with_cut
+from shelfpace.session import cut_lineage, staged
 
 # Bins of each feature: MLlib's own number, but more of the one that nearly all splits take. Stock and day leave it few of them,
 # so this adds few cells.
 BINS = {"sku": 32, "stock_or_zero": 32, "stock_per_day": 128, "item_domain_id": 32}
 BINNED = tuple(BINS)
 CELL = (*[f"{c}_bin" for c in BINNED], "day")
+# Features that do not change with the day, and the steps of each: rows with the same steps fall into the same cells on all days.
+LASTING = ("sku", "stock_or_zero", "item_domain_id")
+PATTERN = tuple(f"{c}_step" for c in LASTING)
 # Rows at risk whose quantiles part the bins (MLlib's forest takes 10,000 for the same purpose). All rows are put into bins.
 EDGE_ROWS = 100_000
 
@@ -44,8 +48,10 @@ SMOOTHING = 0.01
 LAYOUT_ROWS = 100_000
 # Rows of one partition that are counted into cells, before each is repeated for its days at risk.
 RANGE_ROWS = 100_000
-# Rows of one partition of a prediction, before each is repeated for all days.
-PREDICT_ROWS = 20_000
+# Patterns of one partition of a prediction, before each is repeated for all days.
+PREDICT_ROWS = 4_000
+# Rows of one partition of the predicted table.
+OUTPUT_ROWS = 50_000
 # Hazards are told apart to this fraction when they are calibrated.
 HAZARD_STEPS = 1000
 # Weights that judge trials: rows with a known target count alike, the others (mostly empty grid days) not at all.
@@ -138,9 +144,37 @@ def bin_edges(rows: DataFrame, classes: int = CLASSES, edge_rows: int = EDGE_ROW
     return Bucketizer(splitsArray=splits, inputCols=list(BINNED), outputCols=list(CELL[:-1]))
 
 
+def _bins(edges: Bucketizer, columns: Sequence[str]) -> Bucketizer:
+    """The part of ``edges`` for some of its columns."""
+    splits = dict(zip(edges.getInputCols(), edges.getSplitsArray(), strict=True))
+    return Bucketizer(splitsArray=[splits[c] for c in columns], inputCols=list(columns), outputCols=[f"{c}_bin" for c in columns])
+
+
+def _least(split: float, less: float) -> float:
+    """The smallest x with x - less >= split, to the last bit."""
+    low, high = (split + less + side * (abs(split) + less + 1.0) * 1e-9 for side in (-1, 1))
+    while low < (middle := (low + high) / 2) < high:
+        low, high = (low, middle) if middle - less >= split else (middle, high)
+    return high
+
+
+def step_edges(edges: Bucketizer, spark: SparkSession, classes: int = CLASSES) -> Bucketizer:
+    """The stage that gives the steps of a row (``PATTERN``). A stock's step says its own bin and its bins per day on all days: the
+    bins' borders, moved by each day's logarithm, are borders of the steps. So there are a bounded number of patterns.
+    """
+    splits = dict(zip(edges.getInputCols(), edges.getSplitsArray(), strict=True))
+    logs = [r[0] for r in spark.range(1, classes + 1).select(F.ln("id")).collect()]  # as ``on_days`` has them
+    moved = {_least(x, log) for x in splits["stock_per_day"][1:-1] for log in logs}
+    splits["stock_or_zero"] = [-math.inf, *sorted({*splits["stock_or_zero"][1:-1], *moved}), math.inf]
+    return Bucketizer(splitsArray=[splits[c] for c in LASTING], inputCols=list(LASTING), outputCols=list(PATTERN))
+
+
 def risk_cells(rows: DataFrame, edges: Bucketizer, by: str, classes: int = CLASSES) -> DataFrame:
     """``n`` rows at risk per cell of bins and day, ``event`` and the column ``by``."""
-    return edges.transform(at_risk(rows, classes)).groupBy(*CELL, "event", by).agg(F.count("*").alias("n"))
+    lasting = _bins(edges, LASTING).transform(feature_rows(known_rows(rows, classes)))
+    days = on_days(lasting.select(*[f"{c}_bin" for c in LASTING], "stock_or_zero", "id", by), F.col("id"))
+    event = F.when(F.col("day") == F.col("id"), 1.0).otherwise(0.0).alias("event")
+    return _bins(edges, ["stock_per_day"]).transform(days).groupBy(*CELL, event, by).agg(F.count("*").alias("n"))
 
 
 def fit_cells(cells: DataFrame, edges: Bucketizer, config: dict, trees: int = 20, seed: int = 42) -> PipelineModel:
@@ -173,9 +207,12 @@ def fit_cells(cells: DataFrame, edges: Bucketizer, config: dict, trees: int = 20
 
 def fit_days(train: DataFrame, config: dict, trees: int = 20, seed: int = 42, classes: int = CLASSES) -> PipelineModel:
     """Random forest for the hazard over the weighted rows; the columns of ``train`` are those of ``sample_weights``."""
-    edges = bin_edges(train, classes)
-    cells = risk_cells(key_ranges(train, classes), edges, "weight", classes)
-    return fit_cells(cells, edges, config, trees, seed)
+    rows = known_rows(train, classes).select("sku", "id", "target_stock", "item_domain_id", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        edges = bin_edges(rows, classes)
+        return fit_cells(risk_cells(key_ranges(rows, classes), edges, "weight", classes), edges, config, trees, seed)
+    finally:
+        rows.unpersist()
 
 
 def hazards(model: PipelineModel, days: DataFrame) -> DataFrame:
@@ -222,28 +259,27 @@ def _calibrated(calibration: Calibration | None) -> Column:
     return F.get(to, lower) + share * (F.get(to, upper) - F.get(to, lower))
 
 
-def predict_days(
+def patterns_of(stepped: DataFrame) -> DataFrame:
+    """One row per pattern, with the features of one stock, item and domain of it, in partitions of about as many."""
+    found = cut_lineage(stepped.groupBy(*PATTERN).agg(*[F.min(c).alias(c) for c in LASTING]))
+    return found.repartition(max(1, math.ceil(found.count() / PREDICT_ROWS)), *PATTERN)
+
+
+def pattern_chances(
     model: PipelineModel,
-    frame: DataFrame,
+    patterns: DataFrame,
     smoothing: float = SMOOTHING,
     classes: int = CLASSES,
     calibration: Calibration | None = None,
 ) -> DataFrame:
-    """Add ``probabilities``: one entry above 0 per day, their sum 1; even where the stock level is missing.
+    """``probabilities`` of each pattern: one entry above 0 per day, their sum 1.
 
-    Rows with a level are dealt into even partitions (a small file of items comes as one), repeated for the days and put
-    together again; the days of a row stand side by side, so they combine before the exchange, in a hash table of one number
-    per day. The others get even chances.
+    The days of a pattern stand side by side, so they combine in a hash table of one number per day.
     """
     even = F.lit(1.0 / classes)
-    known, unknown = frame.filter("target_stock IS NOT NULL"), frame.filter("target_stock IS NULL")
-    known = known.repartition(max(1, math.ceil(known.count() / PREDICT_ROWS)), *known.columns)
-    whole = F.struct(*[F.col(c) for c in frame.columns]).alias("whole")
-    tagged = feature_rows(known).withColumn("whole", whole).withColumn("tag", F.monotonically_increasing_id())
-    narrow = tagged.select("tag", "whole", "sku", "item_domain_id", "stock_or_zero")
-    days = hazards(model, on_days(narrow, F.lit(classes))).withColumn("hazard", _calibrated(calibration))
+    days = hazards(model, on_days(patterns, F.lit(classes))).withColumn("hazard", _calibrated(calibration))
     by_day = [F.max(F.when(F.col("day") == k, F.col("hazard"))).alias(f"hazard_{k}") for k in range(1, classes + 1)]
-    rows = days.groupBy("tag", "whole").agg(*by_day)
+    rows = days.groupBy(*PATTERN).agg(*by_day)
     start = F.struct(F.lit(1.0).alias("left"), F.array().cast("array<double>").alias("chances"))
 
     def next_day(acc: Column, hazard: Column) -> Column:
@@ -254,7 +290,29 @@ def predict_days(
     hazard_of = F.array(*[F.col(f"hazard_{k}") for k in range(1, classes)], F.lit(1.0))
     chances = F.aggregate(hazard_of, start, next_day, lambda acc: acc["chances"])
     smooth = F.transform(chances, lambda p: p * F.lit(1.0 - smoothing) + even * smoothing)
-    return rows.select("whole.*", smooth.alias("probabilities")).unionByName(unknown.withColumn("probabilities", F.array_repeat(even, classes)))
+    return rows.select(*PATTERN, smooth.alias("probabilities"))
+
+
+def predict_days(
+    model: PipelineModel,
+    frame: DataFrame,
+    smoothing: float = SMOOTHING,
+    classes: int = CLASSES,
+    calibration: Calibration | None = None,
+) -> DataFrame:
+    """Add ``probabilities``: one entry above 0 per day, their sum 1; even where the stock level is missing.
+
+    Rows with a level are put into patterns, the forest looks at each pattern once a day, and the rows take the chances of their
+    pattern. The rows are written once and dealt into even partitions (a small file of items comes as one). The others get even
+    chances.
+    """
+    rows = staged(frame, "rows-to-predict")
+    rows = rows.repartition(max(1, math.ceil(rows.count() / OUTPUT_ROWS)), *rows.columns)
+    known, unknown = rows.filter("target_stock IS NOT NULL"), rows.filter("target_stock IS NULL")
+    stepped = step_edges(model.stages[0], frame.sparkSession, classes).transform(feature_rows(known))
+    chances = pattern_chances(model, patterns_of(stepped), smoothing, classes, calibration)
+    found = stepped.join(chances, list(PATTERN)).select(*frame.columns, "probabilities")
+    return found.unionByName(unknown.withColumn("probabilities", F.array_repeat(F.lit(1.0 / classes), classes)))
 
 
 def reliability(judged: DataFrame, bins: int = 10, classes: int = CLASSES) -> DataFrame:
@@ -280,21 +338,17 @@ def evaluate(
     counts = {r["id"]: r["count"] for r in days.collect()}  # one row per day of the grid
     total = sum(counts.values()) + classes
     prior = F.array(*[F.lit((counts.get(k, 0) + 1) / total) for k in range(1, classes + 1)])
-    judged = predict_days(model, validation, classes=classes, calibration=calibration).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        sure = judged.filter(known)
-        scores = {
-            "weighted_loss": log_loss(judged).first()[0],
-            "known_loss": log_loss(sure, weight=None).first()[0],
-            "ranked_score": ranked_probability_score(sure).first()[0],
-            "uniform_loss": math.log(classes),
-            "prior_weighted_loss": log_loss(judged.withColumn("probabilities", prior)).first()[0],
-            "prior_loss": log_loss(sure.withColumn("probabilities", prior), weight=None).first()[0],
-        }
-    finally:
-        judged.unpersist()
-    schema = ", ".join(f"{name} double" for name in scores)
-    return train.sparkSession.createDataFrame([tuple(scores.values())], schema)
+    judged = predict_days(model, validation, classes=classes, calibration=calibration)
+    # One pass over the rows: each carries arrays, and keeping them would take several times the room of the input.
+    sure, chances = F.when(known, F.lit(1.0)), F.col("probabilities")
+    return judged.agg(
+        mean_log_loss(chances, F.col("weight")).alias("weighted_loss"),
+        mean_log_loss(chances, sure).alias("known_loss"),
+        mean_ranked_score(F.when(known, squared_distance(F.col("id"), chances, classes))).alias("ranked_score"),
+        F.lit(math.log(classes)).alias("uniform_loss"),
+        mean_log_loss(prior, F.col("weight")).alias("prior_weighted_loss"),
+        mean_log_loss(prior, sure).alias("prior_loss"),
+    )
 
 
 def draw_configs(count: int, seed: int = 42, space: dict | None = None) -> list[dict]:
@@ -333,26 +387,45 @@ def search(
 
     # Counted once: the trials differ in weights only, and these ask only which bounds a cut exceeds. A cut raised to the
     # next bound exceeds the same ones.
-    bounds = sorted({bound_of(c) for c in configs})
-    raised = F.when(F.col("cut").isNotNull(), F.coalesce(*[F.when(F.col("cut") <= b, F.lit(b)) for b in bounds], F.lit(math.inf)))
-    x_train = key_ranges(with_cut(group_sample(train, share, seed), maxima)).withColumn("cut", raised).persist(StorageLevel.MEMORY_AND_DISK)
-    x_val = with_cut(validation, maxima).persist(StorageLevel.MEMORY_AND_DISK)
+    spent: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        spent.append(table.persist(StorageLevel.MEMORY_AND_DISK))
+        return table
+
+    def raised(bounds: set[float]) -> Column:
+        steps = [F.when(F.col("cut") <= b, F.lit(b)) for b in sorted(bounds)]
+        return F.when(F.col("cut").isNotNull(), F.coalesce(*steps, F.lit(math.inf)))
+
+    x_train = with_cut(group_sample(train, share, seed), maxima).withColumn("cut", raised({bound_of(c) for c in configs}))
+    x_train = keep(key_ranges(x_train))
     edges = bin_edges(x_train)
-    cells = risk_cells(x_train, edges, "cut").persist(StorageLevel.MEMORY_AND_DISK)
+    cells = keep(risk_cells(x_train, edges, "cut"))
+    # The rows to judge, too: those of one pattern and day have the same loss in a trial, and those without a target the same in all.
+    x_val = with_cut(validation, maxima).withColumn("cut", raised({bound_of(c) for c in (configs if compat else [JUDGE_WEIGHTS])}))
+    known = F.col("target_stock").isNotNull()
+    stepped = step_edges(edges, spark).transform(feature_rows(x_val.filter(known)))
+    seen = keep(stepped.groupBy(*PATTERN, "id", "cut").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in LASTING]))
+    unknown = keep(x_val.filter(~known).groupBy("id", "cut").agg(F.count("*").alias("n")))
+    patterns = keep(patterns_of(seen))
 
     def run_trial(number: int, drawn: dict) -> dict:
         config = {**drawn, "qq": qq}
         rule = weight_rule(F.col("cut"), bound_of(config), F.lit(0.0), config["null_weight"], config["outlier_weight"])
         model = fit_cells(cells.withColumn("weight", rule), edges, config, trees, seed)
         judge = config if compat else JUDGE_WEIGHTS
-        judged = predict_days(model, weights_from_cut(x_val, bound_of(judge), judge["null_weight"], judge["outlier_weight"]))
+        rule = weight_rule(F.col("cut"), bound_of(judge), F.lit(0.0), judge["null_weight"], judge["outlier_weight"])
+        sure = seen.join(pattern_chances(model, patterns), list(PATTERN)).withColumn("weight", rule * F.col("n"))
+        even = F.array_repeat(F.lit(1.0 / CLASSES), CLASSES)
+        rest = unknown.select("id", even.alias("probabilities"), (F.lit(float(judge["null_weight"])) * F.col("n")).alias("weight"))
+        judged = sure.select("id", "probabilities", "weight").unionByName(rest)
         return {"trial": number, "log_loss": log_loss(judged).first()[0], **config}
 
     try:
         with ThreadPoolExecutor(parallel) as pool:
             trials = list(pool.map(run_trial, range(len(configs)), configs))
     finally:
-        for table in (cells, x_train, x_val):
+        for table in spent:
             table.unpersist()
     best = min(trials, key=lambda t: float("inf") if t["log_loss"] is None else t["log_loss"])
     columns = list(trials[0])

@@ -32,8 +32,12 @@ def ranked_probability_score(
 ) -> DataFrame:
     """sqrt(total squared distance / (rows - 1)), labels counted from 1; one row."""
     gap = squared_distance(F.col(label), F.col(probabilities), classes)
-    total = frame.select(gap.alias("gap")).agg(F.sum("gap").alias("total"), F.count("gap").alias("n"))
-    return total.select(F.sqrt(F.try_divide(F.col("total"), F.col("n") - 1)).alias("score"))
+    return frame.select(gap.alias("gap")).agg(mean_ranked_score(F.col("gap")).alias("score"))
+
+
+def mean_ranked_score(gap: Column) -> Column:
+    """sqrt(total / (rows - 1)) as an aggregate, over rows whose squared distance is not null."""
+    return F.sqrt(F.try_divide(F.sum(gap), F.count(gap) - 1))
 
 
 def score_residuals(
@@ -52,6 +56,11 @@ def log_loss(
 ) -> DataFrame:
     """Weighted mean of -ln(probability of the label), labels counted from 1; one row."""
     w = F.col(weight) if weight else F.lit(1.0)
-    hit = F.greatest(F.element_at(F.col(probabilities), F.col(label).cast("int")), F.lit(LEAST_PROBABILITY))
-    terms = frame.select((w * -F.ln(hit)).alias("loss"), w.alias("w"))
-    return terms.agg(F.try_divide(F.sum("loss"), F.sum("w")).alias("log_loss"))
+    return frame.agg(mean_log_loss(F.col(probabilities), w, F.col(label)).alias("log_loss"))
+
+
+def mean_log_loss(probabilities: Column, weight: Column, label: Column | None = None) -> Column:
+    """The same as an aggregate; rows without a weight do not count."""
+    label = F.col("id") if label is None else label
+    hit = F.greatest(F.element_at(probabilities, label.cast("int")), F.lit(LEAST_PROBABILITY))
+    return F.try_divide(F.sum(weight * -F.ln(hit)), F.sum(weight))

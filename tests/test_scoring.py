@@ -1,7 +1,10 @@
+import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import functions as F
 
 from shelfpace.operators import model, scoring
 from shelfpace.plans import queries
@@ -130,6 +133,41 @@ def test_cuts_raised_to_the_next_bound_give_the_weights_of_the_trial(spark):
     assert got[1.0] == pytest.approx(scoring.log_loss(judged).first()[0])
 
 
+def test_rows_of_one_pattern_fall_into_the_same_cells_on_all_days(spark):
+    rng = random.Random(5)
+    # Stocks on the borders that the days move, and beside them: the last bit decides.
+    logs = [r[0] for r in spark.range(1, 31).select(F.ln("id")).collect()]
+    borders = [0.5, 1.75, -math.log(3)]
+    stocks = [x for b in borders for log in logs for x in (b + log, math.nextafter(b + log, 9), math.nextafter(b + log, -9))]
+    stocks += [rng.uniform(-4, 6) for _ in range(300)] + [0.0]
+    frame = spark.createDataFrame([(i % 5, x, i % 3) for i, x in enumerate(stocks)], "sku long, target_stock double, item_domain_id int")
+    splits = {"sku": [2.5], "stock_or_zero": [0.0, 1.0], "stock_per_day": sorted(borders), "item_domain_id": [0.5]}
+    edges = Bucketizer(splitsArray=[[-math.inf, *splits[c], math.inf] for c in model.BINNED], inputCols=list(model.BINNED), outputCols=list(model.CELL[:-1]))
+    stepped = model.step_edges(edges, spark).transform(model.feature_rows(frame))
+    cells = edges.transform(model.on_days(stepped, F.lit(30))).groupBy(*model.PATTERN, "day").agg(*[F.count_distinct(c).alias(c) for c in model.CELL[:-1]])
+    assert cells.filter(" or ".join(f"{c} != 1" for c in model.CELL[:-1])).count() == 0
+    assert stepped.select(*model.PATTERN).distinct().count() < 400 < frame.count()
+
+
+def test_the_forest_looks_at_patterns_not_at_rows(spark, monkeypatch):
+    frame = spark.range(400).select((F.col("id") % 40).alias("sku"), (F.col("id") % 30 + 1).cast("int").alias("id"), F.ln(F.col("id") % 7 + 1.0).alias("target_stock"), F.lit(1).alias("item_domain_id"), F.lit(1.0).alias("weight"))
+    fitted = model.fit_days(frame, model.DEFAULT_CONFIG, trees=2)
+    looked, plain = [], model.hazards
+    monkeypatch.setattr(model, "hazards", lambda m, days: looked.append(days.count()) or plain(m, days))
+    got = {n: model.predict_days(fitted, frame.crossJoin(spark.range(n).select(F.lit(0).alias("copy")))) for n in (1, 20)}
+    assert [got[n].count() for n in (1, 20)] == [400, 8000]
+    assert looked[0] == looked[1] <= 30 * 280
+    monkeypatch.undo()
+    # The chances are those that the forest gives each row by itself.
+    one = {(r["sku"], r["target_stock"], r["day"]): r["hazard"] for r in model.hazards(fitted, model.on_days(model.feature_rows(frame), F.lit(30))).collect()}
+    for r in got[1].limit(60).collect():
+        left = 1.0
+        for day, chance in enumerate(r["probabilities"], 1):
+            hazard = 1.0 if day == 30 else one[r["sku"], r["target_stock"], day]
+            assert abs(chance - (left * hazard * (1 - model.SMOOTHING) + model.SMOOTHING / 30)) < 1e-12
+            left -= left * hazard
+
+
 def test_calibration_follows_the_observed_shares(spark):
     frame, maxima = _model_rows(spark)
     rows = model.weighted(frame, maxima, model.DEFAULT_CONFIG)
