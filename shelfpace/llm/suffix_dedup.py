@@ -32,6 +32,7 @@ K = 50  # bytes of an anchor
 SEGMENT = 1 << 19  # bytes of a text whose anchors are found at once
 BLOCK_BYTES = 1 << 20  # contexts sorted at once, on average
 LARGEST = 2 << 20  # context of one anchor that still goes into a block
+KEY_BITS = 64  # of a number that holds two ranks and a place
 PLACE = np.uint64(20)  # bits for a place in a segment
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE2 = np.uint64(0xD6E8FEB86659FD93)
@@ -91,39 +92,56 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    names = ["key", "h", "first", "size", "context"]
     for batch in slices(batches):
-        out: dict[str, list] = {n: [] for n in names}
-        for i in range(batch.num_rows):
-            text = batch.column("text")[i].as_py()
-            for a in batch.column("found")[i].as_py():
-                out["key"].append(batch.column("key")[i].as_py())
-                out["h"].append(a["h"])
-                out["first"].append(a["first"])
-                out["size"].append(a["last"] - a["first"] + 1)
-                out["context"].append(text[a["first"] : a["last"] + length])
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types, strict=True)], names)
+        found = batch.column("found")
+        each, text = found.flatten(), batch.column("text")
+        row = np.repeat(np.arange(batch.num_rows), found.value_lengths().to_numpy(zero_copy_only=False))
+        first, last = (each.field(name).to_numpy(zero_copy_only=False) for name in ("first", "last"))
+        contexts, now, data = [], -1, b""
+        for i, a, b in zip(row.tolist(), first.tolist(), (last + length).tolist(), strict=True):
+            if i != now:
+                now, data = i, text[i].as_py()
+            contexts.append(data[a:b])
+        columns = [batch.column("key").take(pa.array(row)), each.field("h"), pa.array(first), pa.array(last - first + 1), pa.array(contexts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "h", "first", "size", "context"])
 
 
 def bounded_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Places of all suffixes, ordered by their first ``depth`` symbols or more; ties stand together."""
+    """Places of all suffixes, ordered by their first ``depth`` symbols or more, at most up to their first symbol 0; ties stand
+    together.
+
+    A suffix's rank is the place of the first of its equals. Each round takes only suffixes that still have equals and have
+    not reached a symbol 0. Keys are sorted together with their places in one number, which is faster than an order of keys.
+    """
     n = len(symbols)
-    padded = np.concatenate((symbols.astype(np.uint64), np.zeros(7, np.uint64)))
+    bits = np.uint64(max(1, (n + 1).bit_length()))
+    low, packed = (np.uint64(1) << bits) - np.uint64(1), 3 * int(bits) <= KEY_BITS
+    places = np.arange(n, dtype=np.int32)
+    left = np.minimum.accumulate(np.where(symbols == 0, places, np.int32(n))[::-1])[::-1] - places  # symbols before the next 0
+    reach = int((64 - int(bits)) / np.log2(257))
+    padded = np.concatenate((symbols.astype(np.uint64), np.zeros(reach, np.uint64)))
     key = np.zeros(n, np.uint64)
-    for j in range(7):
-        key = key * np.uint64(257) + padded[j : j + n]
-    reach = 7
+    for j in range(reach):
+        key = key * np.uint64(257) + np.where(left >= j, padded[j : j + n], np.uint64(0))
+    key = np.sort((key << bits) | places.astype(np.uint64))
+    at, order, ranked = places, (key & low).astype(np.int32), key >> bits
+    moved = order
+    rank = np.zeros(n + 1, np.int32)  # the last one stands for the end
     while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1])))
-        if reach >= depth:
+        head = np.concatenate((np.ones(min(1, len(at)), bool), ranked[1:] != ranked[:-1]))
+        rank[moved] = np.repeat(at[head], np.diff(np.append(np.flatnonzero(head), len(at)))) + np.int32(1)
+        going = np.flatnonzero(~(head & np.append(head[1:], True)) & (left[moved] >= reach))
+        at, moved = at[going], moved[going]
+        if reach >= depth or not len(at):
             return order
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - reach)] = rank[reach:] + 1
-        key = rank.astype(np.uint64) * np.uint64(n + 1) + ahead.astype(np.uint64)
+        ranked = (rank[moved].astype(np.uint64) << bits) | rank[moved + np.int32(reach)].astype(np.uint64)
+        if packed:
+            key = np.sort((ranked << bits) | moved.astype(np.uint64))
+            ranked, moved = key >> bits, (key & low).astype(np.int32)
+        else:
+            by = np.argsort(ranked)
+            ranked, moved = ranked[by], moved[by]
+        order[at] = moved
         reach *= 2
 
 
@@ -134,8 +152,8 @@ def repeated_starts(symbols: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """
     n = len(symbols)
     order = bounded_order(symbols, length)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     before = np.roll(symbols, 1)[order]  # the transform: the symbol before each suffix
     back = place[order - 1]  # where the suffix with that symbol stands
     known = np.zeros(n + 1, bool)
@@ -156,7 +174,8 @@ def repeated_starts(symbols: np.ndarray, length: int = LENGTH) -> np.ndarray:
         first = np.flatnonzero(np.concatenate(([True], (interval[1:] != interval[:-1]) | (symbol[1:] != symbol[:-1]))))
         if not len(to):
             break
-        new_low, new_high = np.minimum.reduceat(to, first), np.maximum.reduceat(to, first) + 1
+        new_low = np.minimum.reduceat(to, first)
+        new_high = new_low + np.diff(np.append(first, len(to)))  # an interval holds all suffixes that start with its string
         fresh = ~known[new_high]
         low, high = new_low[fresh], new_high[fresh]
         known[high] = True

@@ -112,6 +112,24 @@ def test_repeated_starts(length):
     assert all(flags[i] == (seen[tuple(s[i : i + length])] > 1) for i in range(len(s) - length + 1) if 0 not in s[i : i + length])
 
 
+def test_the_order_leaves_out_suffixes_that_have_ended_or_stand_alone(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = np.append(rng.integers(1, 200, 60), 0)
+    s = np.concatenate([text] * 50 + [np.append(rng.integers(1, 200, 3000), 0)]).astype(np.uint16)
+    upto = [tuple(s[i : i + 400][: np.argmax(np.append(s[i : i + 400], 0) == 0) + 1]) for i in range(len(s))]
+    sizes = []
+    for name in ("sort", "argsort"):
+        plain = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda keys, *a, plain=plain, **b: sizes.append(len(keys)) or plain(keys, *a, **b))
+    order = suffix_dedup.bounded_order(s, 400)
+    monkeypatch.undo()
+    assert [upto[i] for i in order] == sorted(upto)
+    assert sum(sizes) < 3 * len(s)
+    # Where places and ranks do not fit one number, the order is the same up to ties.
+    monkeypatch.setattr(suffix_dedup, "KEY_BITS", 40)
+    assert [upto[i] for i in suffix_dedup.bounded_order(s, 400)] == sorted(upto)
+
+
 def test_remove_repeats(docs, texts, empty):
     want = brute.without_repeats(texts, 400)
     for largest in (suffix_dedup.LARGEST, 2000):
