@@ -16,10 +16,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/shelfpace-llm/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and read it back: its lineage ends at files that every executor can reach."""
+def stage(df: DataFrame, name: str, *apart: str) -> DataFrame:
+    """Write ``df`` and read it back: its lineage ends at files that every executor can reach. Values of the columns
+    ``apart`` have files of their own."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*apart).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -369,6 +371,52 @@ def test_repeats_of_odd_ids(odd_ids):
     assert sorted(got, key=str) == sorted([(i, *plain[k]) for k, (i, _) in enumerate(rows)], key=str)
 
 
+def shared_passages(rows, size=51):
+    """Per row, whether so many words in a row stand in another row too."""
+    words = [(x or "").encode().split() for x in rows]
+    windows = [{tuple(w[k : k + size]) for k in range(len(w) - size + 1)} for w in words]
+    seen = collections.Counter(x for w in windows for x in w)
+    return [any(seen[x] > 1 for x in w) for w in windows]
+
+
+def test_passages_of_more_than_fifty_words(spark):
+    """51 short words are fewer than 400 bytes, so they stay, but the row says that it shares them."""
+    rng = np.random.default_rng(11)
+    made = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    fifty, more, twice, wide = made(50), made(51), made(60), [f"{x:030d}" for x in rng.integers(0, 5000, 20)]
+    texts = [" ".join(made(a) + p + made(b)) for p, a, b in ((fifty, 30, 40), (fifty, 0, 70), (more, 20, 0), (more, 90, 35), (twice, 0, 0), (wide, 50, 50), (wide, 9, 80))]
+    texts += [" ".join(made(33)) + "\n" + "\t ".join(more) + " \n", " ".join(made(10) + twice + made(60) + twice + made(5)), " ".join(["again"] * 300), None, "", " ".join(more[:50])]
+    inside, long = made(56), made(3000)
+    texts += [" ".join(made(20) + inside + made(20) + inside + made(20))]  # twice in one row only
+    texts += [" ".join(long), " ".join(long[:1500] + ["other"] + long[1500:])] + ["x" * 900] * 2
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in suffix_dedup.digest(suffix_dedup.remove_repeats(df)).collect()}
+    assert [got[i].shares_passage for i in range(len(texts))] == shared_passages(texts)
+    assert {2, 3, 4, 7, 8, 14, 15} == {i for i in got if got[i].shares_passage}
+    assert [got[i].n_removed for i in (2, 3, 4, 7)] == [0, 0, 0, 0]
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == brute.without_repeats(dict(enumerate(texts)), 400)
+
+
+def test_passages_of_all_documents(docs, texts, odd_ids):
+    got = {r.doc_id: r.shares_passage for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == dict(zip(texts, shared_passages(texts.values()), strict=True))
+    df, rows = odd_ids
+    got = sorted((str(r.doc_id), r.n_bytes, r.shares_passage) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == sorted((str(i), len((x or "").encode()), s) for (i, x), s in zip(rows, shared_passages([x for _, x in rows]), strict=True))
+
+
+def test_words_of_passages_across_texts():
+    texts = [b"", b"a b  c", b" x\ty", b"", b"a", b"b c a", "é a".encode()]
+    starts, words = suffix_dedup.word_hashes(pa.array(texts, pa.binary()))
+    named = dict(zip(words.tolist(), [w for x in texts for w in x.split()], strict=True))
+    assert len(named) == 6 and [[named[w] for w in words[a:b].tolist()] for a, b in itertools.pairwise(starts)] == [x.split() for x in texts]
+    rng = np.random.default_rng(0)
+    texts = [" ".join(map(str, rng.integers(0, 30, n))).encode() for n in rng.integers(0, 160, 60)]
+    starts, words = suffix_dedup.word_hashes(pa.array([b"cut off", *texts], pa.binary()).slice(1))
+    found = sorted((i, s) for i, _, a, b in zip(*suffix_dedup.passage_anchors(starts, words), strict=True) for s in range(a, b + 1))
+    assert found == [(i, s) for i in range(60) for s in range(starts[i], starts[i + 1] - 50)]
+
+
 def test_severity_and_links_of_odd_ids(spark, odd_ids, labels):
     df, rows = odd_ids
     model = toxicity.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"), labels)
