@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -58,17 +58,17 @@ def seats(key: np.ndarray, customers: np.ndarray, weight: np.ndarray, discount:
     """
     tables = np.minimum(customers, 1).astype(np.int64)
     at = np.flatnonzero(customers > 1)
-    k, c, w, t = key[at], customers[at], weight[at], tables[at]
-    seated = 1
-    while len(at):
-        block = np.minimum(max(1, seated // 16 if seated >= SINGLY else 1), c - seated)
+    at = at[np.argsort(-customers[at], kind="stable")]  # the most customers first: those with some left stay in front
+    left, every = -customers[at], (key[at], weight[at], tables[at])
+    seated, n = 1, len(at)
+    while n:
+        k, w, t = (x[:n] for x in every)
+        block = max(1, seated // 16 if seated >= SINGLY else 1)
         fresh = w / (w + seated - discount * t)
-        t += np.floor(block * fresh + _chance(k, sweep, seated)).astype(np.int64) if seated >= SINGLY else _chance(k, sweep, seated) < fresh
-        seated += max(1, seated // 16 if seated >= SINGLY else 1)
-        more = c > seated
-        if not more.all():
-            tables[at[~more]] = t[~more]
-            at, k, c, w, t = (x[more] for x in (at, k, c, w, t))
+        t += np.floor(np.minimum(block, -left[:n] - seated) * fresh + _chance(k, sweep, seated)).astype(np.int64) if seated >= SINGLY else _chance(k, sweep, seated) < fresh
+        seated += block
+        n = int(np.searchsorted(left[:n], -seated))
+    tables[at] = every[2]
     return tables
 
 
@@ -172,9 +172,10 @@ SETTLED = pa.schema([("piece", pa.int64()), ("customers", pa.binary()), ("owner"
 
 def _reseat(pairs: Pairs, customers: np.ndarray, last: list[dict], world: Restaurants, sweep: int) -> np.ndarray:
     """Tables of each pair after ``sweep``, from what the sweep before left in ``last``."""
-    below, root_customers, root_tables = _answers(last, ("below", "customers", "tables"))
+    below, root_customers, root_tables = _answers(last, ANSWER)
     chance = world.root(sweep - 1, root_customers, root_tables)
-    weight = (world.strength + world.discount * below[pairs.context]) * chance[pairs.word]
+    weight = (world.strength + world.discount * below)[pairs.context]
+    weight *= chance[pairs.word]
     return seats(pairs.keys, customers, weight, world.discount, sweep)
 
 
@@ -191,6 +192,7 @@ def _report(batches: Iterator[pa.RecordBatch], parts: int, sweep: int, world: Re
         yield from messages(row["piece"], pairs.vocabulary, parts, sent, below, *first)
 
 
+ANSWER = ("below", "customers", "tables")
 WORD_REPLY = "piece long, part long, below binary, customers binary, tables binary, n binary, all_customers long, all_tables long, words long, tokens long, ones long, twos long"
 
 
@@ -222,24 +224,44 @@ def _word_answers(sweep: int, world: Restaurants | None) -> Callable[[pd.DataFra
 def _score(batches: Iterator[pa.RecordBatch], world: Restaurants, sweeps: int, burn_in: int) -> Iterator[pa.RecordBatch]:
     for row in row_dicts(batches):
         pairs, customers = Pairs(row), unpack(row["customers"]).astype(np.int64)
-        (n,) = _answers(row["answers_0"], ("n",))
+        got = {s: [r for r in row["got"] if r["sweep"] == s] for s in {0, *range(burn_in, sweeps + 1)}}
+        (n,) = _answers(got[0], ("n",))
         base = np.log10((n + 0.5) / (world.tokens + 0.5 * (world.words + 1)))
         mean = np.zeros(len(customers))
         seated = (world.strength + n)[pairs.context]  # a word is followed by something each time it occurs
         for sweep in range(burn_in + 1, sweeps + 1):
-            tables = _reseat(pairs, customers, row[f"answers_{sweep - 1}"], world, sweep)
-            below, root_customers, root_tables = _answers(row[f"answers_{sweep}"], ("below", "customers", "tables"))
-            chance = world.root(sweep, root_customers, root_tables)[pairs.word]
-            mean += (customers - world.discount * tables + (world.strength + world.discount * below[pairs.context]) * chance) / seated
-        pair_score = np.log10(mean / (sweeps - burn_in))
-        tokens, lengths = unpack(row["tokens"]).astype(np.int64), unpack(row["lengths"]).astype(np.int64)
+            tables = _reseat(pairs, customers, got[sweep - 1], world, sweep)
+            below, root_customers, root_tables = _answers(got[sweep], ANSWER)
+            chance = (world.strength + world.discount * below)[pairs.context]
+            chance *= world.root(sweep, root_customers, root_tables)[pairs.word]
+            chance += customers - world.discount * tables
+            chance /= seated
+            mean += chance
+            del tables, chance
+        word = pairs.word
+        del pairs, customers, seated  # the arrays of tokens come now
+        mean /= sweeps - burn_in
+        pair_score = np.log10(mean, out=mean)
+        tokens, lengths = unpack(row["tokens"]), unpack(row["lengths"]).astype(np.int64)
         starts = np.concatenate(([0], np.cumsum(lengths)))
-        words = pairs.word[tokens]
-        add = [sums(x, starts) for x in ((n > 0)[words], base[words], pair_score[tokens])]
+        add = [sums(x[tokens], starts) for x in ((n > 0)[word], base[word], pair_score)]
         columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["train"], pa.bool_()), pa.array(lengths), pa.array(add[0]), pa.array(add[1]), pa.array(add[2])]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
 
+def _last(pieces: DataFrame, settled: DataFrame, replies: list[DataFrame], burn_in: int) -> DataFrame:
+    """Pieces with all that scoring needs. The answers of all sweeps meet in one exchange, and they and the counts join before the
+    texts do: each join holds a page of memory per side and copies its rows, which are megabytes."""
+    kept = [
+        reply.select("piece", F.lit(sweep).alias("sweep"), "part", *(c if sweep >= burn_in else F.lit(None).cast("binary").alias(c) for c in ANSWER), "n")
+        for sweep, reply in enumerate(replies)
+        if sweep >= burn_in or not sweep
+    ]
+    got = reduce(DataFrame.unionByName, kept).groupBy("piece").agg(F.collect_list(F.struct("sweep", "part", *ANSWER, "n")).alias("got"))
+    texts = pieces.select("piece", "vocabulary", "context", "word", "tokens", "lengths", "doc_ids", "train")
+    return texts.join(settled.select("piece", "customers").join(got, "piece"), "piece")
+
+
 def _discount(ones: int, twos: int) -> float:
     """From how many are seen once and twice."""
     return min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
@@ -261,8 +283,9 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = SWEEPS, burn_in: i
     table = f"shelfpace_pieces_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = rows.mapInArrow(partial(_pieces, limit=piece_bytes), PIECE_DDL)
-    # Bucketed by piece, so that only the answers move when they meet their piece.
-    pieces.write.bucketBy(buckets, "piece").option("compression", "none").saveAsTable(table)
+    with small_batches(spark, 10_000, piece_bytes * 7 // 8):  # a batch ends behind the row that fills it: mostly one piece
+        # Bucketed by piece, so that only the answers move when they meet their piece.
+        pieces.write.bucketBy(buckets, "piece").option("compression", "none").saveAsTable(table)
     pieces = spark.table(table)
     n_words, n_pairs = pieces.agg(F.sum("n_words"), F.sum("n_pairs")).first()
     if not n_words:
@@ -277,22 +300,18 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = SWEEPS, burn_in: i
         settled = pieces.select("piece", "vocabulary", "context", "word").join(told, "piece").mapInArrow(_settle, "piece long, customers binary, owner binary")
         settled.write.bucketBy(buckets, "piece").option("compression", "none").saveAsTable(f"{table}_pairs")
         counted = pieces.select("piece", "vocabulary", "context", "word", "word_n").join(spark.table(f"{table}_pairs"), "piece")
-        answers: list[DataFrame] = []
+        replies: list[DataFrame] = []
         world = None
         for sweep in range(sweeps + 1):
-            now = counted.join(answers[-1].withColumnRenamed("got", "last"), "piece") if sweep else counted
+            now = counted.join(replies[-1].groupBy("piece").agg(F.collect_list(F.struct("part", *ANSWER)).alias("last")), "piece") if sweep else counted
             reported = now.mapInArrow(partial(_report, parts=word_parts, sweep=sweep, world=world), MESSAGE)
             replied = stage(reported.groupBy("part").applyInPandas(_word_answers(sweep, world), WORD_REPLY), f"sweep-{sweep}")
             t = replied.agg(*(F.sum(c).alias(c) for c in ("all_customers", "all_tables", "words", "tokens", "ones", "twos"))).first()
             if world is None:
                 world = Restaurants(t["words"], t["tokens"], _discount(ones, twos), _discount(t["ones"], t["twos"]), strength, [])
             world.sums_of.append((t["all_customers"], t["all_tables"]))
-            fields = ["part", "below", "customers", "tables", *(["n"] if not sweep else [])]
-            answers.append(replied.groupBy("piece").agg(F.collect_list(F.struct(*fields)).alias("got")))
-        last = pieces.select("piece", "vocabulary", "context", "word", "tokens", "lengths", "doc_ids", "train").join(spark.table(f"{table}_pairs"), "piece")
-        for sweep in sorted({0, *range(burn_in, sweeps + 1)}):
-            last = last.join(answers[sweep].withColumnRenamed("got", f"answers_{sweep}"), "piece")
-        scored = last.mapInArrow(partial(_score, world=world, sweeps=sweeps, burn_in=burn_in), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+            replies.append(replied)
+        scored = _last(pieces, spark.table(f"{table}_pairs"), replies, burn_in).mapInArrow(partial(_score, world=world, sweeps=sweeps, burn_in=burn_in), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
         scored = stage(scored, "scores")
     for name in (table, f"{table}_pairs"):
         spark.sql(f"DROP TABLE {name}")

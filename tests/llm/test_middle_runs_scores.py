@@ -4,10 +4,13 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +244,74 @@ def test_seats():
             fresh = 3.0 / (3.0 + j - 0.5 * np.minimum(t, j))
             chances = chances * (1 - fresh) + np.concatenate(([0], (chances * fresh)[:-1]))
         assert abs(tables[customers == c].mean() / (chances * t).sum() - 1) < 0.03
+
+
+def test_seats_one_word_at_a_time():
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    customers, weights = np.minimum(rng.zipf(1.4, 300), 3000) - rng.integers(0, 2, 300), rng.random(300) * 4
+    want = []
+    for key, c, w in zip(keys, customers.tolist(), weights.tolist(), strict=True):
+        tables, seated = min(1, c), 1
+        while seated < c:
+            block, chance = (1 if seated < 64 else seated // 16), float(pitman_yor._chance(np.array([key]), 2, seated)[0])
+            fresh = w / (w + seated - 0.5 * tables)
+            tables += int(chance < fresh) if seated < 64 else math.floor(min(block, c - seated) * fresh + chance)
+            seated += block
+        want.append(tables)
+    assert pitman_yor.seats(keys, customers, weights, 0.5, 2).tolist() == want
+
+
+def test_scoring_needs_two_joins(spark, small_rows, monkeypatch):
+    plans, write = {}, pitman_yor.stage
+
+    def noted(df, name, *apart):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name, *apart)
+
+    monkeypatch.setattr(pitman_yor, "stage", noted)
+    df = spark.createDataFrame(small_rows[:40], "doc_id long, text string")
+    assert pitman_yor.score_texts(df, F.lit(True)).count() == 40
+    assert plans["scores"].count("Join Inner") == 2  # each held a page of memory per side, and a copy of its row
+
+
+def test_pieces_come_in_batches_of_their_size(spark, monkeypatch, tmp_path):
+    cut, folder = pitman_yor._pieces, str(tmp_path)
+
+    def noted(batches, limit):
+        def each():
+            for k, batch in enumerate(batches):
+                with open(f"{folder}/{batch.column('doc_id')[0]}-{k}", "w") as out:
+                    out.write(str(batch.nbytes))
+                yield batch
+
+        yield from cut(each(), limit)
+
+    monkeypatch.setattr(pitman_yor, "_pieces", noted)
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), F.col("id"), F.lit(" ")), 1000).alias("text"))
+    assert pitman_yor.score_texts(df.coalesce(1), F.lit(True), piece_bytes=100_000).agg(F.sum("n_tokens")).first()[0] == 400 * 1001
+    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert sum(sizes) > 1_500_000 and max(sizes) < 100_000
+
+
+def test_memory_of_scoring_a_piece(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.3, 1000) % 50_000) for _ in range(300)]
+    monkeypatch.setattr(pitman_yor, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts, "train": [True] * 300})
+    (piece,) = pitman_yor._pieces(iter([batch]), 1 << 30)
+    row = piece.to_pylist()[0]
+    pairs, customers = pitman_yor.Pairs(row), pitman_yor.unpack(row["pair_n"])
+    words = len(pairs.vocabulary)
+    sent, below = (np.bincount(x, minlength=words) for x in (pairs.word, pairs.context))
+    answer = {"part": 0, "below": below, "customers": sent, "tables": np.minimum(sent, 1), "n": pitman_yor.unpack(row["word_n"])}
+    answer = {k: v if k == "part" else pitman_yor.pack(pitman_yor.small(v)) for k, v in answer.items()}
+    row |= {"customers": pitman_yor.pack(customers), "got": [answer | {"sweep": s} for s in range(4)]} | {f"answers_{s}": [answer] for s in range(4)}
+    world = pitman_yor.Restaurants(words, 300_300, 0.7, 0.6, 1.0, [(int(sent.sum()), words)] * 4)
+    monkeypatch.setattr(pitman_yor, "row_dicts", iter)
+    tracemalloc.start()
+    (scored,) = pitman_yor._score([row], world, 3, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert scored.num_rows == 300
+    assert peak < 42 * (len(customers) + 300_300)  # 29 bytes a pair and token; it was 57
